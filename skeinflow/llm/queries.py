@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skeinflow.llm.exact import OP10_SQL, op10_exact_dedup
+from skeinflow.llm.pii import op5_pii
 from skeinflow.llm.simhash import op6_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_pii": op5_pii,
     "op6_simhash": op6_simhash,
+    "op10_exact_dedup": op10_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_exact_dedup": OP10_SQL,
+}

@@ -78,6 +78,10 @@ def _masks() -> list[list[int]]:
     ]
 
 
+def _flipped(masks: Column, key: Column) -> Column:
+    return F.transform(masks, lambda m: key.bitwiseXOR(m))
+
+
 def anchors(fp: Column) -> Column:
     """All (half, code word) keys within distance 2 of a fingerprint, as an array of longs."""
     masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in row]) for row in _masks()])
@@ -89,7 +93,7 @@ def anchors(fp: Column) -> Column:
             parity = sum(1 << (i - 1) for i in range(1, 32) if i >> k & 1)
             syndrome = syndrome + F.bit_count(x.bitwiseAND(F.lit(parity).cast("long"))) % 2 * (1 << k)
         key = x.bitwiseOR(F.lit(half << 32).cast("long"))
-        out.append(F.transform(F.get(masks, syndrome), lambda m, key=key: key.bitwiseXOR(m)))
+        out.append(_flipped(F.get(masks, syndrome), key))
     return F.concat(*out)
 
 
@@ -115,6 +119,7 @@ def _compare(threshold: int, shifts: int = 48):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in joined_sorted(batches, ["cell", "i", "j"]):
             cell, i, j, node, fp = (t.column(k).to_numpy() for k in ("cell", "i", "j", "node", "fp"))
+            fp = fp.view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
             new = np.concatenate([[True], (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
             first = np.flatnonzero(new)
             size = np.diff(np.append(first, cell.size))
