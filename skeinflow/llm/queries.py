@@ -7,15 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skeinflow.llm.exact import OP10_SQL, op10_exact_dedup
+from skeinflow.llm.mixing import OP7_SQL, op7_mixing
 from skeinflow.llm.pii import op5_pii
+from skeinflow.llm.sentencepieces import op1_sentencepiece
 from skeinflow.llm.simhash import op6_simhash
+from skeinflow.llm.tokens import op4_token_store
+from skeinflow.llm.urls import op8_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op4_token_store": op4_token_store,
     "op5_pii": op5_pii,
     "op6_simhash": op6_simhash,
+    "op7_mixing": op7_mixing,
+    "op8_url_filter": op8_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_mixing": OP7_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
