@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skeinflow.llm.exact import OP10_SQL, op10_exact_dedup
 from skeinflow.llm.mixing import OP7_SQL, op7_mixing
 from skeinflow.llm.pii import op5_pii
+from skeinflow.llm.quality import op9_quality
 from skeinflow.llm.sentencepieces import op1_sentencepiece
 from skeinflow.llm.simhash import op6_simhash
 from skeinflow.llm.tokens import op4_token_store
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
     "op8_url_filter": op8_url_filter,
+    "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
