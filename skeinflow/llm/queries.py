@@ -14,9 +14,11 @@ from skeinflow.llm.sentencepieces import op1_sentencepiece
 from skeinflow.llm.simhash import op6_simhash
 from skeinflow.llm.tokens import op4_token_store
 from skeinflow.llm.urls import op8_url_filter
+from skeinflow.llm.warc import op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_warc": op3_warc,
     "op4_token_store": op4_token_store,
     "op5_pii": op5_pii,
     "op6_simhash": op6_simhash,
