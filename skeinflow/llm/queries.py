@@ -14,10 +14,12 @@ from skeinflow.llm.sentencepieces import op1_sentencepiece
 from skeinflow.llm.simhash import op6_simhash
 from skeinflow.llm.tokens import op4_token_store
 from skeinflow.llm.urls import op8_url_filter
+from skeinflow.llm.vectors import OP2_SQL, op2_embedding_dedup
 from skeinflow.llm.warc import op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_warc": op3_warc,
     "op4_token_store": op4_token_store,
     "op5_pii": op5_pii,
@@ -29,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_dedup": OP2_SQL,
     "op7_mixing": OP7_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
