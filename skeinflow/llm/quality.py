@@ -234,9 +234,16 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
-    """docs with a score of `least` or more. Rows that share a doc_id go if any of their texts is rejected."""
-    bad = score(docs, train(docs, labels)).where(F.col("score") < least).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """The rows of docs whose score is `least` or more, with all their columns; nothing is shuffled."""
+    field = train(docs, labels)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, "text", 1 << 20):
+                yield b.filter(pa.array(scores([t or "" for t in b.column(at).to_pylist()], field) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
