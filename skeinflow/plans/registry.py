@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "source_counts"
+FLAGSHIP = "appointee_table"
 
 
 def query(name: str, sql: str | None = None):
