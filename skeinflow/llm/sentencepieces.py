@@ -145,7 +145,7 @@ class SentencePieces:
         self.whole = any(re.search(f"[^{MARK}]{MARK}", p) for p, _, t in m.pieces if t == NORMAL)
         runs = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.encoder = CachedEncoder(
-            None, (lambda s: [s] if s else []) if self.whole else runs.findall, lambda words: [[t.id for t in inner.tokenize(w)] for w in words]
+            None, (lambda s: [s] if s else []) if self.whole else runs.findall, lambda w: [t.id for t in inner.tokenize(w)]
         )
         self.bytes = [
             bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(MARK, " ").encode()

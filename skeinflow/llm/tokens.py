@@ -45,61 +45,44 @@ _PIECES = re.compile(
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ɏ]*")
 
 
+class _Known(dict):
+    """Ids of pieces, as little-endian unsigned 32-bit integers; the library is asked for those it lacks."""
+
+    def __init__(self, ids_of):
+        self.ids_of, self.four = ids_of, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        four, ids = self.four, self.ids_of(piece)
+        try:
+            out = b"".join([four[i] for i in ids])
+        except KeyError:
+            four.update((i, i.to_bytes(4, "little")) for i in ids)
+            out = b"".join([four[i] for i in ids])
+        self[piece] = out
+        return out
+
+
 class CachedEncoder:
     """Encodes texts by their pieces: the library encodes each distinct piece once.
 
     split(text) gives the pieces, or None where the text as a whole goes to the
-    library; encode_pieces(pieces) gives their ids. About `limit` pieces stay in memory.
+    library; ids_of(piece) gives a piece's ids. About `limit` pieces stay in memory.
     """
 
-    def __init__(self, tokenizer, split, encode_pieces, limit: int = 400_000):
-        self.tokenizer, self.split, self.encode_pieces, self.limit = tokenizer, split, encode_pieces, limit
-        self.at: dict[str, int] = {}
-        self.reset()
-
-    def reset(self) -> None:
-        self.at.clear()
-        self.ids = np.empty(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 14, np.int64)
-        self.n, self.used = 0, 0
-
-    def _add(self, words: list[str]) -> None:
-        got = self.encode_pieces(words)
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        total = int(size.sum())
-        while self.used + total > self.ids.size:
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while self.n + len(words) + 1 > self.start.size:
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in got for i in x), np.uint32, total)
-        self.at.update(zip(words, range(self.n, self.n + len(words)), strict=True))
-        self.start[self.n + 1 : self.n + len(words) + 1] = self.used + np.cumsum(size)
-        self.n += len(words)
-        self.used += total
+    def __init__(self, tokenizer, split, ids_of, limit: int = 400_000):
+        self.tokenizer, self.split, self.limit = tokenizer, split, limit
+        self.known = _Known(ids_of)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.n > self.limit:
-            self.reset()
-        out: list[np.ndarray | None] = [None] * len(texts)
-        pieces = [self.split(t) for t in texts]
-        new = set()
-        for k, p in enumerate(pieces):
-            if p is None:
-                out[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.uint32)
+        out = []
+        for t in texts:
+            if len(self.known) > self.limit:
+                self.known.clear()
+            pieces = self.split(t)
+            if pieces is None:
+                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
             else:
-                new.update(p)
-        new.difference_update(self.at)
-        if new:
-            self._add(list(new))
-        for k, p in enumerate(pieces):
-            if p is None:
-                continue
-            w = np.fromiter(map(self.at.__getitem__, p), np.int64, len(p))
-            a, size = self.start[w], self.start[w + 1] - self.start[w]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(p) else 0
-            where = np.arange(total) + np.repeat(a - (ends - size), size)
-            out[k] = self.ids[where]
+                out.append(np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<u4"))
         return out
 
 
@@ -126,9 +109,7 @@ def word_encoder(path: str) -> CachedEncoder:
 
     tokenizer = Tokenizer.from_file(path)
     model, table = tokenizer.model, byte_characters()
-    return CachedEncoder(
-        tokenizer, word_pieces, lambda words: [[t.id for t in model.tokenize(w if w.isascii() else w.translate(table))] for w in words]
-    )
+    return CachedEncoder(tokenizer, word_pieces, lambda w: [t.id for t in model.tokenize(w if w.isascii() else w.translate(table))])
 
 
 # --- chunks ------------------------------------------------------------------------------------------------
@@ -280,48 +261,55 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(crcs, pa.int64())], names=["digest", "crc32"])
 
 
-def _times(matrix: list[int], vector: int) -> int:
-    total = k = 0
-    while vector:
-        if vector & 1:
-            total ^= matrix[k]
-        vector >>= 1
-        k += 1
-    return total
+def _times(matrix: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Matrices over GF(2), as 32 columns in the last axis, times vectors of 32 bits."""
+    bits = (vectors[..., None] >> np.arange(32, dtype=np.uint32)) & np.uint32(1)
+    return np.bitwise_xor.reduce(matrix * bits, axis=-1)
 
 
 @functools.lru_cache(maxsize=1 << 16)
-def _shift(length: int) -> list[int]:
+def _shift(length: int) -> np.ndarray:
     """What appending `length` zero bytes does to a CRC-32, as a matrix over GF(2)."""
-    odd = [0xEDB88320] + [1 << k for k in range(31)]  # one zero bit
-    out = [1 << k for k in range(32)]
-    power = odd
+    power = np.array([0xEDB88320] + [1 << k for k in range(31)], np.uint32)  # one zero bit
+    out = np.uint32(1) << np.arange(32, dtype=np.uint32)
     for _ in range(3):
-        power = [_times(power, power[k]) for k in range(32)]  # one zero byte
+        power = _times(power[None], power)  # one zero byte
     while length:
         if length & 1:
-            out = [_times(power, x) for x in out]
-        power = [_times(power, x) for x in power]
+            out = _times(power[None], out)
+        power = _times(power[None], power)
         length >>= 1
     return out
 
 
-def crc32_joined(crcs: list[int], lengths: list[int]) -> int:
-    """CRC-32 of the concatenation of parts, from the CRC and the byte length of each."""
-    out = 0
-    for c, n in zip(crcs, lengths, strict=True):
-        out = _times(_shift(n), out) ^ c
+def crc32_joined(crcs: np.ndarray, lengths: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """CRC-32 of concatenations: crcs and byte lengths of all parts, one concatenation after another, and
+    how many parts each has."""
+    crcs = crcs.astype(np.uint32)
+    kinds, kind = np.unique(lengths, return_inverse=True)
+    matrix = np.stack([_shift(int(k)) for k in kinds]) if kinds.size else np.zeros((0, 32), np.uint32)
+    first = np.cumsum(parts) - parts
+    out = np.zeros(parts.size, np.uint32)
+    at = 0
+    while (live := np.flatnonzero(parts > at)).size:
+        for block in np.array_split(live, -(-live.size // 4096)):
+            i = first[block] + at
+            out[block] = _times(matrix[kind[i]], out[block]) ^ crcs[i]
+        at += 1
     return out
 
 
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        got = []
-        for digests, root, parts in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
-            if merkle([p["digest"] for p in parts]) != root or [p["digest"] for p in parts] != digests:
-                raise ValueError("a recipe does not match its Merkle root")
-            got.append(crc32_joined([p["crc32"] for p in parts], [4 * p["n"] for p in parts]))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(got, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        digests, parts = b.column(3), b.column(5)
+        flat = parts.flatten()
+        if not flat.field("digest").equals(digests.flatten()):
+            raise ValueError("a recipe does not match the chunks found for it")
+        if any(merkle(d) != root for d, root in zip(digests.to_pylist(), b.column(4).to_pylist(), strict=True)):
+            raise ValueError("a recipe does not match its Merkle root")
+        n = parts.value_lengths().to_numpy(zero_copy_only=False)
+        got = crc32_joined(flat.field("crc32").to_numpy(zero_copy_only=False), 4 * flat.field("n").to_numpy(zero_copy_only=False).astype(np.int64), n)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(got.astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
