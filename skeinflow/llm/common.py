@@ -1,41 +1,17 @@
-"""What the training-data operators share: shared-folder paths, tables that cut
-lineage, batches of bounded size, and connected components."""
+"""What the training-data operators share: batches of bounded size, whole groups
+of sorted batches, and the library's shared tables and connected components."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from skeinflow.operators.graph import components, shared_path, written
 
-@functools.cache
-def _own_folder() -> str:
-    return f"file://{tempfile.mkdtemp(prefix='skeinflow-')}"
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster names in spark.checkpoint.dir.
-
-    Only where that setting is missing (tests, a single machine) a temporary
-    folder of this process takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, with no lineage."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["components", "joined_sorted", "shared_path", "slices", "written"]
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -51,39 +27,6 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
         yield batch.slice(start)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) of the undirected edges (u, v): component is the smallest node reachable.
-
-    Alternates large-star and small-star steps; each round is written to the
-    shared folder. Nodes without an edge are not in the result.
-    """
-    e = written(
-        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(),
-        "links",
-    )
-    seen = None
-    for _ in range(rounds):
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen:
-            break
-        seen = tuple(state)
-        if not seen[0]:
-            break
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # A node with one smaller neighbour keeps its edge; its other smaller neighbours move to the smallest.
-        large = written(large.distinct(), "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small")
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").union(
-        e.select("v", F.col("v").alias("component")).distinct()
-    )
-
-
 def joined_sorted(groups: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of whole groups from batches sorted by keys: a group cut by a batch end is carried on."""
     kept: list[pa.RecordBatch] = []

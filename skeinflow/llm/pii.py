@@ -194,7 +194,7 @@ def thresholds(trees: list[tuple], held: dict[tuple, tuple[float, float]], preci
         for s, (a, b) in scored:
             neg, pos = neg + a, pos + b
             if pos and pos / (pos + neg) >= precision:
-                bound = s
+                bound = s - 1e-9  # Spark adds the trees' values in another way
         out.append(bound)
     return out
 
