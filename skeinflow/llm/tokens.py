@@ -45,49 +45,68 @@ _PIECES = re.compile(
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ɏ]*")
 
 
-class _Known(dict):
-    """Ids of pieces, as little-endian unsigned 32-bit integers; the library is asked for those it lacks."""
+class Known(dict):
+    """Ids of strings, as little-endian unsigned 32-bit integers, from ids_of where they are not known yet.
+
+    About `limit` short strings stay: when half of that are young they become
+    the old ones, and old ones that are met again become young. Long strings
+    are not kept.
+    """
+
+    def __init__(self, ids_of, limit: int = 600_000, longest: int = 64):
+        self.ids_of, self.half, self.longest, self.old = ids_of, limit // 2, longest, {}
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.old.get(key)
+        if out is None:
+            out = self.ids_of(key)
+            if len(key) > self.longest:
+                return out
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = out
+        return out
 
-    def __init__(self, ids_of):
-        self.ids_of, self.four = ids_of, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        four, ids = self.four, self.ids_of(piece)
+def packed_ids(ids_of):
+    """A function that gives a list of ids as one that gives their bytes."""
+    four: dict[int, bytes] = {}
+
+    def run(key: str) -> bytes:
+        ids = ids_of(key)
         try:
-            out = b"".join([four[i] for i in ids])
+            return b"".join([four[i] for i in ids])
         except KeyError:
             four.update((i, i.to_bytes(4, "little")) for i in ids)
-            out = b"".join([four[i] for i in ids])
-        self[piece] = out
-        return out
+            return b"".join([four[i] for i in ids])
+
+    return run
 
 
 class CachedEncoder:
-    """Encodes texts by their pieces: the library encodes each distinct piece once.
+    """Encodes texts by parts that don't influence each other: the library encodes each distinct part once.
 
-    split(text) gives the pieces, or None where the text as a whole goes to the
-    library; ids_of(piece) gives a piece's ids. About `limit` pieces stay in memory.
+    split(text) gives the parts, or None where the text as a whole goes to the
+    library; ids_of(part) gives a part's ids as bytes.
     """
 
-    def __init__(self, tokenizer, split, ids_of, limit: int = 400_000):
-        self.tokenizer, self.split, self.limit = tokenizer, split, limit
-        self.known = _Known(ids_of)
+    def __init__(self, tokenizer, split, ids_of):
+        self.tokenizer, self.split, self.known = tokenizer, split, Known(ids_of)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
         for t in texts:
-            if len(self.known) > self.limit:
-                self.known.clear()
-            pieces = self.split(t)
-            if pieces is None:
+            parts = self.split(t)
+            if parts is None:
                 out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
             else:
-                out.append(np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<u4"))
+                out.append(np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<u4"))
         return out
 
 
-def word_pieces(text: str) -> list[str] | None:
-    """Pieces of a text as the word_bpe rule splits it, or None where the fast rule does not hold."""
+def pieces(text: str) -> list[str] | None:
+    """Pieces of a text as the word_bpe rule splits it, or None where the fast form of the rule does not hold."""
     if "<|" in text or not _PLAIN.fullmatch(text):
         return None
     return _PIECES.findall(text.lower())
@@ -109,7 +128,7 @@ def word_encoder(path: str) -> CachedEncoder:
 
     tokenizer = Tokenizer.from_file(path)
     model, table = tokenizer.model, byte_characters()
-    return CachedEncoder(tokenizer, word_pieces, lambda w: [t.id for t in model.tokenize(w if w.isascii() else w.translate(table))])
+    return CachedEncoder(tokenizer, pieces, packed_ids(lambda w: [t.id for t in model.tokenize(w if w.isascii() else w.translate(table))]))
 
 
 # --- chunks ------------------------------------------------------------------------------------------------
