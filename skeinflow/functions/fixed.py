@@ -108,3 +108,67 @@ SENTENCE_ENDS = ".!?”’\")"
 GROUND_SHARE, GROUND_SHORT = 0.7, 3
 # Thresholds of the story rules.
 JACCARD_ALONE, JACCARD_THREE, JACCARD_KIND = 0.5, 0.22, 0.15
+
+# Caps of a headline and of an explanation, in words and characters.
+HEADLINE_WORDS, EXPLANATION_WORDS, EXPLANATION_CHARS = 14, 36, 230
+
+# House forms, as pattern and replacement in the order in which they apply; amounts come first.
+AMOUNTS = (
+    (r"(?<![A-Za-z$])\$\s?(\d[\d,.]*)\s?(?:billion|bn|B)\b", r"US\$$1 billion"),
+    (r"(?<![A-Za-z$])\$\s?(\d[\d,.]*)\s?(?:million|mn|M)\b", r"US\$$1 million"),
+    (r"(?<![A-Za-z$])\$\s?(\d[\d,.]*)(?![\d,.])", r"US\$$1"),
+    (r"(?i)\bUSD\s?(\d[\d,.]*)\s?(?:billion|bn)\b", r"US\$$1 billion"),
+    (r"(?i)\bUSD\s?(\d[\d,.]*)\s?(?:million|mn)\b", r"US\$$1 million"),
+    (r"(?i)\bUSD\s?(\d[\d,.]*)", r"US\$$1"),
+    (r"\bEUR\s?(\d[\d,.]*)", "€$1"),
+    (r"\bGBP\s?(\d[\d,.]*)", "£$1"),
+    (r"(US\$|€|£)(\d[\d,.]*)\s?M\b", "$1$2 million"),
+    (r"(US\$|€|£)(\d[\d,.]*)\s?bn\b", "$1$2 billion"),
+)
+SPELLING = (
+    (r"(?i)\b(a|the|its|their|his|her|operating|mining|banking|electronic-money|e-money|payments?) license(s?)\b", "$1 licence$2"),
+    (r"(?i)\blicense (revoked|suspended|cancelled|canceled|withdrawn)\b", "licence $1"),
+    (r"(?i)\bdefense\b", "defence"),
+    (r"\bfavor(s|ed|able|ite)?\b", "favour$1"),
+    (r"\bcenter(s)?\b", "centre$1"),
+    (r"\borganization(s)?\b", "organisation$1"),
+    (r"\brecogniz(e|es|ed|ing|ition)\b", "recognis$1"),
+    (r"\banalyz(e|es|ed|ing)\b", "analys$1"),
+    (r"\blabor\b", "labour"),
+    (r"\bhonor(s|ed)?\b", "honour$1"),
+    (r"\bcanceled\b", "cancelled"),
+)
+# Words that an explanation does without.
+BANNED = (
+    r"(?i)\b(notably|crucially|importantly|landscape|navigate|delve|robust|leverage|game-?changer|unpack|underscores?|highlights? the importance|"
+    r"a testament to|moving forward|at the end of the day|it is worth noting|in today'?s|this development|significant(?:ly)?|landmark|pivotal|"
+    r"stakeholders?|synerg\w+|paradigm)\b"
+)
+# What stands around a feed's text.
+DATELINE = (
+    r"^(?:[A-Z][A-Z .'’-]{2,30}|[A-Z][a-z]+(?: [A-Z][a-z]+)?)(?:,\s*[A-Z][a-z]{2,8}\.?\s+\d{1,2}(?:,\s*\d{4})?)?\s*"
+    r"(?:\((?:Reuters|AP|AFP|Bloomberg|Xinhua|dpa|PTI|ANI)\))?\s*[—–:-]\s+(?=[A-Z])"
+)
+BYLINE = r"(?s)^(.{0,160}?)\s*\bBy [A-Z][\w.'’-]+(?: [A-Z][\w.'’-]+){0,3}(?:,\s*[A-Z][a-z]+)?\s*"
+TRAILERS = (
+    r"(?s)\s*(?:The post .{0,200}? appeared first on .{0,80}?(?:\.|$)|Read more.{0,40}$|Continue reading.{0,40}$|"
+    r"The article .{0,120} first appeared on .{0,60}\.?$)"
+)
+HEAD_PREFIX = r"(?i)^(?:BREAKING|UPDATE|UPDATED|EXCLUSIVE|WATCH|VIDEO|OPINION|ANALYSIS)\s*[:–—-]\s*"
+HEAD_SUFFIX = r"\s+[|–—-]\s+[A-Z][\w .&'-]{2,40}$|\s*\((?:Reuters|Bloomberg|AP|AFP)\)\s*$"
+# Nouns that belong to the name before them.
+INSTITUTION_NOUNS = tuple(
+    "court courts tribunal bank ministry authority commission council chamber centre center institute association corporation board agency "
+    "university group high supreme federal".split()
+)
+# Words at which a trailing phrase opens, and words that don't end a sentence.
+PHRASE_OPENERS = tuple(
+    "of in on at to for by with from as that which who over under after before during about against between through while amid into than and or "
+    "but because since until unless whether when where if following despite including without within via per".split()
+)
+FUNCTION_WORDS = tuple(
+    "a an the of in on at to for and or but by with from as that which who whom is are was were has have had been be its their his her than into "
+    "over under after before during about against between through while amid per via not no nor so if when where will would can could may might "
+    "shall should this these those such also both either another other any some each every all most several many using including without within "
+    "because since until unless whether what how why then yet just".split()
+)
