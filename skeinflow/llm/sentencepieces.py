@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinflow.llm.common import slices
-from skeinflow.llm.tokens import CachedEncoder
+from skeinflow.llm.tokens import CachedEncoder, packed_ids
 
 MARK = "▁"
 # Field numbers and enumerations of the model's protobuf.
@@ -109,17 +109,21 @@ def normaliser(m: Model):
 
     steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
     if m.remove_extra:
-        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
+        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex("\\A +| +\\z"), "")]
     return normalizers.Sequence(steps) if steps else None
 
 
-def library_model(m: Model):
+def library_model(m: Model, strict: bool = False):
+    """The library's model. With strict, text that spells out a control or byte piece is no match for it, and
+    unknown characters come as the unknown piece even with byte fallback (for unigram models)."""
     from tokenizers import models
 
-    ids = {p: i for i, (p, _, _) in enumerate(m.pieces)}
     unknown = next(i for i, x in enumerate(m.pieces) if x[2] == UNKNOWN)
+    if m.kind == UNIGRAM and strict:
+        return models.Unigram([(p if t == NORMAL else f"\U0010ffff{i}\U0010ffff", s) for i, (p, s, t) in enumerate(m.pieces)], unknown, False)
     if m.kind == UNIGRAM:
         return models.Unigram([(p, s) for p, s, _ in m.pieces], unknown, m.byte_fallback)
+    ids = {p: i for i, (p, _, _) in enumerate(m.pieces)}
     return models.BPE(ids, merges(m), unk_token=m.pieces[unknown][0], fuse_unk=True, byte_fallback=m.byte_fallback)
 
 
@@ -141,27 +145,45 @@ class SentencePieces:
     def __init__(self, raw: bytes):
         self.model = m = parse(raw)
         self.normalise = normaliser(m)
-        inner = library_model(m)
+        inner = library_model(m, strict=True)
+        byte = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(m.pieces) if t == BYTE} if m.byte_fallback else {}
+        unknown = next(i for i, x in enumerate(m.pieces) if x[2] == UNKNOWN)
+
+        def ids_of(part: str) -> list[int]:
+            found = inner.tokenize(part)
+            if byte and any(t.id == unknown for t in found):
+                return [i for t in found for i in ([byte[b] for b in t.value.encode()] if t.id == unknown else [t.id])]
+            return [t.id for t in found]
+
         self.whole = any(re.search(f"[^{MARK}]{MARK}", p) for p, _, t in m.pieces if t == NORMAL)
         runs = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.encoder = CachedEncoder(
-            None, (lambda s: [s] if s else []) if self.whole else runs.findall, lambda w: [t.id for t in inner.tokenize(w)]
-        )
+        # With a dummy prefix every part begins with a marker; one written without it stands for a word after one space.
+        plain = m.dummy_prefix and not self.whole
+
+        def split(text: str) -> list[str]:
+            if plain and text and text[0] != " " and text[-1] != " " and "  " not in text and MARK not in text:
+                return text.split(" ")
+            text = (MARK + text if text and m.dummy_prefix else text).replace(" ", MARK)
+            return ([text] if text else []) if self.whole else runs.findall(text)
+
+        self.encoder = CachedEncoder(None, split, packed_ids(lambda w: ids_of(MARK + w if plain and w[0] != MARK else w)))
         self.bytes = [
             bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(MARK, " ").encode()
             for p, _, t in m.pieces
         ]
 
-    def prepared(self, text: str) -> str:
+    def normalised(self, text: str) -> str:
         if self.normalise:
             text = self.normalise.normalize_str(text)
-        return (MARK + text if text and self.model.dummy_prefix else text).replace(" ", MARK)
+        return text.rstrip(" " + MARK) if self.model.remove_extra else text
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return self.encoder.encode([self.prepared(t) for t in texts])
+        return self.encoder.encode([self.normalised(t) for t in texts])
 
     def decode(self, ids: np.ndarray) -> str:
         out = b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        if self.model.remove_extra:
+            return out.lstrip(" ")
         return out[1:] if self.model.dummy_prefix and out.startswith(" ") else out
 
 
@@ -198,7 +220,7 @@ def encode(docs: DataFrame, model: str, verify: bool = False, keep_ids: bool = T
             for b in slices(batch, "text", 1 << 20):
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 ids = sp.encode(texts)
-                plain = [sp.normalise.normalize_str(t) for t in texts] if sp.normalise else texts
+                plain = [sp.normalised(t) for t in texts]
                 cols = {
                     "doc_id": b.column(0),
                     "n_tokens": pa.array([x.size for x in ids], pa.int64()),
