@@ -190,13 +190,13 @@ def merged(items: DataFrame, stories: DataFrame) -> DataFrame:
     Lists and values that the representative lacks come from the copy of the smallest id that has them."""
     cols = [c for c in ("counsel", "claimants", "respondents", "states", "sectors", "arbitrators") if c in items.columns]
     single = [c for c in ("treaty", "amount_usd", "case_ref") if c in items.columns]
-    df = items.join(stories, "id")
-    other = F.col("id") != F.col("story")
+    df = items.join(stories.select("id", F.col("story").alias("_story")), "id")
+    other = F.col("id") != F.col("_story")
     own = F.array_sort(F.collect_list(F.when(other, F.struct("id", "source", "url", "title"))))
     fill = [F.min_by(c, F.when(F.size(c) > 0, F.col("id"))).alias(f"_{c}") for c in cols]
     fill += [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(f"_{c}") for c in single]
-    rest = df.groupBy("story").agg(F.transform(own, lambda x: F.struct(x["source"], x["url"], x["title"])).alias("_also"), *fill)
-    out = items.join(rest, items["id"] == rest["story"]).drop("story")
+    rest = df.groupBy("_story").agg(F.transform(own, lambda x: F.struct(x["source"], x["url"], x["title"])).alias("_also"), *fill)
+    out = items.join(rest, items["id"] == rest["_story"]).drop("_story")
     for c in cols:
         out = out.withColumn(c, F.when(F.size(c) > 0, F.col(c)).otherwise(F.coalesce(f"_{c}", c))).drop(f"_{c}")
     for c in single:
