@@ -105,11 +105,12 @@ class CachedEncoder:
         return out
 
 
-def pieces(text: str) -> list[str] | None:
-    """Pieces of a text as the word_bpe rule splits it, or None where the fast form of the rule does not hold."""
+def words(text: str) -> list[str] | None:
+    """Words of a text in lower case, or None where the fast form of the word_bpe rule does not hold. No piece of
+    that rule reaches over white space, so a word's pieces don't depend on its neighbours."""
     if "<|" in text or not _PLAIN.fullmatch(text):
         return None
-    return _PIECES.findall(text.lower())
+    return text.lower().split()
 
 
 def byte_characters(below: int = 0x250) -> dict[int, str]:
@@ -128,7 +129,8 @@ def word_encoder(path: str) -> CachedEncoder:
 
     tokenizer = Tokenizer.from_file(path)
     model, table = tokenizer.model, byte_characters()
-    return CachedEncoder(tokenizer, pieces, packed_ids(lambda w: [t.id for t in model.tokenize(w if w.isascii() else w.translate(table))]))
+    piece = Known(packed_ids(lambda w: [t.id for t in model.tokenize(w if w.isascii() else w.translate(table))]), 100_000)
+    return CachedEncoder(tokenizer, words, lambda w: b"".join(map(piece.__getitem__, _PIECES.findall(w))))
 
 
 # --- chunks ------------------------------------------------------------------------------------------------
