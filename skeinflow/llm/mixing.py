@@ -13,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinflow.llm.common import written
+
 SEED = 42
+MOST_SENT = 4096  # sources whose rates are sent to every task, a row of at most some 10 KB each
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -65,9 +68,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float =
     are replaced.
     """
     docs = docs.drop("copy", "place", "rate")
-    table = rates(docs, weights, size).withColumn("cdf", poisson_cdf(F.col("rate")))
-    # A source may hold a third of all rows: Spark broadcasts the rates where they are small, and else splits the skewed join.
-    joined = docs.join(table.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_")))
+    table = rates(docs, weights, size).withColumn("cdf", poisson_cdf(F.col("rate"))).withColumnRenamed("source", "source_")
+    table = written(table, "source-rates")
+    # A source may hold a third of all rows. Up to MOST_SENT sources the documents stay where they are; beyond
+    # that they are joined by source, and Spark splits the skewed ones.
+    if table.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        table = F.broadcast(table)
+    joined = docs.join(table, F.col("source").eqNullSafe(F.col("source_")))
     u = uniform(F.lit(f"count-{seed}"), F.col("doc_id").cast("string"))
     count = F.size(F.filter("cdf", lambda c: c <= F.col("u")))
     out = (
@@ -79,7 +86,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float =
     if not shuffle:
         return out
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartitionByRange(parts, "place", "doc_id").sortWithinPartitions("place", "doc_id")
+    # place is uniform, so even ranges of it are known without a sample of the rows.
+    return out.repartitionById(parts, F.floor(F.col("place") * parts).cast("int")).sortWithinPartitions("place", "doc_id")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
