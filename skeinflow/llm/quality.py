@@ -15,7 +15,7 @@ Scoring reads whole texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -160,13 +160,45 @@ def _share(p: np.ndarray, size: np.ndarray, lines: np.ndarray, prior: float) ->
     return np.where(length > 0, good / np.maximum(length, 1), prior)
 
 
-def fit(texts: list[str], good: np.ndarray, sample_lines: int = 200_000, rounds: int = 150, longest: int = 200) -> Field:
+def _sampled(rows: Iterable[tuple[str, int]], sample_lines: int, part: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features, line sizes, lines and label of texts in order, up to sample_lines lines in all; about `part`
+    characters of text are held at a time."""
+    xs, sizes, counts, good = [np.zeros((0, WIDTH), np.float32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    texts, held, total = [], 0, 0
+
+    def flush() -> None:
+        nonlocal texts, held, total
+        x, size, lines = line_features(texts)
+        use = int(np.searchsorted(total + np.cumsum(lines), sample_lines, side="right"))
+        at = int(lines[:use].sum())
+        xs.append(x[:at].copy())
+        sizes.append(size[:at].copy())
+        counts.append(lines[:use])
+        total += int(lines.sum())
+        texts, held = [], 0
+
+    for text, label in rows:
+        texts.append(text)
+        good.append(label)
+        held += len(text)
+        if held >= part:
+            flush()
+            if total > sample_lines:
+                break
+    if texts:
+        flush()
+    lines = np.concatenate(counts)
+    return np.concatenate(xs).astype(float), np.concatenate(sizes), lines, np.array(good[: lines.size], float)
+
+
+def fit(texts: Iterable[str], good: Iterable[int], sample_lines: int = 200_000, rounds: int = 150, longest: int = 200) -> Field:
     """The field from texts and labels. Texts beyond sample_lines lines in all are left out; in training a
     text's chain is cut after each `longest` lines."""
-    x, size, lines = line_features(texts)
-    use = int(np.searchsorted(np.cumsum(lines), sample_lines, side="right"))
-    lines, good = lines[:use], np.asarray(good[:use], float)
-    x, size = x[: lines.sum()].astype(float), size[: lines.sum()]
+    return fit_rows(zip(texts, good, strict=True), sample_lines, rounds, longest)
+
+
+def fit_rows(rows: Iterable[tuple[str, int]], sample_lines: int = 200_000, rounds: int = 150, longest: int = 200) -> Field:
+    x, size, lines, good = _sampled(rows, sample_lines)
     prior = (good.sum() + 1) / (good.size + 2) if good.size else 0.5
     pair = np.zeros((2, 2))
     theta = np.zeros(WIDTH + 4)
@@ -214,11 +246,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample_li
     )
     # sample_rows rows at most, so the broadcast is bounded.
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    texts, good = [], []
-    for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
-        texts.append(r["text"])
-        good.append(r["quality"])
-    return fit(texts, np.array(good), sample_lines)
+    # Texts come one by one and leave as features; whole texts don't gather on the driver.
+    ordered = rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "quality")
+    return fit_rows(((r["text"], r["quality"]) for r in ordered.toLocalIterator()), sample_lines)
 
 
 def score(docs: DataFrame, field: Field) -> DataFrame:
