@@ -252,28 +252,43 @@ def upper_share(c: Column | str) -> Column:
     return F.when(letters > 0, F.regexp_count(_text(c), F.lit("\\p{Lu}")) / letters)
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def language(c: Column | str, default: str = "en") -> Column:
     """A guess from scripts, else from function words; ties go to the first language of the table."""
     t = _text(c)
-    letters = F.regexp_count(t, F.lit("\\p{L}"))
-    words = F.regexp_extract_all(F.lower(t), F.lit("\\p{L}+"), F.lit(0))
-    votes = {k: F.size(F.filter(words, lambda w: w.isin(*v.split()))) for k, v in fixed.LANGUAGE_WORDS.items()}
-    others = [k for k in votes if k != "en"]
-    most = F.greatest(*[votes[k] for k in others])
-    best = reduce(lambda rest, k: F.when(votes[k] == most, k).otherwise(rest), reversed(others), F.lit(default))
     low = F.lower(t)
+    others = [k for k in fixed.LANGUAGE_WORDS if k != "en"]
+
+    def by_votes(v: Column) -> Column:
+        best = reduce(lambda rest, k: F.when(v[k] == v["most"], k).otherwise(rest), reversed(others), F.lit(default))
+        return F.when(v["n"] < 3, default).when((v["most"] >= 2) & (v["most"] > v["en"]), best).otherwise(default)
+
+    def counted(words: Column) -> Column:
+        of = lambda known: F.size(F.filter(words, lambda w: w.isin(*known)))
+        votes = {k: of(v.split()) for k, v in fixed.LANGUAGE_WORDS.items()}
+        return F.struct(F.size(words).alias("n"), *[x.alias(k) for k, x in votes.items()])
+
+    def with_most(v: Column) -> Column:
+        return F.struct(v["n"].alias("n"), *[v[k].alias(k) for k in fixed.LANGUAGE_WORDS], F.greatest(*[v[k] for k in others]).alias("most"))
+
+    words = F.regexp_extract_all(low, F.lit("\\p{L}+"), F.lit(0))
+    guess = bound(bound(bound(words, counted), with_most), by_votes)
     cyrillic = (
         F.when(low.rlike("[іїєґ]"), "uk").when(low.rlike("[ыэъё]") | ~low.rlike("[іїє]"), "ru").otherwise("uk")
     )
-    out = F.when(letters == 0, default)
-    for chars, code in fixed.SCRIPTS:
-        out = out.when(F.regexp_count(t, F.lit(f"[{chars}]")) >= 0.3 * letters, code)
-    return (
-        out.when(F.regexp_count(t, F.lit("[\\x{0400}-\\x{04FF}]")) >= 0.3 * letters, cyrillic)
-        .when(F.size(words) < 3, default)
-        .when((most >= 2) & (most > votes["en"]), best)
-        .otherwise(default)
-    )
+
+    def by_script(letters: Column) -> Column:
+        out = F.when(letters == 0, default)
+        for chars, code in fixed.SCRIPTS:
+            out = out.when(F.regexp_count(t, F.lit(f"[{chars}]")) >= 0.3 * letters, code)
+        return out.when(F.regexp_count(t, F.lit("[\\x{0400}-\\x{04FF}]")) >= 0.3 * letters, cyrillic).otherwise(guess)
+
+    # Without a letter beyond the Greek ones no script can have its share.
+    return F.when(~t.rlike("[\\x{0400}-\\x{10FFFF}]"), guess).otherwise(bound(F.regexp_count(t, F.lit("\\p{L}")), by_script))
 
 
 def places(c: Column | str, forms: dict[str, str]) -> Column:
