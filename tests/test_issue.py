@@ -13,7 +13,9 @@ SCHEMA = (
     "counsel array<string>, amount_usd double, lang string, country string, case_ref string, also array<struct<source string, url string, title string>>"
 )
 NAMES = ["Halvar", "Zentil", "Korbank", "Aurix", "Dornex", "Melior", "Partan", "Quexo", "Rivalt", "Sombra", "Tessel", "Ulmar", "Vantor", "Wexel"]
+# A headline's first word is never taken for a name, so the names stand later: of two headlines each with a name of its own no other likeness makes one story.
 PLACES = ["Peru", "Mexico", "Turkey", "Iraq", "Czechia", "Ghana", "Chile"]
+LEXICON = Lexicon(forms={p: p for p in PLACES}, common=("min",))
 
 
 @pytest.fixture(autouse=True)
@@ -40,8 +42,8 @@ def rows():
 
     for k, n in enumerate(NAMES):
         day = 9 + k % 2
-        add(day, f"{n} wins arbitration award against {PLACES[k % 7]} over the {n.lower()} plant", 90 - k, summary=f"A tribunal found for {n} Energy Group. It was a long case of many years.")
-    add(9, "Halvar wins its arbitration award against Peru over halvar plant, court says", 70)
+        add(day, f"Tribunal grants {n} an award against {PLACES[k % 7]} over the {n.lower()} plant", 90 - k, summary=f"A tribunal found for {n} Energy Group. It was a long case of many years.")
+    add(9, "Arbitrators award Halvar damages against Peru over halvar plant, court says", 70)
     add(10, "Court lets Halvar award against Peru over the halvar plant stand in arbitration", 99)
     for k, n in enumerate(["Oristo", "Palvex", "Runeo"]):
         add(10, f"Ghana revokes licence of {n} Mining in sector {n} review", 60 - k, "state_measure")
@@ -58,7 +60,7 @@ def test_two_days_repeat_nothing(spark, tmp_path):
     keys = [f.name for f in spark.createDataFrame([], SCHEMA).schema]
     items = spark.createDataFrame([tuple(r[k] for k in keys) for r in data], SCHEMA)
     shown = spark.createDataFrame([], "day date, url string, title string")
-    s = issue.Settings(max_items=5, lexicon=Lexicon(forms={p: p for p in PLACES}))
+    s = issue.Settings(max_items=5, lexicon=LEXICON)
     after, issues, carried = issue.rebuild(spark, items, shown, ["2026-01-10", "2026-01-09"], s)
     assert [r["number"] for r in issues.orderBy("day").collect()] == [1, 2]
     got = {r["id"]: r["issue_id"] for r in after.where("issue_id IS NOT NULL").collect()}
@@ -78,7 +80,7 @@ def test_parts_of_a_day(spark, tmp_path):
     items = spark.createDataFrame([tuple(r[k] for k in keys) for r in data], SCHEMA)
     none = spark.createDataFrame([], "issue_id long, number long, day date, sent boolean")
     shown = spark.createDataFrame([], "day date, url string, title string")
-    s = issue.Settings(max_items=4, lexicon=Lexicon(forms={p: p for p in PLACES}))
+    s = issue.Settings(max_items=4, lexicon=LEXICON)
     parts = issue.build(items, none, shown, F.lit("2026-01-10").cast("date"), s)
     stories = parts["stories"].orderBy("place").collect()
     assert len(stories) == 4 and stories[0]["tier"] == "lead" and [r["score"] for r in stories] == sorted((r["score"] for r in stories), reverse=True)
