@@ -44,7 +44,7 @@ def rows():
         day = 9 + k % 2
         add(day, f"Tribunal grants {n} an award against {PLACES[k % 7]} over the {n.lower()} plant", 90 - k, summary=f"A tribunal found for {n} Energy Group. It was a long case of many years.")
     add(9, "Arbitrators award Halvar damages against Peru over halvar plant, court says", 70)
-    add(10, "Court lets Halvar award against Peru over the halvar plant stand in arbitration", 99)
+    add(10, "Court lets Halvar award against Peru over the halvar plant stand in arbitration", 99, summary="A court left the award for Halvar Energy Group in place. Peru had asked for its annulment.")
     for k, n in enumerate(["Oristo", "Palvex", "Runeo"]):
         add(10, f"Ghana revokes licence of {n} Mining in sector {n} review", 60 - k, "state_measure")
     add(10, "Court of Lima enforces arbitration award for Belgar against Chile", 55, "enforcement_action", "Court: Lima", country="Peru")
