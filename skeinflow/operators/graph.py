@@ -15,22 +15,40 @@ def _own_folder() -> str:
     return f"file://{tempfile.mkdtemp(prefix='skeinflow-')}"
 
 
+def _base(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _own_folder()
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is missing (tests, a single machine) a temporary
-    folder of this process takes its place.
+    Only where that setting is missing on a single machine (a local master, as
+    in tests) a temporary folder of this process takes its place; on a cluster
+    that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, with no lineage."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
+    return written_at(df, shared_path(df.sparkSession, name))
+
+
+def written_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Removes tables that no DataFrame reads any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -39,10 +57,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star steps; each round is written to the
     shared folder. Nodes without an edge are not in the result.
     """
-    e = written(
-        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(),
-        "links",
-    )
+    spark = edges.sparkSession
+    at = shared_path(spark, "links")
+    e = written_at(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), at)
     seen = None
     for _ in range(rounds):
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -55,10 +72,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # A node with one smaller neighbour keeps its edge; its other smaller neighbours move to the smallest.
-        large = written(large.distinct(), "large")
+        large_at, small_at = shared_path(spark, "large"), shared_path(spark, "small")
+        large = written_at(large.distinct(), large_at)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+        e = written_at(small.union(least.select("u", F.col("m").alias("v"))).distinct(), small_at)
+        delete(spark, at, large_at)
+        at = small_at
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").union(
