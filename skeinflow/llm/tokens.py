@@ -13,14 +13,18 @@ last WINDOW ids has its low bits zero. The store is a folder:
              recipes the hash chain over their roots, and the Merkle root over all ranges.
 
 Reading verifies: each chunk's ids against its digest, each recipe's Merkle
-root against its digests. A document's CRC follows from its chunks' CRCs, so
-whole documents need not be put together to check them.
+root against its digests, each range's chain, documents, tokens and places
+against the manifest, and the manifest's root against its chains. What is
+damaged or missing is an error. A document's CRC follows from its chunks'
+CRCs, so whole documents need not be put together to check them.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,13 +40,14 @@ from skeinflow.llm.common import shared_path, slices, written
 WINDOW = 16
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 128, 10, 8192
 
-# The splitting rule of the word_bpe vocabulary file, for characters below U+0250.
+# How the word_bpe vocabulary file normalises and splits texts, and the same for characters below FAST.
+NORMALISERS = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PIECES = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-ɏ]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
     r"|[^\s0-9a-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-ɏ]+"
 )
-# Texts of these characters alone are their own NFC form, and lower-case one by one.
-_PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ɏ]*")
+FAST = 0x250
 
 
 class Known(dict):
@@ -105,30 +110,53 @@ class CachedEncoder:
         return out
 
 
-def pieces(text: str) -> list[str] | None:
-    """Pieces of a text as the word_bpe rule splits it, or None where the fast form of the rule does not hold."""
-    if "<|" in text or not _PLAIN.fullmatch(text):
-        return None
-    return _PIECES.findall(text.lower())
-
-
-def byte_characters(below: int = 0x250) -> dict[int, str]:
+def byte_characters(below: int = FAST) -> dict[int, str]:
     """For str.translate: each character as the characters that byte-level models have for its UTF-8 bytes."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     byte = {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
     return {c: "".join(byte[b] for b in chr(c).encode()) for c in range(below)}
 
 
+def _splits_by_words(tokenizer) -> bool:
+    """Whether a tokenizer normalises and splits as the fast form of the rule does."""
+    rule = json.loads(tokenizer.to_str())
+    steps = [(n["type"], n.get("pattern", {}).get("Regex")) for n in (rule["normalizer"] or {}).get("normalizers", [])]
+    first = [x.get("pattern", {}).get("Regex") for x in (rule["pre_tokenizer"] or {}).get("pretokenizers", [])][:1]
+    return steps == NORMALISERS and first == [SPLIT]
+
+
 @functools.lru_cache(maxsize=4)
 def word_encoder(path: str) -> CachedEncoder:
-    import os
+    """An encoder that gives the ids of the tokenizer file's own encode().
 
+    The fast form is taken for texts of those characters below FAST that it
+    encodes as the library does, alone, doubled and within a word (some capitals
+    have a lower case beyond FAST); for other texts, texts with special tokens,
+    and tokenizer files of another rule the library encodes whole texts.
+    """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     model, table = tokenizer.model, byte_characters()
-    return CachedEncoder(tokenizer, pieces, packed_ids(lambda w: [t.id for t in model.tokenize(w if w.isascii() else w.translate(table))]))
+    ids_of = packed_ids(lambda w: [t.id for t in model.tokenize(w if w.isascii() else w.translate(table))])
+
+    def fast(text: str) -> list[int]:
+        return np.frombuffer(b"".join(map(ids_of, _PIECES.findall(text.lower()))), "<u4").tolist()
+
+    def same(text: str) -> bool:
+        return all(ord(c) < FAST for c in text.lower()) and fast(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+    known = [c for c in map(chr, range(FAST)) if all(map(same, (c, c + c, f"a{c}b", f"1{c} {c}.", f"A{c}")))] if _splits_by_words(tokenizer) else []
+    plain = re.compile(f"[{re.escape(''.join(known))}]*" if known else "")
+    special = [t["content"] for t in json.loads(tokenizer.to_str())["added_tokens"]]
+
+    def split(text: str) -> list[str] | None:
+        if not plain.fullmatch(text) or any(t in text for t in special):
+            return None
+        return _PIECES.findall(text.lower())
+
+    return CachedEncoder(tokenizer, split, ids_of)
 
 
 # --- chunks ------------------------------------------------------------------------------------------------
@@ -268,16 +296,61 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2) ->
 # --- reading -----------------------------------------------------------------------------------------------
 
 
+def _checked(digest: bytes, blob: bytes, zstd) -> np.ndarray:
+    ids = _unpacked(blob, zstd)
+    if hashlib.sha256(ids.tobytes()).digest() != digest:
+        raise ValueError(f"chunk {digest.hex()} does not hold what its digest says")
+    return ids
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     zstd = zstandard.ZstdDecompressor()
     for b in batches:
-        crcs = []
-        for digest, n, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            raw = _unpacked(blob, zstd).tobytes()
-            if len(raw) != 4 * n or hashlib.sha256(raw).digest() != digest:
-                raise ValueError(f"chunk {digest.hex()} does not hold what its digest says")
-            crcs.append(zlib.crc32(raw))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(crcs, pa.int64())], names=["digest", "crc32"])
+        sizes, crcs = [], []
+        for digest, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            ids = _checked(digest, blob, zstd)
+            sizes.append(ids.size)
+            crcs.append(zlib.crc32(ids.tobytes()))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(crcs, pa.int64())], names=["digest", "size", "crc32"])
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The manifest's rows anew, from recipes (part, start, doc_id, n_tokens, merkle) of whole ranges in order."""
+    names = [x.split()[0] for x in RANGES.split(", ")]
+    row = None
+    for b in batches:
+        for part, start, doc, n, root in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row is None or row["part"] != part:
+                if row is not None:
+                    yield pa.RecordBatch.from_pylist([row], schema=_RANGES)
+                row = dict(zip(names, (part, doc, 0, start, 0, b"\0" * 32), strict=True))
+            if start != row["start"] + row["tokens"]:
+                raise ValueError(f"the recipes before place {start} have {row['start'] + row['tokens']} ids")
+            row["documents"] += 1
+            row["tokens"] += n
+            row["chain"] = hashlib.sha256(row["chain"] + root).digest()
+    if row is not None:
+        yield pa.RecordBatch.from_pylist([row], schema=_RANGES)
+
+
+RANGES = "part int, first_doc long, documents long, start long, tokens long, chain binary"
+_RANGES = pa.schema([("part", pa.int32()), ("first_doc", pa.int64()), ("documents", pa.int64()), ("start", pa.int64()), ("tokens", pa.int64()), ("chain", pa.binary())])
+
+
+def verify_manifest(spark: SparkSession, path: str) -> None:
+    """Raises ValueError unless recipes, ranges and root agree. A row for each range (as many as the writing
+    shuffle had partitions) comes to the driver."""
+    manifest = sorted((tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in spark.read.parquet(f"{path}/manifest").collect()), key=lambda r: r[0])
+    root, before = merkle([r[5] for r in manifest]), 0
+    for r in manifest:
+        if r[6] != root or r[3] != before:
+            raise ValueError("the manifest's ranges do not match its root")
+        before += r[4]
+    recipes = spark.read.parquet(f"{path}/recipes").select("part", "start", "doc_id", "n_tokens", "merkle")
+    parts = max((r[0] for r in manifest), default=0) + 1
+    found = recipes.repartition(parts, "part").sortWithinPartitions("part", "start").mapInArrow(_ranges, RANGES).collect()
+    if sorted((tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in found), key=lambda r: r[0]) != [r[:6] for r in manifest]:
+        raise ValueError("recipes are missing or changed: they do not give the manifest's ranges")
 
 
 def _times(matrix: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -322,38 +395,53 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         digests, parts = b.column(3), b.column(5)
         flat = parts.flatten()
-        if not flat.field("digest").equals(digests.flatten()):
+        if parts.null_count or flat.field("crc32").null_count:
+            raise ValueError("a recipe's chunk is missing")
+        if not flat.field("digest").equals(digests.flatten()) or not flat.field("n").equals(flat.field("size")):
             raise ValueError("a recipe does not match the chunks found for it")
         if any(merkle(d) != root for d, root in zip(digests.to_pylist(), b.column(4).to_pylist(), strict=True)):
             raise ValueError("a recipe does not match its Merkle root")
         n = parts.value_lengths().to_numpy(zero_copy_only=False)
-        got = crc32_joined(flat.field("crc32").to_numpy(zero_copy_only=False), 4 * flat.field("n").to_numpy(zero_copy_only=False).astype(np.int64), n)
+        size = flat.field("size").to_numpy(zero_copy_only=False).astype(np.int64)
+        if not np.array_equal(np.add.reduceat(size, np.cumsum(n) - n) if n.size else size, b.column(2).to_numpy()):
+            raise ValueError("a recipe's chunks do not add up to its ids")
+        got = crc32_joined(flat.field("crc32").to_numpy(zero_copy_only=False), 4 * size, n)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(got.astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the store's files, all of it verified."""
-    chunks = spark.read.parquet(f"{path}/chunks").select("digest", "n", "ids").mapInArrow(_verified, "digest binary, crc32 long")
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the store's files, all of it verified. Damaged
+    and missing chunks and recipes are errors: the manifest's at once, the chunks' when the rows are read."""
+    verify_manifest(spark, path)
+    chunks = spark.read.parquet(f"{path}/chunks").select("digest", "ids").mapInArrow(_verified, "digest binary, size int, crc32 long")
     recipes = spark.read.parquet(f"{path}/recipes")
     used = recipes.select("start", F.posexplode(F.arrays_zip("digests", "lengths")).alias("no", "c")).select(
         "start", "no", F.col("c.digests").alias("digest"), F.col("c.lengths").alias("n")
     )
-    parts = used.join(chunks, "digest").groupBy("start").agg(F.array_sort(F.collect_list(F.struct("no", "digest", "n", "crc32"))).alias("parts"))
-    return recipes.join(parts, "start").select("doc_id", "start", "n_tokens", "digests", "merkle", "parts").mapInArrow(
+    parts = used.join(chunks, "digest", "left").groupBy("start").agg(F.array_sort(F.collect_list(F.struct("no", "digest", "n", "size", "crc32"))).alias("parts"))
+    return recipes.join(parts, "start", "left").select("doc_id", "start", "n_tokens", "digests", "merkle", "parts").mapInArrow(
         _combined, "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, ids): each document's ids put together from its chunks."""
+    """(doc_id, start, ids): each document's ids put together from its chunks, verified as in read_digests()."""
+    verify_manifest(spark, path)
     chunks = spark.read.parquet(f"{path}/chunks").select("digest", "ids")
-    recipes = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", F.posexplode("digests").alias("no", "digest"))
-    whole = recipes.join(chunks, "digest").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("parts"))
+    recipes = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", "n_tokens", F.posexplode("digests").alias("no", "digest"))
+    parts = F.array_sort(F.collect_list(F.struct("no", "digest", "ids"))).alias("parts")
+    whole = recipes.join(chunks, "digest", "left").groupBy("doc_id", "start", "n_tokens").agg(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd = zstandard.ZstdDecompressor()
         for b in batches:
-            ids = [np.concatenate([_unpacked(p["ids"], zstd) for p in parts]).astype(np.int64) for parts in b.column(2).to_pylist()]
+            ids = []
+            for n, parts in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if any(p["ids"] is None for p in parts):
+                    raise ValueError("a recipe's chunk is missing")
+                ids.append(np.concatenate([_checked(p["digest"], p["ids"], zstd) for p in parts]).astype(np.int64))
+                if ids[-1].size != n:
+                    raise ValueError("a recipe's chunks do not add up to its ids")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "start", "ids"])
 
     return whole.mapInArrow(run, "doc_id long, start long, ids array<long>")

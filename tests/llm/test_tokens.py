@@ -53,14 +53,55 @@ def test_store_gives_back_every_id(spark, docs, whole):
     assert spark.read.parquet(f"{path}/manifest").agg({"tokens": "sum"}).first()[0] == start
 
 
-def test_damage_is_found(spark, docs):
-    path = shared_path(spark, "store")
-    T.write_store(docs(["some text", "other text"]), PATH, path)
+def test_every_fast_character_and_its_neighbours(whole):
+    e = T.word_encoder(PATH)
+    taken = 0
+    for c in map(chr, range(T.FAST)):
+        for t in (c, f"{c}li", f"a{c}b", f"A {c}'s{c}", f"7{c}é", f"{c}ɏ{c}"):
+            parts = e.split(t)
+            taken += parts is not None
+            assert e.encode([t])[0].tolist() == whole(t), (hex(ord(c)), t)
+    assert taken > 2000  # the fast form is in use
+    for t in ("Əli", "Ɛwe", "Ɔkwan", "Ɖe Ʌ", "ȺȾɄ", "İ"):
+        assert e.encode([t])[0].tolist() == whole(t)
+
+
+def test_another_tokenizer_goes_whole():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, e = Tokenizer.from_file(path), T.word_encoder(path)
+    for text in ("Hello, World's 42!", "", " x  y", "<|endoftext|>"):
+        assert e.encode([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def damaged(spark, docs, **changed):
+    """A store of three documents with some of its tables replaced by what a function makes of them."""
+    good, bad = shared_path(spark, "store"), shared_path(spark, "store")
+    T.write_store(docs(["some text", "other text", "a third text"]), PATH, good)
+    for name in ("chunks", "recipes", "manifest"):
+        t = spark.read.parquet(f"{good}/{name}")
+        changed.get(name, lambda x: x)(t).write.parquet(f"{bad}/{name}")
+    return bad
+
+
+@pytest.mark.parametrize("read", [T.read_digests, T.read_ids])
+def test_damage_and_losses_are_found(spark, docs, read):
     from pyspark.sql import functions as F
 
-    bad = spark.read.parquet(f"{path}/chunks").withColumn("digest", F.sha2("ids", 256).cast("binary"))
-    with pytest.raises(Exception, match="does not hold"):
-        bad.select("digest", "n", "ids").mapInArrow(T._verified, "digest binary, crc32 long").collect()
+    one = lambda t: t.where(F.col("digest") != t.agg(F.min("digest")).first()[0])
+    cases = [
+        ({"chunks": lambda t: t.withColumn("digest", F.sha2("ids", 256).cast("binary"))}, "does not hold|missing"),
+        ({"chunks": lambda t: t.withColumn("ids", F.lit(t.first()["ids"]))}, "does not hold"),
+        ({"chunks": one}, "missing"),
+        ({"recipes": lambda t: t.where("doc_id <> 2")}, "recipes are missing"),
+        ({"recipes": lambda t: t.where("doc_id <> 1")}, "recipes"),
+        ({"recipes": lambda t: t.limit(0)}, "recipes are missing"),
+        ({"manifest": lambda t: t.withColumn("merkle", F.lit(b"x"))}, "root"),
+        ({"manifest": lambda t: t.withColumn("tokens", F.col("tokens") + 1)}, "root|recipes"),
+    ]
+    for changed, says in cases:
+        with pytest.raises(Exception, match=says):
+            read(spark, damaged(spark, docs, **changed)).collect()
+    assert read(spark, damaged(spark, docs)).count() == 3
 
 
 def test_cuts_depend_on_the_ids_nearby():
