@@ -4,8 +4,10 @@ A source with weight w, of all weights W, should make up w / W of the mixture.
 Each of its documents is repeated a Poisson number of times whose mean is the
 source's target rows over its own rows; the number comes from inverting the
 distribution at a uniform value hashed from seed and doc_id, so a document's
-count never depends on where it is read. Copies are then shuffled over the
-whole mixture by another hash: sorted by it, in ranges.
+count never depends on where it is read. A mean above MOST_MEAN is dealt out to
+several Poisson variables of equal mean, each with a uniform value of its own:
+their sum has the same distribution. Copies are then shuffled over the whole
+mixture by another hash: sorted by it, in ranges.
 """
 
 from __future__ import annotations
@@ -13,9 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinflow.functions.text import bound
 from skeinflow.llm.common import written
 
 SEED = 42
+MOST_MEAN = 500.0  # exp(-mean) and the inverted sums are exact enough below it
+BLOCK = 4096  # copies that are made at a time
 MOST_SENT = 4096  # sources whose rates are sent to every task, a row of at most some 10 KB each
 
 
@@ -35,12 +40,12 @@ def poisson_cdf(mean: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, size: float = 1.0) -> DataFrame:
-    """(source, rate): the mean repetitions of a document of each source.
+    """(source, rate, variables): the mean repetitions of a document of each source, and the number of Poisson variables they are the sum of.
 
     weights: by source; sources that it lacks get weight 0, and without it all
     sources weigh the same. size: rows of the mixture over rows of docs.
-    Documents without a source are the source of that name, null. A mean of
-    more than 700 is an error, as exp(-mean) would vanish.
+    Documents without a source are the source of that name, null. No rows, or
+    weights that are all 0 for the sources there are, give no copies.
     """
     by = docs.groupBy("source").agg(F.count("*").alias("rows"))
     if weights is None:
@@ -49,38 +54,41 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, size: float
         weight = F.lit(0.0)
         for name, w in sorted(weights.items()):
             weight = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
-    from pyspark.sql import Window
-
-    # A row for each source, not for each document.
-    all_ = Window.partitionBy(F.lit(0))
-    by = by.withColumn("weight", weight)
-    rate = F.col("weight") / F.sum("weight").over(all_) * (F.sum("rows").over(all_) * size) / F.col("rows")
-    return by.select("source", rate.alias("rate")).withColumn(
-        "rate", F.when(F.col("rate") > 700, F.raise_error(F.lit("a source is repeated more than 700 times"))).otherwise(F.col("rate"))
-    )
+    by = written(by.withColumn("weight", weight), "source-counts")
+    total = by.agg(F.sum("weight").alias("weight"), F.sum("rows").alias("rows")).first()
+    rate = F.col("weight") / F.lit(total["weight"] or 1.0) * F.lit((total["rows"] or 0) * size) / F.col("rows")
+    return by.select("source", rate.alias("rate")).withColumn("variables", F.greatest(F.ceil(F.col("rate") / MOST_MEAN), F.lit(1)).cast("int"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float = 1.0, seed: int = SEED, shuffle: bool = True) -> DataFrame:
     """docs with each document repeated, plus copy (0, 1, ...) and place (the shuffle's hash, ascending).
 
     Rows whose count is 0 go, which is what the weights ask for. Repeated rows
-    of one doc_id get the same count. Columns of docs named copy, place or rate
-    are replaced.
+    of one doc_id get the same count, as do rows without one. Columns of docs
+    named copy, place or rate are replaced.
     """
     docs = docs.drop("copy", "place", "rate")
-    table = rates(docs, weights, size).withColumn("cdf", poisson_cdf(F.col("rate"))).withColumnRenamed("source", "source_")
+    table = rates(docs, weights, size)
+    table = table.withColumn("cdf", poisson_cdf(F.col("rate") / F.col("variables"))).withColumnRenamed("source", "source_")
     table = written(table, "source-rates")
     # A source may hold a third of all rows. Up to MOST_SENT sources the documents stay where they are; beyond
     # that they are joined by source, and Spark splits the skewed ones.
     if table.limit(MOST_SENT + 1).count() <= MOST_SENT:
         table = F.broadcast(table)
     joined = docs.join(table, F.col("source").eqNullSafe(F.col("source_")))
-    u = uniform(F.lit(f"count-{seed}"), F.col("doc_id").cast("string"))
-    count = F.size(F.filter("cdf", lambda c: c <= F.col("u")))
+    own = F.col("doc_id").cast("string")
+
+    def count(j: Column | None = None) -> Column:
+        u = uniform(F.lit(f"count-{seed}"), own, *([] if j is None else [j.cast("string")]))
+        return bound(u, lambda x: F.size(F.filter("cdf", lambda c: c <= x)))
+
+    more = F.aggregate(F.sequence(F.lit(1), F.col("variables") - 1), F.lit(0), lambda n, j: n + count(j))
+    n = count() + F.when(F.col("variables") > 1, more).otherwise(0)
     out = (
-        joined.withColumn("u", u).withColumn("n", count).where("n > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .withColumn("place", uniform(F.lit(f"place-{seed}"), F.col("doc_id").cast("string"), F.col("copy").cast("string")))
+        joined.withColumn("n", n).where("n > 0")
+        .withColumn("block_", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / BLOCK).cast("int"))))
+        .withColumn("copy", F.explode(F.sequence(F.col("block_") * BLOCK, F.least(F.col("block_") * BLOCK + BLOCK, F.col("n")) - 1)))
+        .withColumn("place", uniform(F.lit(f"place-{seed}"), own, F.col("copy").cast("string")))
         .select(*docs.columns, "copy", "place")
     )
     if not shuffle:
@@ -97,16 +105,19 @@ def op7_mixing(spark, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH RECURSIVE s AS (SELECT source, count(*)::DOUBLE AS n FROM documents GROUP BY source),
-r AS (SELECT source, 1.0::DOUBLE / (sum(1.0::DOUBLE) OVER ()) * ((sum(n) OVER ()) * 1.0::DOUBLE) / n AS rate FROM s),
+t AS (SELECT source, 1.0::DOUBLE / (sum(1.0::DOUBLE) OVER ()) * ((sum(n) OVER ()) * 1.0::DOUBLE) / n AS total FROM s),
+r AS (SELECT source, greatest(ceil(total / 500.0::DOUBLE), 1)::INTEGER AS variables, total / greatest(ceil(total / 500.0::DOUBLE), 1) AS rate FROM t),
 c(source, rate, k, p, c) AS (
   SELECT source, rate, 0, exp(-rate), exp(-rate) FROM r
   UNION ALL
   SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM c WHERE k < ceil(rate + 12 * sqrt(rate) + 40)),
-d AS (SELECT doc_id, source, sha256(coalesce(text, '')) AS text_sha256,
-        ('0x' || substr(md5('count-42:' || doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
-      FROM documents),
-n AS (SELECT d.doc_id, d.source, d.text_sha256, (SELECT count(*) FROM c WHERE c.source IS NOT DISTINCT FROM d.source AND c.c <= d.u) AS n FROM d),
-x AS (SELECT doc_id, source, text_sha256, unnest(range(0, n))::INTEGER AS copy FROM n WHERE n > 0)
+d AS (SELECT doc_id, source, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
+v AS (SELECT d.*, unnest(range(0, r.variables)) AS j FROM d JOIN r ON r.source IS NOT DISTINCT FROM d.source),
+u AS (SELECT doc_id, source, text_sha256,
+        ('0x' || substr(md5('count-42:' || doc_id::VARCHAR || CASE WHEN j > 0 THEN ':' || j::VARCHAR ELSE '' END), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
+      FROM v),
+n AS (SELECT doc_id, source, text_sha256, sum((SELECT count(*) FROM c WHERE c.source IS NOT DISTINCT FROM u.source AND c.c <= u.u)) AS n FROM u GROUP BY ALL),
+x AS (SELECT doc_id, source, text_sha256, unnest(range(0, n::BIGINT))::INTEGER AS copy FROM n WHERE n > 0)
 SELECT doc_id, source, copy,
        ('0x' || substr(md5('place-42:' || doc_id::VARCHAR || ':' || copy::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS place,
        text_sha256

@@ -47,7 +47,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def levels(host: Column) -> tuple[Column, Column]:
     """(registered domain, suffix) of a host, without user and port. An address of numbers is its own domain."""
-    bare = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+    bare = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), "(?<![:\\[]):[0-9]*$|(?<=\\]):[0-9]*$", "")
     address = bare.rlike(r"^[0-9.]+$") | bare.startswith("[")
     two = F.substring_index(bare, ".", -2)
     second = two.isin(*SECOND_LEVEL)
