@@ -13,8 +13,8 @@ cell; the cell then compares whole fingerprints. A code for all 64 bits at
 once with that radius would need some ten thousand replicas of each row.
 
 Cells with more than `cell_rows` fingerprints are dealt out as pairs of blocks,
-so no task holds more than two blocks. A cell emits a spanning forest of its
-links, never all pairs.
+so no task holds more than two blocks. A block emits a spanning forest of its
+links; one of fewer than 48 fingerprints emits its links as they are.
 """
 
 from __future__ import annotations
@@ -59,15 +59,16 @@ def simhash(text: str | None, words: int = 3) -> int:
     return int(fingerprint)
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed 64-bit integer. Null texts count as empty."""
+def fingerprints(docs: DataFrame, words: int = 3, row: str | None = None) -> DataFrame:
+    """(doc_id, fp), and row where a column's name is given: fp is the fingerprint as a signed 64-bit integer. Null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((simhash(t.as_py(), words) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", "row"][: b.num_columns])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    more = [F.col(row).cast("long").alias("row")] if row else []
+    return docs.select(F.col("doc_id").cast("long"), "text", *more).mapInArrow(run, "doc_id long, fp long" + ", row long" * bool(row))
 
 
 def _masks() -> list[list[int]]:
@@ -173,25 +174,35 @@ def links(nodes: DataFrame, threshold: int = 3, cell_rows: int = 4096) -> DataFr
     )
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 3, cell_rows: int = 4096) -> DataFrame:
-    """One row per document: doc_id, fp (signed), component_id (smallest doc_id reachable by links).
+def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 3, cell_rows: int = 4096, row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, fp (signed), component_id (smallest doc_id reachable by links), and
+    where a column's name is given row and group (a number for each component).
 
     Null and empty texts have fingerprint 0 and link like any other; equal
     fingerprints always link. Other columns of docs are not read. A row that
-    repeats a doc_id stays a row of the result.
+    repeats a doc_id stays a row of the result, with the group of its own text.
+    A null doc_id is nobody's component_id unless a group has no other.
     """
-    prints = written(fingerprints(docs, words), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    comp = components(links(nodes, threshold, cell_rows))
-    label = nodes.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(label, "fp").select("doc_id", "fp", "component_id")
+    prints = written(fingerprints(docs, words, row), "fingerprints")
+    # A fingerprint is a node, as a doc_id may stand for several texts.
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    comp = components(links(nodes.select(F.col("fp").alias("node"), "fp"), threshold, cell_rows))
+    label = written(nodes.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "labels")
+    first = label.groupBy("component").agg(F.min("least").alias("component_id"))
+    told = label.join(first, "component").select("fp", "component_id", F.col("component").alias("group"))
+    return prints.join(told, "fp").select("doc_id", "fp", "component_id", *(["row", "group"] if row else []))
 
 
 def keep_one(docs: DataFrame, words: int = 5, threshold: int = 3) -> DataFrame:
-    """docs with one document of each group of near-duplicates: the one with the smallest doc_id."""
-    # Distinct: a doc_id that comes twice must not multiply its rows.
-    kept = near_duplicates(docs, words, threshold).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """docs with one row of each group of near-duplicates: of those with the smallest doc_id (null only if there is
+    no other) the first. The rows are numbered in a written copy, so a doc_id that comes twice is two rows."""
+    number = "row_"
+    while number in docs.columns:
+        number += "_"
+    numbered = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    found = written(near_duplicates(numbered, words, threshold, row=number), "near-duplicates")
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group").agg(F.min("row").alias(number))
+    return numbered.join(first.select(number), number, "left_semi").select(*docs.columns)
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -76,4 +76,13 @@ def test_empty_table_and_repeated_ids(spark, docs):
     twice = docs([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, "other words are here now")])
     assert sorted((r["doc_id"], r["component_id"]) for r in S.near_duplicates(twice).collect()) == [(1, 1), (1, 1), (2, 1), (3, 3)]
     kept = S.keep_one(twice)
-    assert kept.columns == twice.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 1, 3]
+    assert kept.columns == twice.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark, docs):
+    a, b = "some words that make a text of their own", "quite another line of words about nothing at all"
+    df = docs([(1, a), (5, a), (5, b), (None, b), (7, None), (None, "lone text of a row without an id"), (None, "another of the kind")])
+    got = sorted(((r["doc_id"], r["component_id"]) for r in S.near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(1, 1), (5, 1), (5, 5), (None, 5), (7, 7), (None, None), (None, None)], key=repr)
+    kept = sorted(((r["doc_id"], r["text"]) for r in S.keep_one(df).collect()), key=repr)
+    assert kept == sorted([(1, a), (5, b), (7, None), (None, "lone text of a row without an id"), (None, "another of the kind")], key=repr)
