@@ -44,15 +44,43 @@ def test_base_spans_match_the_definition(docs):
         assert set(filter(None, r["b"].split(","))) <= set(r["s"].split(","))
 
 
-def test_likely_candidates_are_added(docs):
-    # All but a few sixteen-digit candidates pass their check, so those that fail it by a digit are taken as well.
-    def card(i):
-        s = f"4{i:014d}"
-        return next(s + str(d) for d in range(10) if valid("card", s + str(d)))
-
-    texts = [f"card {card(7919 * i)} paid" for i in range(1, 400)] + ["card 4111111111111112 paid"]
-    rows = {r["doc_id"]: r["s"] for r in P.detect(docs(texts), precision=0.95).select("doc_id", P._joined("spans").alias("s")).collect()}
-    assert rows[399] == "card:5:21"
+def test_planted_spans_without_a_base_form(docs):
+    """Numbers and addresses in the form of known ones are found, those of another form or context are left, and so are cards that fail."""
+    number = lambda i: f"(2{i % 90 + 10}) 555-{i * 37 % 9000 + 1000}"
+    texts, planted, clean = [], {}, set()
+    for i in range(400):
+        texts.append(f"Please call +1 {number(i)} on any day, or write to user{i}@host{i % 9}.org then.")
+    for i in range(400, 440):
+        planted[len(texts)] = f"phone:12:{12 + len(number(i))}"
+        texts.append(f"Please call {number(i)} on any day but Sunday.")
+    for i in range(440, 540):
+        clean.add(len(texts))
+        texts.append(f"Order part no. {i}-{i * 7 % 900 + 100}-{i * 13 % 9000 + 1000} from stock.")
+    for i in range(540, 640):
+        clean.add(len(texts))
+        texts.append(f"paid by card 4{i:014d}{(int(next(d for d in '0123456789' if valid('card', f'4{i:014d}' + d))) + 1) % 10} so far")
+    for i in range(640, 900):
+        texts.append(f"write to user{i} [at] host{i % 9} [dot] org for more")
+    for i in range(900, 910):
+        planted[len(texts)] = f"email:9:{9 + len(f'user{i} [at] own{i % 9} [dot] org')}"
+        texts.append(f"write to user{i} [at] own{i % 9} [dot] org for more")
+    got = {r["doc_id"]: r["s"] for r in P.detect(docs(texts)).select("doc_id", P._joined("spans").alias("s")).collect()}
+    hit = sum(got[i] == s for i, s in planted.items())
+    wrong = [got[i] for i in clean if got[i]]
+    assert hit >= 0.95 * len(planted) and not wrong, (hit, len(planted), wrong[:3])
+    assert got[0] == f"email:{texts[0].index('user0')}:{texts[0].index(' then')},phone:12:{12 + len('+1 ' + number(0))}"  # nothing is added within a base span
+    assert got[700].startswith("email:9:")
+
+
+def test_too_few_candidates_add_nothing(docs):
+    texts = [f"call +1 (212) 555-{i:04d} now" for i in range(30)] + ["call (212) 555-9999 now"]
+    assert [r["s"] for r in P.detect(docs(texts)).where("doc_id = 30").select(P._joined("spans").alias("s")).collect()] == [""]
+    assert P.detect(docs(texts), least=1).where("doc_id = 30 AND size(spans) = 1").count() == 1
+
+
+def test_secrets_are_counted(docs):
+    texts = ['token = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f" of', "password: hunter2hunter2hunter2", "token of the day", "API_KEY=abcdefghijklmnopqrstuvwxyz", None]
+    assert [r["n_secret"] for r in P.detect(docs(texts)).orderBy("doc_id").collect()] == [1, 1, 0, 0, 0]
 
 
 def test_redaction_and_edges(docs):
@@ -62,9 +90,18 @@ def test_redaction_and_edges(docs):
     assert P.detect(docs([(1, "a@b.c"), (1, "a@b.c")])).count() == 2
 
 
-def test_boosting_separates():
-    counts = {(k, 0, d, 0, 0, 0): (90.0, 10.0) if d < 4 else (2.0, 98.0) for k in range(4) for d in range(8)}
+def test_boosting_and_calibration():
+    cell = lambda g, d: (g, d, 0, 0, 0, 0)
+    counts = {cell(g, d): (90.0, 10.0) if d < 4 else (1.0, 199.0) for g in range(6) for d in range(8)}
     trees = P.boost(counts)
-    assert sum(P._value(t, (0, 0, 7, 0, 0, 0)) for t in trees) > 2 > -1 > sum(P._value(t, (0, 0, 1, 0, 0, 0)) for t in trees)
-    bounds = P.thresholds(trees, counts, 0.9)
-    assert all(-1 < b < 10 for b in bounds)
+    score = lambda c: sum(P._value(t, c) for t in trees)
+    assert score(cell(0, 7)) > 2 > -1 > score(cell(0, 1))
+    bounds = P.thresholds(trees, counts, 0.99, 20)
+    assert bounds[:4] == [float("inf")] * 4  # a failed check outweighs what is likely otherwise
+    assert all(score(cell(g, 1)) < bounds[g] <= score(cell(g, 7)) for g in (4, 5))
+    assert P.thresholds(trees, counts, 0.99, 10_000) == [float("inf")] * 6 and P.thresholds([], {}, 0.99, 1) == [float("inf")] * 6
+
+
+def test_isotonic():
+    assert P.isotonic([(0, 8, 2), (1, 5, 5), (2, 7, 3), (3, 0, 0), (4, 1, 9)]) == [(0, 10, 0.2), (1, 20, 0.4), (4, 10, 0.9)]
+    assert P.isotonic([]) == []
