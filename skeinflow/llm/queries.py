@@ -13,7 +13,7 @@ from skeinflow.llm.quality import op9_quality
 from skeinflow.llm.sentencepieces import op1_sentencepiece
 from skeinflow.llm.simhash import op6_simhash
 from skeinflow.llm.tokens import op4_token_store
-from skeinflow.llm.urls import op8_url_filter
+from skeinflow.llm.urls import OP8_SQL, op8_url_filter
 from skeinflow.llm.vectors import OP2_SQL, op2_embedding_dedup
 from skeinflow.llm.warc import op3_warc
 
@@ -33,5 +33,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_embedding_dedup": OP2_SQL,
     "op7_mixing": OP7_SQL,
+    "op8_url_filter": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
 }

@@ -76,6 +76,67 @@ def test_levels(spark):
     assert [tuple(r) for r in df.collect()] == [("b.co.uk", "co.uk"), ("y.z", "z"), ("10.0.0.1", ""), ("[::1]", ""), ("[::1]", ""), ("", ""), ("com", "com")]
 
 
+def test_beta_cdf(spark):
+    """Against the binomial tail, which it is for whole numbers, and the integral of the density for others."""
+    pairs = [(a, b) for a in (1, 2, 7, 40, 300) for b in (1, 3, 25, 300)]
+    want = {(a, b): sum(math.comb(a + b - 1, j) for j in range(a, a + b)) / 2 ** (a + b - 1) for a, b in pairs}
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in pairs], "a double, b double").select("a", "b", U.beta_cdf(0.5, F.col("a"), F.col("b")).alias("p"))
+    assert all(abs(r["p"] - want[int(r["a"]), int(r["b"])]) < 1e-9 for r in df.collect())
+    a, b, x = 3.7, 1.9, 0.3
+    density = lambda t: math.exp((a - 1) * math.log(t) + (b - 1) * math.log(1 - t) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b))
+    area = sum(density((i + 0.5) * x / 20_000) for i in range(20_000)) * x / 20_000
+    row = spark.range(1).select(U.beta_cdf(x, F.lit(a), F.lit(b)).alias("p"), U.beta_cdf(0.5, F.lit(505_000.0), F.lit(500_000.0)).alias("far"), U.log_gamma(F.lit(0.01)).alias("g")).first()
+    assert abs(row["p"] - area) < 1e-7 and row["far"] < 1e-5 and abs(row["g"] - math.lgamma(0.01)) < 1e-9
+
+
+def test_reputation_matches_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    hosts = {f"w{i}.d{i % 13}.{'io' if i % 3 else 'co.uk'}": (rng.randrange(0, 30), rng.random()) for i in range(60)}
+    pages, bad = [], {}
+    for h, (n, share) in hosts.items():
+        for _ in range(n):
+            pages.append((len(pages), f"http://{h}/x"))
+            bad[len(pages) - 1] = rng.random() < share
+        pages.append((len(pages), f"http://{h}/unlabelled"))
+    counts = {h: (sum(bad.get(i, 0) for i, u in pages if f"/{h}/" in u), n) for h, (n, _) in hosts.items()}
+    up = {h: (".".join(h.split(".")[1:]), "co.uk" if h.endswith("uk") else "io") for h in hosts}
+
+    def add(groups):
+        out = {}
+        for key, c in groups:
+            out[key] = tuple(x + y for x, y in zip(out.get(key, (0, 0)), c))
+        return {k: v for k, v in out.items() if v[1]}
+
+    def posterior(table, mean_of):
+        m = {k: mean_of(k) for k in table}
+        noise = sum(m[k] * (1 - m[k]) for k in table)
+        spread = sum(n * (b / n - m[k]) ** 2 for k, (b, n) in table.items())
+        weight = sum(n * m[k] * (1 - m[k]) for k, (_, n) in table.items())
+        s = 1 / min(max((spread - noise) / max(weight - noise, 1e-9), 1e-3), 0.5) - 1
+        return {k: (m[k] * s + b, (1 - m[k]) * s + n - b) for k, (b, n) in table.items()}
+
+    mean = lambda ab: ab[0] / sum(ab)
+    by_suffix, by_domain, by_host = add((up[h][1], c) for h, c in counts.items()), add((up[h], c) for h, c in counts.items()), add(counts.items())
+    total = [sum(x) for x in zip(*counts.values())]
+    ps = posterior(by_suffix, lambda k: (total[0] + 0.5) / (total[1] + 1))
+    pd = posterior(by_domain, lambda k: mean(ps[k[1]]))
+    ph = posterior(by_host, lambda k: mean(pd[up[k]]))
+
+    def blocked(ab):
+        a, b = ab
+        x = [(i + 0.5) / 8000 for i in range(4000)]
+        return sum(math.exp((a - 1) * math.log(t) + (b - 1) * math.log(1 - t) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) for t in x) / 8000 < 0.05
+
+    want = {h: blocked(ph.get(h) or pd.get(up[h]) or ps[up[h][1]]) for h in hosts}
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    outcomes = spark.createDataFrame(list(bad.items()), "page_id long, bad boolean")
+    got = {r["host"]: r["verdict"] == "block" for r in U.judge(df, outcomes, rules=()).collect()}
+    assert got == want and 5 < sum(want.values()) < 40
+    assert U.levels(F.col("h"), ())[0] is not None and U.judge(df, outcomes, rules=(), second_level=()).count() == len(pages)
+
+
 def test_no_pages_and_no_labels(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string")
     none = spark.createDataFrame([], "page_id long, bad boolean")
