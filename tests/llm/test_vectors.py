@@ -47,6 +47,40 @@ def test_links_match_brute_force(spark, block):
     assert max(v[0] for v in got.values()) > 8
 
 
+def test_traversal_goes_by_distance_and_stops():
+    rng = np.random.default_rng(8)
+    x = V._unit(rng.normal(size=(300, 10)))
+    books = V.Codebooks((V._kmeans(x[:, :5], 9), V._kmeans(x[:, 5:], 7)))
+    near, (a, b) = books.bounds(x)
+    grid = a[:, :, None] ** 2 + b[:, None, :] ** 2
+    visits = {}
+    for rows, i, j in books.visits(x, 0.6):
+        for r, p, q in zip(rows.tolist(), i.tolist(), j.tolist()):
+            visits.setdefault(r, []).append((p, q))
+    for r in range(300):
+        cost = [grid[r, p, q] for p, q in visits[r]]
+        assert cost == sorted(cost) and len(set(visits[r])) == len(visits[r])
+        assert set(visits[r]) == set(zip(*np.nonzero(grid[r] <= 0.36 + 1e-9)))
+        assert visits[r][0] == (near[0][r], near[1][r]) or cost[0] == 0
+    # No vector within the radius lives in a cell that was not visited.
+    homes = [divmod(h, books.width) for h in books.homes(x).tolist()]
+    for r, q in zip(*np.nonzero(((x[:, None] - x[None]) ** 2).sum(2) <= 0.36)):
+        assert homes[q] in visits[r]
+
+
+def test_codebooks_grow():
+    sizes = [V.codewords_for(n, 16, 20_000) for n in (1, 1_000, 100_000, 10_000_000)]
+    assert sizes == sorted(sizes) and sizes[0] == 2 and sizes[1] == 8 and sizes[-1] == 256
+    assert V.codewords_for(10_000_000, 16, 64) == 4
+
+
+def test_repeated_ids_and_doubles(spark):
+    rows = [(5, [1.0, 0.0], 0), (5, [0.0, 1.0], 0), (6, [0.0, 1.0], 0), (None, [1.0, 0.0], 0), (7, [1.0, 1e-9], 0), (8, [1.0, 2e-9], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((tuple(r) for r in V.near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(5, 2, 5, True), (5, 1, 5, True), (6, 1, 5, False), (None, 0, None, True), (7, 2, 5, False), (8, 2, 5, False)], key=repr)
+
+
 def test_recall_of_a_lower_target(spark):
     rows = made(400)
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA)
