@@ -6,14 +6,18 @@ marker, the pieces with scores, and byte fallback. A unigram model becomes the
 library's Unigram with those scores; a BPE model becomes its BPE, with a merge
 for each way to split a piece into two others, ordered by the piece's score.
 
-Words between white-space markers are encoded once each and kept; that holds
-where no piece has a marker after another character, else whole texts are
-encoded. `verify` encodes with the sentencepiece library as well and compares.
+Batches of texts go through the library's encode_batch on its threads, split
+before white-space markers where no piece has one after another character. Only
+a unigram model's texts with characters that fall back to bytes are encoded part
+by part, as the library's own fallback is another. `verify` encodes with the
+sentencepiece library as well and compares. A model file with a rule that is
+not rebuilt here is refused.
 """
 
 from __future__ import annotations
 
 import functools
+import os
 import re
 import struct
 import zlib
@@ -70,7 +74,7 @@ class Model:
     charsmap: bytes = b""
     dummy_prefix: bool = True
     remove_extra: bool = True
-    escape: bool = True
+    unknown: str = " ⁇ "
 
 
 def parse(raw: bytes) -> Model:
@@ -82,10 +86,18 @@ def parse(raw: bytes) -> Model:
         elif number == 2:
             trainer = dict(fields(value))
             m.kind, m.byte_fallback = trainer.get(3, UNIGRAM), bool(trainer.get(35, 0))
+            if trainer.get(24, 0):
+                raise ValueError("models with the white-space marker at the end of words are not supported")
+            if 44 in trainer:
+                m.unknown = trainer[44].decode()
         elif number == 3:
             rules = dict(fields(value))
             m.charsmap = rules.get(2, b"")
-            m.dummy_prefix, m.remove_extra, m.escape = (bool(rules.get(k, 1)) for k in (3, 4, 5))
+            m.dummy_prefix, m.remove_extra = (bool(rules.get(k, 1)) for k in (3, 4))
+            if not rules.get(5, 1):
+                raise ValueError("models without a white-space marker are not supported")
+        elif number == 5 and dict(fields(value)).get(2):
+            raise ValueError("rules that denormalise decoded text are not supported")
     if m.kind not in (UNIGRAM, BPE):
         raise ValueError("only unigram and BPE models can be rebuilt")
     if any(t == USER_DEFINED for _, _, t in m.pieces):
@@ -127,15 +139,15 @@ def library_model(m: Model, strict: bool = False):
     return models.BPE(ids, merges(m), unk_token=m.pieces[unknown][0], fuse_unk=True, byte_fallback=m.byte_fallback)
 
 
-def tokenizer(path: str):
-    """A whole Tokenizer of the library: encode_batch() runs on its threads, decode() undoes it."""
-    from tokenizers import Tokenizer, decoders, normalizers
+def tokenizer(m: Model, whole: bool = False, strict: bool = False):
+    """A Tokenizer of the library: its encode_batch() runs on threads, its decode() undoes it. Texts are normalised but
+    for the markers. whole: texts are not split before markers."""
+    from tokenizers import Regex, Tokenizer, decoders, normalizers, pre_tokenizers
 
-    with open(path, "rb") as f:
-        m = parse(f.read())
-    t = Tokenizer(library_model(m))
-    steps = [s for s in (normaliser(m), normalizers.Prepend(MARK) if m.dummy_prefix else None, normalizers.Replace(" ", MARK)) if s]
-    t.normalizer = normalizers.Sequence(steps)
+    t = Tokenizer(library_model(m, strict))
+    t.normalizer = normalizers.Sequence([*([normalizers.Prepend(MARK)] if m.dummy_prefix else []), normalizers.Replace(" ", MARK)])
+    if not whole:
+        t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+"), "merged_with_next")
     strip = [decoders.Strip(" ", 1, 0)] if m.dummy_prefix else []
     t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
     return t
@@ -166,9 +178,11 @@ class SentencePieces:
             text = (MARK + text if text and m.dummy_prefix else text).replace(" ", MARK)
             return ([text] if text else []) if self.whole else runs.findall(text)
 
-        self.encoder = CachedEncoder(None, split, packed_ids(lambda w: ids_of(MARK + w if plain and w[0] != MARK else w)))
+        self.parts = CachedEncoder(None, split, packed_ids(lambda w: ids_of(MARK + w if plain and w[0] != MARK else w)))
+        self.library = tokenizer(m, self.whole, strict=m.kind == UNIGRAM)
+        self.unmatched = unknown if byte and m.kind == UNIGRAM else None
         self.bytes = [
-            bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(MARK, " ").encode()
+            bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else m.unknown.encode() if t == UNKNOWN else p.replace(MARK, " ").encode()
             for p, _, t in m.pieces
         ]
 
@@ -178,7 +192,14 @@ class SentencePieces:
         return text.rstrip(" " + MARK) if self.model.remove_extra else text
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return self.encoder.encode([self.normalised(t) for t in texts])
+        return self.encode_normalised([self.normalised(t) for t in texts])
+
+    def encode_normalised(self, texts: list[str]) -> list[np.ndarray]:
+        out = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.unmatched is not None:
+            for i in [i for i, ids in enumerate(out) if (ids == self.unmatched).any()]:
+                out[i] = self.parts.encode([texts[i]])[0]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         out = b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -204,23 +225,27 @@ def _read(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: str, verify: bool = False, keep_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: str, verify: bool = False, keep_ids: bool = True, threads: int = 2) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit
     integers), round_trip (decoding gives the text back), and ids; with verify also parity.
 
     model is a file on the driver; its bytes (a vocabulary, some hundred KB) go
-    to the tasks. Null texts count as empty and have no ids. Where the model's
-    normaliser changes a text, round_trip compares with the normalised text.
+    to the tasks, each of which encodes on `threads` threads. Null texts count as
+    empty and have no ids. Where the model's normaliser changes a text, round_trip
+    compares with the normalised text. Rows stay rows, whatever their doc_id;
+    other columns are not read, and an empty table gives no rows.
     """
     raw = _read(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         sp = _loaded(raw)
         for batch in batches:
             for b in slices(batch, "text", 1 << 20):
                 texts = [t or "" for t in b.column(1).to_pylist()]
-                ids = sp.encode(texts)
                 plain = [sp.normalised(t) for t in texts]
+                ids = sp.encode_normalised(plain)
                 cols = {
                     "doc_id": b.column(0),
                     "n_tokens": pa.array([x.size for x in ids], pa.int64()),
@@ -241,7 +266,8 @@ def encode(docs: DataFrame, model: str, verify: bool = False, keep_ids: bool = T
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids); null ids count as none. Ids outside the vocabulary are an error."""
+    """(doc_id, text) from (doc_id, ids), row by row; null ids count as none. Ids outside the vocabulary are an error. Other
+    columns are not read."""
     raw = _read(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

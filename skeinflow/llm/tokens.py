@@ -134,7 +134,7 @@ def word_encoder(path: str) -> CachedEncoder:
     have a lower case beyond FAST); for other texts, texts with special tokens,
     and tokenizer files of another rule the library encodes whole texts.
     """
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)

@@ -49,16 +49,21 @@ def test_parity(raw):
     ours, theirs = S.SentencePieces(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
     for t in ODD:
         ids = ours.encode([t])[0]
-        assert ids.tolist() == theirs.encode(t), t
+        assert ids.tolist() == theirs.encode(t) == ours.parts.encode([ours.normalised(t)])[0].tolist(), t
         assert ours.decode(ids) == theirs.decode(ids.tolist()), t
 
 
-def test_the_librarys_tokenizer_agrees():
-    t, sp = S.tokenizer(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
-    texts = [x for x in ODD if x]
-    got = t.encode_batch(texts, add_special_tokens=False)
-    assert sum(g.ids == sp.encode(x) for g, x in zip(got, texts)) == len(texts)
-    assert t.decode(got[-1].ids) == texts[-1]
+def test_batches_and_the_librarys_decoder():
+    ours, sp = S.SentencePieces(S._read(PATH)), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    assert [x.tolist() for x in ours.encode(ODD)] == sp.encode(ODD)
+    assert ours.library.decode(ours.library.encode(ODD[-1]).ids) == ODD[-1]
+
+
+def test_a_piece_with_a_marker_inside():
+    """Such a model's texts are not split before markers."""
+    raw = made_model(2) + field(1, field(1, "d▁".encode()) + field(2, -0.5) + field(3, 1))
+    ours, theirs = S.SentencePieces(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
+    assert ours.whole and all(ours.encode([t])[0].tolist() == theirs.encode(t) for t in ("and and the", "d d", "add  a"))
 
 
 def test_encode_and_decode_tables(spark, docs):
@@ -74,5 +79,10 @@ def test_encode_and_decode_tables(spark, docs):
 
 
 def test_unsupported_models_are_refused():
-    with pytest.raises(ValueError, match="unigram and BPE"):
-        S.parse(made_model(3))
+    for raw, says in [
+        (made_model(3), "unigram and BPE"), (made_model() + field(2, field(3, 1) + field(24, 1)), "end of words"), (made_model() + field(3, field(5, 0)), "without"),
+        (made_model() + field(5, field(2, b"map")), "denormalise"), (made_model() + field(1, field(1, b"x") + field(3, 4)), "user-defined"),
+    ]:
+        with pytest.raises(ValueError, match=says):
+            S.parse(raw)
+    assert S.parse(made_model() + field(2, field(3, 1) + field(44, b"?"))).unknown == "?"
