@@ -44,9 +44,10 @@ MIN_CHUNK, MASK_BITS, MAX_CHUNK = 128, 10, 8192
 NORMALISERS = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PIECES = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-ɏ]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
+    r"[a-z\xaa\xb5\xba\xdf-\xf6\xf8-ɏ]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|'(?:s|t|re|ve|m|ll|d)"
     r"|[^\s0-9a-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-ɏ]+"
 )
+_ASCII_PIECES = re.compile(r"[a-z]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\s0-9a-z]+")
 FAST = 0x250
 
 
@@ -141,8 +142,11 @@ def word_encoder(path: str) -> CachedEncoder:
     model, table = tokenizer.model, byte_characters()
     ids_of = packed_ids(lambda w: [t.id for t in model.tokenize(w if w.isascii() else w.translate(table))])
 
+    def pieces(text: str) -> list[str]:
+        return (_ASCII_PIECES if text.isascii() else _PIECES).findall(text.lower())
+
     def fast(text: str) -> list[int]:
-        return np.frombuffer(b"".join(map(ids_of, _PIECES.findall(text.lower()))), "<u4").tolist()
+        return np.frombuffer(b"".join(map(ids_of, pieces(text))), "<u4").tolist()
 
     def same(text: str) -> bool:
         return all(ord(c) < FAST for c in text.lower()) and fast(text) == tokenizer.encode(text, add_special_tokens=False).ids
@@ -154,7 +158,7 @@ def word_encoder(path: str) -> CachedEncoder:
     def split(text: str) -> list[str] | None:
         if not plain.fullmatch(text) or any(t in text for t in special):
             return None
-        return _PIECES.findall(text.lower())
+        return pieces(text)
 
     return CachedEncoder(tokenizer, split, ids_of)
 
@@ -393,17 +397,19 @@ def crc32_joined(crcs: np.ndarray, lengths: np.ndarray, parts: np.ndarray) -> np
 
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        digests, parts = b.column(3), b.column(5)
+        parts = b.column(4)
         flat = parts.flatten()
-        if parts.null_count or flat.field("crc32").null_count:
+        if flat.field("crc32").null_count:
             raise ValueError("a recipe's chunk is missing")
-        if not flat.field("digest").equals(digests.flatten()) or not flat.field("n").equals(flat.field("size")):
+        if not flat.field("n").equals(flat.field("size")):
             raise ValueError("a recipe does not match the chunks found for it")
-        if any(merkle(d) != root for d, root in zip(digests.to_pylist(), b.column(4).to_pylist(), strict=True)):
-            raise ValueError("a recipe does not match its Merkle root")
         n = parts.value_lengths().to_numpy(zero_copy_only=False)
+        first = np.cumsum(n) - n
+        digests = flat.field("digest").to_pylist()
+        if any(merkle(digests[at : at + k]) != root for at, k, root in zip(first.tolist(), n.tolist(), b.column(3).to_pylist(), strict=True)):
+            raise ValueError("a recipe does not match its Merkle root")
         size = flat.field("size").to_numpy(zero_copy_only=False).astype(np.int64)
-        if not np.array_equal(np.add.reduceat(size, np.cumsum(n) - n) if n.size else size, b.column(2).to_numpy()):
+        if not np.array_equal(np.add.reduceat(size, first) if n.size else size, b.column(2).to_numpy()):
             raise ValueError("a recipe's chunks do not add up to its ids")
         got = crc32_joined(flat.field("crc32").to_numpy(zero_copy_only=False), 4 * size, n)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(got.astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
@@ -414,21 +420,20 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     and missing chunks and recipes are errors: the manifest's at once, the chunks' when the rows are read."""
     verify_manifest(spark, path)
     chunks = spark.read.parquet(f"{path}/chunks").select("digest", "ids").mapInArrow(_verified, "digest binary, size int, crc32 long")
-    recipes = spark.read.parquet(f"{path}/recipes")
-    used = recipes.select("start", F.posexplode(F.arrays_zip("digests", "lengths")).alias("no", "c")).select(
-        "start", "no", F.col("c.digests").alias("digest"), F.col("c.lengths").alias("n")
-    )
-    parts = used.join(chunks, "digest", "left").groupBy("start").agg(F.array_sort(F.collect_list(F.struct("no", "digest", "n", "size", "crc32"))).alias("parts"))
-    return recipes.join(parts, "start", "left").select("doc_id", "start", "n_tokens", "digests", "merkle", "parts").mapInArrow(
-        _combined, "doc_id long, start long, n_tokens long, ids_crc32 long"
-    )
+    # A recipe without chunks is damage too: every document has its end id.
+    used = spark.read.parquet(f"{path}/recipes").select(
+        "doc_id", "start", "n_tokens", "merkle", F.posexplode_outer(F.arrays_zip("digests", "lengths")).alias("no", "c")
+    ).select("doc_id", "start", "n_tokens", "merkle", "no", F.col("c.digests").alias("digest"), F.col("c.lengths").alias("n"))
+    parts = F.array_sort(F.collect_list(F.struct("no", "digest", "n", "size", "crc32"))).alias("parts")
+    whole = used.join(chunks, "digest", "left").groupBy("doc_id", "start", "n_tokens", "merkle").agg(parts)
+    return whole.mapInArrow(_combined, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids): each document's ids put together from its chunks, verified as in read_digests()."""
     verify_manifest(spark, path)
     chunks = spark.read.parquet(f"{path}/chunks").select("digest", "ids")
-    recipes = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", "n_tokens", F.posexplode("digests").alias("no", "digest"))
+    recipes = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", "n_tokens", F.posexplode_outer("digests").alias("no", "digest"))
     parts = F.array_sort(F.collect_list(F.struct("no", "digest", "ids"))).alias("parts")
     whole = recipes.join(chunks, "digest", "left").groupBy("doc_id", "start", "n_tokens").agg(parts)
 

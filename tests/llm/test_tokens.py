@@ -95,6 +95,7 @@ def test_damage_and_losses_are_found(spark, docs, read):
         ({"recipes": lambda t: t.where("doc_id <> 2")}, "recipes are missing"),
         ({"recipes": lambda t: t.where("doc_id <> 1")}, "recipes"),
         ({"recipes": lambda t: t.limit(0)}, "recipes are missing"),
+        ({"recipes": lambda t: t.withColumn("digests", F.expr("slice(digests, 1, 0)")).withColumn("lengths", F.expr("slice(lengths, 1, 0)"))}, "missing"),
         ({"manifest": lambda t: t.withColumn("merkle", F.lit(b"x"))}, "root"),
         ({"manifest": lambda t: t.withColumn("tokens", F.col("tokens") + 1)}, "root|recipes"),
     ]
