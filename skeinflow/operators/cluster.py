@@ -2,16 +2,22 @@
 
 Features are columns. Two forms use them: fold() goes through a bounded pool in
 order, each item joining the first story that takes it, as an editor would;
-graph() links items that meet under a rare phrase, a rare name, parties or
-similar words, with the same vetoes, and takes connected components, which
-works on tables of any size. They differ by construction: links are
-transitive, and the fold compares with what a story has gathered so far.
+graph() links items that meet under a rare phrase, a rare name, a party and a
+State, or a pair of States at one stage, and items with similar words, with the
+same vetoes, and takes connected components, which works on tables of any size.
+They differ by construction: links are transitive, and the fold compares with
+what a story has gathered so far. In graph() a rare name and a pair of States
+count by themselves, where the fold asks for another word in common as well,
+and the fold's likenesses that only a pair of items can show (two names of
+which none is rare, or three words and a low share of words in common) have no
+counterpart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,8 +25,8 @@ from pyspark.sql import functions as F
 
 from skeinflow.functions import fixed
 from skeinflow.functions import text as T
-from skeinflow.operators.graph import components
-from skeinflow.operators.link import jaccard_pairs
+from skeinflow.operators.graph import components, written
+from skeinflow.operators.link import jaccard_sets
 
 
 @dataclass(frozen=True)
@@ -51,7 +57,8 @@ def _lookup(words: Sequence[str]) -> Column:
 
 
 def features(items: DataFrame, lexicon: Lexicon, group: str | None = None, title: str = "title") -> DataFrame:
-    """items with _toks, _names, _ents, _phrases, _rare, _jur, _parties, _states, _stage.
+    """items with _toks, _names, _ents, _phrases, _rare, _told (jurisdictions in the headline), _jur (with those of the
+    record), _claimants, _respondents, _parties, _states, _stage.
 
     A phrase or name is rare if at most max(3, rows / 8) items of the pool have it; phrases with a word for a
     place, or of two words of the trade, and names of places don't count. The pool is the group's rows.
@@ -64,13 +71,14 @@ def features(items: DataFrame, lexicon: Lexicon, group: str | None = None, title
     df = items.withColumn("_head", head).withColumns(
         {
             "_toks": T.tokens("_head"), "_names": T.propers("_head"), "_bi": T.bigrams("_head"), "_states": _low(has("states")),
-            "_parties": F.array_distinct(F.concat(_low(has("claimants")), _low(has("respondents")))),
+            "_claimants": _low(has("claimants")), "_respondents": _low(has("respondents")),
             "_stage": stage(F.col("event_type")) if "event_type" in items.columns else F.lit(None).cast("string"),
         }
     )
     shorts = F.transform(F.regexp_extract_all("_head", F.lit("(?<![A-Za-z])(?:EU|UK|US|UN)(?![A-Za-z])"), F.lit(0)), lambda w: F.lower(w))
     ents = F.array_except(F.col("_names"), F.array_union(F.array_union(place_stems, generic), _lookup([*lexicon.cities, *lexicon.common])))
-    df = df.withColumns({"_jur": F.array_distinct(F.concat(_low(T.places("_head", lexicon.forms)), F.col("_states"), shorts)), "_ents": ents})
+    df = df.withColumns({"_told": F.array_distinct(F.concat(_low(T.places("_head", lexicon.forms)), shorts)), "_ents": ents})
+    df = df.withColumns({"_jur": F.array_union("_told", "_states"), "_parties": F.array_union("_claimants", "_respondents")})
     keys = [group] if group else []
     pool = df.groupBy(*keys).agg(F.count("*").alias("_n")) if group else df.agg(F.count("*").alias("_n"))
     counted = df.select(*keys, F.explode(F.concat(F.transform("_bi", lambda b: F.concat(F.lit("b:"), b)), F.transform("_names", lambda n: F.concat(F.lit("n:"), n)))).alias("k"))
@@ -93,116 +101,229 @@ def _stems_of(df: DataFrame, words: Sequence[str]) -> Column:
     return _lookup(rows)
 
 
-def related(a: dict, b: dict, closest: float, shared: int) -> bool:
-    """Whether item a belongs to story b. closest: its best similarity to a member; shared: words in common with all of the story."""
-    if a["case_ref"] and b["case_ref"] and a["case_ref"] != b["case_ref"]:
-        return False
-    conflict = bool(a["ents"] and b["ents"] and not a["ents"] & b["ents"])
-    apart = bool(a["jur"] and b["jur"] and not a["jur"] & b["jur"])
-    parties = bool(a["parties"] & b["parties"]) and bool(a["states"] & b["states"])
-    if parties:
-        return True
-    if not shared or conflict or (apart and closest < fixed.JACCARD_ALONE):
-        return False
-    phrase = not apart and bool(a["phrases"] & b["phrases"])
-    name = not apart and bool(a["rare"] & b["rare"]) and (bool(a["states"] & b["states"]) or shared >= 2)
-    kind = bool(a["placed"] & b["toks"]) and shared >= 3 and closest >= fixed.JACCARD_KIND and a["event"] == b["event"] and a["event"] not in ("", "commentary")
-    pa, pb = a["jur"] - set(UNIONS), b["jur"] - set(UNIONS)
-    pair = len(pa) >= 2 and pa == pb and shared >= 2 and not a["ents"] and not b["ents"] and a["stage"] == b["stage"] is not None
-    words = closest >= fixed.JACCARD_ALONE or (shared >= 3 and closest >= fixed.JACCARD_THREE)
-    return phrase or name or words or len(a["names"] & b["names"]) >= 2 or kind or pair
-
-
-_SETS = ("toks", "names", "ents", "phrases", "rare", "jur", "parties", "states", "placed")
+# --- the fold ------------------------------------------------------------------------------------------------
+
+WORDS = ("toks", "names", "ents", "phrases", "rare")  # what a story gathers from all its items
+RECORD = ("claimants", "respondents", "states")  # what the telling item lacks comes from the others
+
+
+class Story:
+    """A story of the fold: its telling item, what its items have in common with others, and its copies in order."""
+
+    def __init__(self, item: dict):
+        self.items, self.said, self.copies = [], [], []
+        self.words = {k: set() for k in WORDS}
+        self.tell(item)
+
+    def tell(self, item: dict) -> None:
+        """item tells the story from now on. Its own record comes first, what was known before fills its gaps."""
+        before = getattr(self, "record", {})
+        self.teller, self.text = item, item
+        self.record = {k: item[k] or before.get(k) or type(item[k])() for k in (*RECORD, "case")}
+        self.take(item)
+
+    def take(self, item: dict) -> None:
+        self.items.append(item)
+        self.said.append(item["toks"])
+        for k in WORDS:
+            self.words[k] |= item[k]
+
+    def join(self, item: dict) -> None:
+        if self.teller["lang"] != "en" and item["lang"] == "en":  # the version in English tells the story
+            self.copies.append(self.teller["id"])
+            self.tell(item)
+            return
+        self.take(item)
+        self.copies.append(item["id"])
+        for k in self.record:
+            self.record[k] = self.record[k] or item[k]
+        if item["real"] > self.text["real"]:
+            self.text = item
+
+    @property
+    def jurisdictions(self) -> set:
+        return self.teller["told"] | self.record["states"]
+
+    def holds(self, item: dict) -> bool:
+        """Whether an item belongs to the story."""
+        mine, its = self.record, item
+        if mine["case"] and its["case"] and mine["case"] != its["case"]:
+            return False
+        same_state = bool(mine["states"] & its["states"])
+        if same_state and (mine["claimants"] | mine["respondents"]) & (its["claimants"] | its["respondents"]):
+            return True
+        shared = len(self.words["toks"] & its["toks"])
+        if not shared or (self.words["ents"] and its["ents"] and not self.words["ents"] & its["ents"]):
+            return False
+        here, there = self.jurisdictions, its["told"] | its["states"]
+        apart = bool(here and there and not here & there)
+        closest = max(len(its["toks"] & t) / len(its["toks"] | t) for t in self.said)
+        if closest >= fixed.JACCARD_ALONE:
+            return True
+        if apart:
+            return False
+        pair = here - set(UNIONS)
+        return (
+            bool(self.words["phrases"] & its["phrases"])
+            or (bool(self.words["rare"] & its["rare"]) and (same_state or shared >= 2))
+            or len(self.words["names"] & its["names"]) >= 2
+            or (shared >= 3 and closest >= fixed.JACCARD_THREE)
+            or (shared >= 3 and closest >= fixed.JACCARD_KIND and bool(its["placed"] & self.words["toks"]) and its["event"] == self.teller["event"] and its["event"] not in ("", "commentary"))
+            or (shared >= 2 and len(pair) >= 2 and pair == there - set(UNIONS) and not (its["ents"] or self.words["ents"]) and its["stage"] == self.teller["stage"] is not None)
+        )
+
+
+_SETS = (*WORDS, *RECORD, "told", "placed")
 
 
 def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    stories: list[dict] = []
-    for r in pdf.sort_values("place_").to_dict("records"):
-        a = {k: set(r[f"f_{k}"] if r[f"f_{k}"] is not None else ()) for k in _SETS}
-        a |= {"case_ref": r["f_case"] or "", "event": r["f_event"] or "", "stage": r["f_stage"] if isinstance(r["f_stage"], str) else None}
-        home = None
-        for s in stories:
-            inter = len(a["toks"] & s["toks"])
-            near = max(len(a["toks"] & m) / max(1, len(a["toks"] | m)) for m in s["members"])
-            if related(a, s, near, inter):
-                home = s
-                break
+    stories: list[Story] = []
+    for r in pdf.sort_values("place").to_dict("records"):
+        item = r | {k: set(r[k] if r[k] is not None else ()) for k in _SETS}
+        item["stage"] = r["stage"] if isinstance(r["stage"], str) else None
+        home = next((s for s in stories if s.holds(item)), None)
         if home is None:
-            stories.append(a | {"members": [set(a["toks"])], "rep": r["id"], "lang": r["f_lang"], "ids": [r["id"]]})
-            continue
-        for k in ("toks", "names", "ents", "phrases", "rare"):
-            home[k] |= a[k]
-        for k in ("parties", "states"):
-            home[k] = home[k] or a[k]
-        home["case_ref"] = home["case_ref"] or a["case_ref"]
-        home["members"].append(set(a["toks"]))
-        home["ids"].append(r["id"])
-        if home["lang"] != "en" and r["f_lang"] == "en":  # the version in English tells the story
-            home |= {"rep": r["id"], "lang": "en", "event": a["event"] or home["event"], "stage": a["stage"], "jur": a["jur"] or home["jur"]}
-    rep = {i: s["rep"] for s in stories for i in s["ids"]}
-    return pd.DataFrame({"id": list(rep), "story": list(rep.values())})
-
-
-def fold(items: DataFrame, lexicon: Lexicon, place: Column, group: str | None = None) -> DataFrame:
-    """(id, story) of each item, exact on a bounded pool: story is the id of the story's representative.
+            stories.append(Story(item))
+        else:
+            home.join(item)
+    seat = {i: n for s in stories for n, i in enumerate(s.copies)}
+    out = [(i["id"], s.teller["id"], i["place"], seat.get(i["id"]) if i is not s.teller else None, s.text["id"]) for s in stories for i in s.items]
+    return pd.DataFrame(out, columns=["id", "story", "place", "seat", "text_of"]).astype({"seat": "Int64"})
+
+
+MOST_FOLDED = 5000
+
+
+def fold(items: DataFrame, lexicon: Lexicon, place: Column, group: str | None = None, most: int = MOST_FOLDED) -> DataFrame:
+    """One row per item: id, story (the id of the item that tells it), place, seat (the item's place among the
+    story's copies; null for the one that tells it), text_of (the id of the item with the fullest summary).
 
     place: a unique number that orders the pool (anchors first, then by score). Each group's pool is one task's
-    work; pools are the few hundred candidates of a day, which their selection bounds.
+    work; pools are the few hundred candidates of a day, which their selection bounds. A pool of more than `most`
+    items is an error: graph() is the form for tables.
     """
     df = features(items, lexicon, group)
+    keys = F.col(group) if group else F.lit(0)
+    sized = df.groupBy(keys.alias("_g")).agg(F.count("*").alias("_rows"))
+    large = sized.where(F.col("_rows") > most).limit(1).collect()
+    if large:
+        raise ValueError(f"a pool of {large[0]['_rows']} items is too large to fold (most: {most})")
     text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in items.columns else F.lit("")
     slim = df.select(
-        "id", place.alias("place_"), *[F.col(f"_{k}").alias(f"f_{k}") for k in _SETS], F.col("_stage").alias("f_stage"), text("case_ref").alias("f_case"),
-        text("event_type").alias("f_event"), (F.when(text("lang") == "", "en").otherwise(text("lang"))).alias("f_lang"),
-        (F.col(group) if group else F.lit(0)).alias("group_"),
+        "id", place.cast("long").alias("place"), *[F.col(f"_{k}").alias(k) for k in _SETS], F.col("_stage").alias("stage"), text("case_ref").alias("case"),
+        text("event_type").alias("event"), (F.when(text("lang") == "", "en").otherwise(text("lang"))).alias("lang"),
+        F.length(real_summary(text("summary"), text("title"))).alias("real"), keys.alias("group_"),
     )
-    schema = f"id {dict(items.dtypes)['id']}, story {dict(items.dtypes)['id']}"
-    return slim.groupBy("group_").applyInPandas(_fold, schema)
+    kind = dict(items.dtypes)["id"]
+    return slim.groupBy("group_").applyInPandas(_fold, f"id {kind}, story {kind}, place long, seat long, text_of {kind}")
+
+
+def real_summary(summary: Column, title: Column) -> Column:
+    """A summary without white space around; empty if it is a wall's text or begins with the headline again."""
+    s = F.trim(F.coalesce(summary, F.lit("")))
+    return F.when(T.is_paywall(s) | F.lower(s).startswith(F.substring(F.lower(F.coalesce(title, F.lit(""))), 1, 40)), "").otherwise(s)
+
+
+# --- the graph -----------------------------------------------------------------------------------------------
+
+
+def _meetings(rows: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect what may link: rows (id, k, e, j, c) with the same k link unless they have names (e),
+    jurisdictions (j) or case numbers (c) both and none in common.
+
+    No pairs are made. A row that lacks one of the three goes with every row there, so rows are told by which they
+    lack; under each key, for each two such kinds and each value that both must share, the rows of one kind link to
+    the smallest of the other.
+    """
+    lists = {k: F.when(F.col(k).isNull() | (F.size(k) == 0), F.array(F.lit(""))).otherwise(F.col(k)) for k in ("e", "j")} | {"c": F.array(F.coalesce("c", F.lit("")))}
+    lacks = lambda k: F.get(lists[k], F.lit(0)) == ""
+    df = written(rows.withColumn("p", reduce(lambda a, b: a + b, [F.when(lacks(k), 1 << n).otherwise(0) for n, k in enumerate("ejc")])), "meetings")
+    kinds_there = sorted(r["p"] for r in df.select("p").distinct().collect())  # eight at most
+    if not kinds_there:
+        return rows.select(F.col("id").alias("u"), F.col("id").alias("v"))
+
+    def with_kind(q: int) -> Column:
+        e, j, c = (F.array(F.lit("")) if q >> n & 1 else lists[k] for n, k in enumerate("ejc"))
+        must = F.flatten(F.transform(e, lambda x: F.flatten(F.transform(j, lambda y: F.transform(c, lambda z: F.concat_ws("\x01", x, y, z))))))
+        kinds = F.concat_ws("\x01", F.least("p", F.lit(q)).cast("string"), F.greatest("p", F.lit(q)).cast("string"))
+        return F.transform(F.array_distinct(must), lambda m: F.struct(F.concat_ws("\x01", kinds, m).alias("g"), (F.col("p") > q).alias("side"), (F.col("p") == q).alias("own")))
+
+    dealt = df.select("id", "k", F.inline(F.concat(*[with_kind(q) for q in kinds_there])))
+    least = dealt.groupBy("k", "g").agg(F.min(F.when(~F.col("side"), F.col("id"))).alias("a"), F.min(F.when(F.col("side"), F.col("id"))).alias("b"))
+    met = dealt.join(least, ["k", "g"])
+    return met.select("id", F.when(F.col("own") | F.col("side"), F.col("a")).otherwise(F.col("b")).alias("u")).where("u IS NOT NULL AND id <> u").select("u", F.col("id").alias("v")).distinct()
 
 
 def graph(items: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(id, story) on tables of any size: connected components of linked items, split again by case number."""
-    df = features(items, lexicon).withColumn("_case", F.col("case_ref") if "case_ref" in items.columns else F.lit(None).cast("string"))
-    slim = df.select("id", "_toks", "_ents", "_jur", "_parties", "_states", "_names", "_case", "_rare", "_phrases")
-    meet = slim.select("id", F.explode(F.concat(F.transform("_phrases", lambda x: F.concat(F.lit("p:"), x)), F.transform("_rare", lambda x: F.concat(F.lit("n:"), x)))).alias("k"))
-    # Under each key the smallest id meets the others: a star, not all pairs.
-    hub = meet.groupBy("k").agg(F.min("id").alias("u"))
-    star = meet.join(hub, "k").where("id <> u").select("u", F.col("id").alias("v")).distinct()
-    near = jaccard_pairs(items, "id", "title").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    # Copies of one set of words are one representative there; they join it here.
-    same = slim.where(F.size("_toks") > 0).select("id", F.array_sort("_toks").alias("t"))
-    first = same.groupBy("t").agg(F.min("id").alias("u"))
-    copies = same.join(first, "t").where("id <> u").select("u", F.col("id").alias("v"))
-    pairs = star.union(near).union(copies).distinct()
-    a, b = (slim.select(*[F.col(c).alias(f"{side}{c}") for c in slim.columns]) for side in "xy")
-    both = pairs.join(a, F.col("u") == F.col("xid")).join(b, F.col("v") == F.col("yid"))
-    disjoint = lambda c: (F.size(f"x{c}") > 0) & (F.size(f"y{c}") > 0) & ~F.arrays_overlap(f"x{c}", f"y{c}")
-    veto = disjoint("_ents") | disjoint("_jur") | F.coalesce(F.col("x_case") != F.col("y_case"), F.lit(False))
-    comp = components(both.where(~veto).select("u", "v"))
-    labelled = df.select("id", "_case").join(comp, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "id"))
-    parts = labelled.groupBy("c", "_case").agg(F.min("id").alias("story"))
-    return labelled.join(parts, (labelled["c"] == parts["c"]) & labelled["_case"].eqNullSafe(parts["_case"])).select("id", "story")
+    """(id, story) on tables of any size: connected components of linked items. Items without a case number go with
+    one; a component of several case numbers is split by them."""
+    df = features(items, lexicon).withColumn("_case", F.when(F.col("case_ref") != "", F.col("case_ref")) if "case_ref" in items.columns else F.lit(None).cast("string"))
+    told = ("_toks", "_names", "_ents", "_rare", "_phrases", "_jur", "_parties", "_states", "_stage", "_case")
+    # Items that are alike in all this are one, with the smallest id.
+    rows = df.select("id", *[F.array_sort(c).alias(c) if c not in ("_stage", "_case") else F.col(c) for c in told])
+    rows = written(rows, "story-features")
+    first = written(rows.groupBy(*told).agg(F.min("id").alias("id")), "story-kinds")
+    alike = rows.join(first.withColumnRenamed("id", "u"), reduce(lambda a, b: a & b, [rows[c].eqNullSafe(first[c]) for c in told])).where("id <> u").select("u", F.col("id").alias("v"))
+    mark = lambda m, c: F.transform(c, lambda x: F.concat(F.lit(f"{m}:"), x))
+    both = lambda a, b: F.flatten(F.transform(a, lambda x: F.transform(F.filter(b, lambda y: y != x), lambda y: F.concat_ws(" ", x, y))))
+    states = F.array_except("_jur", _lookup(UNIONS))
+    pair = (F.size("_ents") == 0) & (F.size(states) >= 2) & F.col("_stage").isNotNull()
+    keys = F.concat(
+        mark("phrase", F.col("_phrases")), mark("name", F.col("_rare")),
+        F.when(pair, F.array(F.concat_ws(" ", F.lit("pair:"), F.array_join(F.array_sort(states), ","), F.col("_stage")))).otherwise(F.array().cast("array<string>")),
+    )
+    apart = [F.col("_ents").alias("e"), F.col("_jur").alias("j"), F.col("_case").alias("c")]
+    none = F.array().cast("array<string>")
+    met = _meetings(first.select("id", F.explode(F.array_distinct(keys)).alias("k"), *apart))
+    # The same party and State: only case numbers keep those apart.
+    parties = _meetings(first.select("id", F.explode(both(F.col("_parties"), F.col("_states"))).alias("k"), none.alias("e"), none.alias("j"), F.col("_case").alias("c")))
+    # Similar words: sets of words are compared once, and the items of two similar sets (or of one) meet under them.
+    sets = first.select("id", "_toks", "_ents", "_case").where(F.size("_toks") > 0)
+    leader = written(sets.groupBy("_toks").agg(F.min("id").alias("set")), "story-words")
+    near = jaccard_sets(leader.select(F.col("set").alias("id"), F.col("_toks").alias("t")))
+    named = near.select(F.concat_ws(" ", "a", "b").alias("k"), F.explode(F.array("a", "b")).alias("set")).union(leader.select(F.col("set").cast("string"), "set"))
+    words = sets.join(leader, "_toks").join(named, "set").select("id", "k", F.col("_ents").alias("e"), none.alias("j"), F.col("_case").alias("c"))
+    comp = components(alike.union(met).union(parties).union(_meetings(words)))
+    labelled = rows.select("id", "_case").join(comp, F.col("id") == F.col("node"), "left").select("id", "_case", F.coalesce("component", "id").alias("c"))
+    cases = labelled.groupBy("c").agg((F.min("_case") != F.max("_case")).alias("several"), F.min("id").alias("least"))
+    split = labelled.groupBy("c", "_case").agg(F.min("id").alias("own"))
+    out = labelled.join(cases, "c").join(split.withColumnsRenamed({"c": "c_", "_case": "case_"}), (F.col("c") == F.col("c_")) & F.col("_case").eqNullSafe(F.col("case_")))
+    return out.select("id", F.when(F.coalesce("several", F.lit(False)), F.col("own")).otherwise(F.col("least")).alias("story"))
 
 
 def merged(items: DataFrame, stories: DataFrame) -> DataFrame:
-    """One row per story: its representative's columns, and also, the copies (source, url, title) in order of id.
-    Lists and values that the representative lacks come from the copy of the smallest id that has them."""
+    """One row per story: the columns of the item that tells it, and also, the copies (source, url, title) in order,
+    after those that the first item had already. Lists and values that it lacks come from the first item that has
+    them, and the summary is the fullest of the story's. stories: (id, story) and, from fold(), place, seat, text_of;
+    without those the order is that of ids and the first of the fullest summaries counts."""
     cols = [c for c in ("counsel", "claimants", "respondents", "states", "sectors", "arbitrators") if c in items.columns]
     single = [c for c in ("treaty", "amount_usd", "case_ref") if c in items.columns]
-    df = items.join(stories.select("id", F.col("story").alias("_story")), "id")
+    ordered = {"place", "seat", "text_of"} <= set(stories.columns)
+    at = stories.select("id", F.col("story").alias("_story"), *[F.col(c).alias(f"_{c}") for c in (("place", "seat", "text_of") if ordered else ())])
+    df = items.join(at, "id")
+    place, seat = (F.col("_place"), F.col("_seat")) if ordered else (F.col("id"), F.col("id"))
+    copy = "array<struct<source string, url string, title string>>"
+    had = F.coalesce("also", F.expr(f"cast(array() as {copy})")) if "also" in items.columns else F.expr(f"cast(array() as {copy})")
     other = F.col("id") != F.col("_story")
-    own = F.array_sort(F.collect_list(F.when(other, F.struct("id", "source", "url", "title"))))
-    fill = [F.min_by(c, F.when(F.size(c) > 0, F.col("id"))).alias(f"_{c}") for c in cols]
-    fill += [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(f"_{c}") for c in single]
-    rest = df.groupBy("_story").agg(F.transform(own, lambda x: F.struct(x["source"], x["url"], x["title"])).alias("_also"), *fill)
+    own = F.array_sort(F.collect_list(F.when(other, F.struct(seat.alias("seat"), "source", "url", "title"))))
+    fill = [F.min_by(c, F.when(F.size(c) > 0, place)).alias(f"_{c}") for c in cols]
+    fill += [F.min_by(c, F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), place)).alias(f"_{c}") for c in single]
+    if "summary" in items.columns:
+        real = F.length(real_summary(F.col("summary"), F.col("title")))
+        best = F.when(F.col("id") == F.col("_text_of"), F.lit(0)) if ordered else F.when(real > 0, F.struct(-real, F.col("id")))
+        fill.append(F.min_by("summary", best).alias("_summary"))
+        fill.append(F.max(F.when(~other, real)).alias("_real"))
+        fill.append(F.max(real).alias("_most"))
+    rest = df.groupBy("_story").agg(F.transform(own, lambda x: F.struct(x["source"], x["url"], x["title"])).alias("_also"), F.min_by(had, place).alias("_had"), *fill)
     out = items.join(rest, items["id"] == rest["_story"]).drop("_story")
     for c in cols:
         out = out.withColumn(c, F.when(F.size(c) > 0, F.col(c)).otherwise(F.coalesce(f"_{c}", c))).drop(f"_{c}")
     for c in single:
-        out = out.withColumn(c, F.coalesce(c, f"_{c}")).drop(f"_{c}")
-    before = F.coalesce("also", F.expr("cast(array() as array<struct<source string, url string, title string>>)")) if "also" in items.columns else F.expr("cast(array() as array<struct<source string, url string, title string>>)")
-    return out.withColumn("also", F.concat(before, "_also")).drop("_also")
+        out = out.withColumn(c, F.coalesce(F.when(F.col(c).cast("string") != "", F.col(c)), f"_{c}", c)).drop(f"_{c}")
+    if "summary" in items.columns:
+        fuller = F.col("_summary") if ordered else F.when(F.col("_most") > F.col("_real"), F.col("_summary"))
+        out = out.withColumn("summary", F.coalesce(fuller, "summary")).drop("_summary", "_real", "_most")
+    return out.withColumn("also", F.concat("_had", "_also")).drop("_also", "_had")
 
 
 def cite_best(stories: DataFrame, rank) -> DataFrame:

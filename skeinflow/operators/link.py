@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinflow.functions import fixed
-from skeinflow.functions.text import bigrams, is_paywall, stems, tokens
+from skeinflow.functions.text import is_paywall, stems, tokens
+from skeinflow.operators.graph import written
 
 
 def interval_join(left: DataFrame, right: DataFrame, key: str, left_day: str, right_day: str, before: int, after: int) -> DataFrame:
@@ -103,30 +104,48 @@ def stem_candidates(left: DataFrame, right: DataFrame, text: str, least: int = 2
 
 
 def jaccard_pairs(df: DataFrame, id: str, text: str, least: float = fixed.JACCARD_ALONE) -> DataFrame:
-    """(a, b, jaccard) with a < b of distinct token sets whose Jaccard similarity is `least` or more.
+    """(a, b, jaccard) with a < b of distinct token sets whose Jaccard similarity is `least` or more. Rows with the
+    same set are one representative (the smallest id), so copies don't multiply."""
+    sets = df.select(F.col(id).alias("id"), F.array_sort(tokens(text)).alias("t")).where(F.size("t") > 0).groupBy("t").agg(F.min("id").alias("id"))
+    return jaccard_sets(sets, least)
+
 
-    Rows with the same set are one representative (the smallest id), so copies
-    don't multiply. A pair above the bound must share a token among the first
-    of each set in order of rarity (prefix filtering), so only those are joined.
+def jaccard_sets(sets: DataFrame, least: float = fixed.JACCARD_ALONE) -> DataFrame:
+    """(a, b, jaccard) with a < b of the similar ones among distinct, non-empty sets (id, t).
+
+    A pair above the bound shares a word among the first of each set in order of rarity (prefix filtering), so rows
+    meet only there; what travels is numbers: of a word the rank, of a set its size. The words themselves are
+    compared at the end, once for each pair.
     """
-    sets = df.select(F.col(id).alias("id"), F.array_sort(tokens(text)).alias("t")).where(F.size("t") > 0).groupBy("t").agg(F.min("id").alias("id"))
+    sets = written(sets.select("id", "t"), "word-sets")
     word = sets.select("id", F.explode("t").alias("w"))
-    rank = word.groupBy("w").agg(F.count("*").alias("n"))
-    ordered = word.join(rank, "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("o"))
-    prefix = F.slice(F.col("o.w"), 1, F.size("o") - F.ceil(least * F.size("o")).cast("int") + 1)
-    rows = ordered.select("id", F.col("o.w").alias("t"), F.explode(prefix).alias("w"))
-    a, b = rows.select(F.col("id").alias("a"), F.col("t").alias("ta"), "w"), rows.select(F.col("id").alias("b"), F.col("t").alias("tb"), "w")
-    close = (F.size("ta") >= least * F.size("tb")) & (F.size("tb") >= least * F.size("ta"))
+    # The rank orders words by rarity; words of one count are told apart by their hash.
+    rank = word.groupBy("w").agg(F.count("*").alias("n")).select("w", F.struct("n", F.xxhash64("w").alias("h")).alias("r"))
+    ordered = word.join(rank, "w").groupBy("id").agg(F.array_sort(F.collect_list("r")).alias("o"))
+    n = F.size("o")
+    prefix = F.slice("o", 1, n - F.ceil(least * n).cast("int") + 1)
+    rows = written(ordered.select("id", n.alias("n"), F.posexplode(F.transform(prefix, lambda x: x["h"])).alias("at", "w")), "word-prefixes")
+    a, b = rows.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), "w"), rows.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), "w")
+    # Sizes, and what is left after the place where they meet, must still allow the bound.
+    size = F.col("na") + F.col("nb")
+    left = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    met = a.join(b, "w").where((F.col("a") < F.col("b")) & (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na")))
+    earlier = F.least("ia", "ib")
+    met = met.where((left + earlier) * (1 + least) >= least * size).select("a", "b").distinct()
     inter = F.size(F.array_intersect("ta", "tb"))
-    pairs = a.join(b, "w").where((F.col("a") < F.col("b")) & close).withColumn("jaccard", inter / (F.size("ta") + F.size("tb") - inter))
-    return pairs.where(F.col("jaccard") >= least).select("a", "b", "jaccard").distinct()
+    pairs = met.join(sets.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+    return pairs.withColumn("jaccard", inter / (F.size("ta") + F.size("tb") - inter)).where(F.col("jaccard") >= least).select("a", "b", "jaccard")
 
 
 def rare_phrases(df: DataFrame, id: str, text: str, share: int = 8) -> DataFrame:
     """(phrase, n): pairs of stems that at most max(3, rows / share) rows have."""
-    counted = df.select(id, F.explode(bigrams(text)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
-    rows = df.count()
-    return counted.where(F.col("n") <= max(3, rows // share))
+    pair = lambda w, i: F.struct(w.alias("w"), F.get("s", i + 1).alias("x"))
+    pairs = F.transform(F.filter(F.transform("s", pair), lambda p: p["x"].isNotNull()), lambda p: F.concat_ws(" ", p["w"], p["x"]))
+    # Every row has an empty phrase besides its own, so that rows are counted in the same pass.
+    each = df.select(stems(text).alias("s")).select(F.explode(F.concat(F.array_distinct(pairs), F.array(F.lit("")))).alias("phrase"))
+    counted = written(each.groupBy("phrase").agg(F.count("*").alias("n")), "phrase-counts")
+    rows = counted.where("phrase = ''").first()
+    return counted.where((F.col("phrase") != "") & (F.col("n") <= max(3, (rows["n"] if rows else 0) // share)))
 
 
 def stem_frequency(df: DataFrame, text: str) -> DataFrame:
