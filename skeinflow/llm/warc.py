@@ -7,10 +7,12 @@ from the archive's stream, each with the SHA-1 of the payload so far. Of pages
 with equal payloads the one with the smallest page_id is written as response,
 the others as revisit records that refer to it and carry no payload.
 
-Archives are files `part-<partition>-<number>.warc.gz`, each record a gzip
-member of its own, begun under a temporary name and renamed when complete; a
-task that runs again writes the same files. They go through pyarrow's file
-systems, so the folder may be any that those reach from all executors.
+Archives are files `part-<partition>-<attempt>-<number>.warc.gz`, each record a
+gzip member of its own. Every attempt of a task writes files of its own names,
+and only those of the attempt that Spark takes are listed, so a task that runs
+twice or is lost leaves no file half replaced; what is not listed is never
+read. They go through pyarrow's file systems, so the folder may be any that
+those reach from all executors.
 """
 
 from __future__ import annotations
@@ -35,11 +37,12 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def chunks(pages: DataFrame, min_bytes: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """Rows to write: page_id, url, sha1 (hexadecimal), payload_bytes, first (page_id of the response, null
-    for a response), chunk_no, chunks, data. Revisits have one row, without data.
+    """Rows to write: page_id, repeated (another row has that page_id, or it is null), url, sha1 (hexadecimal),
+    payload_bytes, first (page_id of the response, null for a response), chunk_no, chunks, data. Revisits have one row, without data.
 
     Null html is an empty payload. Payloads of fewer than min_bytes are always
-    responses. Rows that repeat a page_id with the same payload are alike.
+    responses. Rows that repeat a page_id with the same payload are alike; one
+    without a page_id is a response. Other columns are not read.
     """
     body = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     body = body.withColumn("sha1", F.sha1("payload")).withColumn("payload_bytes", F.length("payload").cast("long"))
@@ -48,25 +51,26 @@ def chunks(pages: DataFrame, min_bytes: int = 0, chunk: int = CHUNK) -> DataFram
     light = written(body.where(F.col("payload_bytes") >= min_bytes).select("page_id", "sha1"), "warc-digests")
     first = light.groupBy("sha1").agg(F.min("page_id").alias("first"))
     again = light.join(first, "sha1").where("page_id <> first").distinct()
-    rows = body.join(again, ["page_id", "sha1"], "left")
+    twice = body.groupBy("page_id").agg(F.count("*").alias("rows")).where("rows > 1 AND page_id IS NOT NULL").select("page_id", F.lit(True).alias("twice"))
+    rows = body.join(again, ["page_id", "sha1"], "left").join(twice, "page_id", "left").withColumn("repeated", F.col("twice").isNotNull() | F.col("page_id").isNull())
     n = F.when(F.col("first").isNotNull(), 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / chunk))).cast("int")
     rows = rows.withColumn("chunks", n).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     data = F.when(F.col("first").isNull(), F.substring("payload", F.col("chunk_no") * chunk + 1, F.lit(chunk)))
-    return rows.select("page_id", "url", "sha1", "payload_bytes", "first", "chunk_no", "chunks", data.alias("data"))
+    return rows.select("page_id", "repeated", "url", "sha1", "payload_bytes", "first", "chunk_no", "chunks", data.alias("data"))
 
 
 def _base32(sha1: str) -> str:
     return base64.b32encode(bytes.fromhex(sha1)).decode()
 
 
-def _head(page: int, url: str | None, sha1: str, size: int, first: int | None, date: str) -> bytes:
-    """Headers of a record up to its payload: WARC's, then HTTP's."""
+def _head(page: int | None, own: str, url: str | None, sha1: str, size: int, first: int | None, date: str) -> bytes:
+    """Headers of a record up to its payload: WARC's, then HTTP's. own: what tells apart records of one page_id."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     uri = re.sub(r"[\s\x00-\x1f\x7f]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "") or "about:blank"
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if first is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page}>",
+        f"WARC-Record-ID: <urn:page:{page}{own}>",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: sha1:{_base32(sha1)}",
@@ -85,7 +89,7 @@ def _writer(folder: str, date: str, file_bytes: int):
         task = TaskContext.get()
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        out = name = temp = gz = sha = None
+        out = name = gz = sha = None
         files, records, size = 0, 0, 0
         done = []
 
@@ -93,25 +97,22 @@ def _writer(folder: str, date: str, file_bytes: int):
             nonlocal out
             if out is not None:
                 out.close()
-                if store.get_file_info(name).type != fs.FileType.NotFound:
-                    store.delete_file(name)  # of an earlier run of this task
-                store.move(temp, name)
-                done.append((name.rsplit("/", 1)[-1], records, size))
+                done.append((name, records, size))
             out = None
 
         for batch in batches:
             for i in range(batch.num_rows):
-                page, url, sha1, total, first, no, last, data = (c[i].as_py() for c in batch.columns)
+                page, repeated, url, sha1, total, first, no, last, data = (c[i].as_py() for c in batch.columns)
                 if no == 0:
                     if out is not None and size >= file_bytes:
                         close()
                     if out is None:
-                        name = f"{root}/part-{task.partitionId():06d}-{files:04d}.warc.gz"
-                        temp = f"{root}/.{task.taskAttemptId()}-{files:04d}.tmp"
-                        out, files, records, size = store.open_output_stream(temp), files + 1, 0, 0
+                        name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{files:04d}.warc.gz"
+                        out, files, records, size = store.open_output_stream(f"{root}/{name}", compression=None), files + 1, 0, 0
                     gz, sha = zlib.compressobj(1, wbits=31), hashlib.sha1(usedforsecurity=False)
                     records += 1
-                    size += out.write(gz.compress(_head(page, url, sha1, total, first, date)))
+                    own = f":{task.partitionId()}-{files}-{records}" if repeated else ""
+                    size += out.write(gz.compress(_head(page, own, url, sha1, total, first, date)))
                 if data:
                     sha.update(data)
                     size += out.write(gz.compress(data))
@@ -266,7 +267,7 @@ def op3_warc(spark, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "warc")
     files = write(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     last = read(spark, folder, files, with_data=False)
-    page = lambda c: F.substring_index(c, ":", -1).cast("long")
+    page = lambda c: F.nullif(F.regexp_extract(c, "^urn:page:(-?[0-9]+)", 1), F.lit("")).cast("long")
     return last.select(
         page("record_id").alias("page_id"), "payload_bytes", F.when(F.col("type") == "revisit", F.col("declared")).otherwise(F.col("digest")).alias("payload_digest"),
         F.col("type").alias("record_type"), page("refers_to").alias("refers_to"),

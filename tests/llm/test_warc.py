@@ -65,4 +65,13 @@ def test_empty_table_and_repeats(spark):
     assert W.read(spark, folder, W.write(spark.createDataFrame([], schema), folder)).count() == 0
     folder = shared_path(spark, "warc")
     rows = W.read(spark, folder, W.write(spark.createDataFrame([(1, "u", "a"), (1, "u", "a"), (2, "u", "a")], schema), folder), with_data=False).collect()
-    assert sorted((r["record_id"], r["type"]) for r in rows) == [("urn:page:1", "response")] * 2 + [("urn:page:2", "revisit")]
+    assert sorted((r["record_id"].split(":")[2], r["type"]) for r in rows) == [("1", "response")] * 2 + [("2", "revisit")]
+    assert len({r["record_id"] for r in rows}) == 3
+
+
+def test_pages_without_id(spark):
+    rows = [(None, "u", "a"), (None, None, "a"), (4, "u", "a"), (5, "u", "a")]
+    folder = shared_path(spark, "warc")
+    read = W.read(spark, folder, W.write(spark.createDataFrame(rows, "page_id long, url string, html string"), folder), with_data=False).collect()
+    assert sorted((r["record_id"].split(":")[2], r["type"], r["refers_to"]) for r in read) == [("4", "response", None), ("5", "revisit", "urn:page:4")] + [("None", "response", None)] * 2
+    assert len({r["record_id"] for r in read}) == 4
