@@ -48,11 +48,14 @@ def chunks(pages: DataFrame, min_bytes: int = 0, chunk: int = CHUNK) -> DataFram
     body = body.withColumn("sha1", F.sha1("payload")).withColumn("payload_bytes", F.length("payload").cast("long"))
     # A digest that a third of all pages share is one row for each task before the shuffle; the join back
     # on it carries no payload, and Spark splits it.
-    light = written(body.where(F.col("payload_bytes") >= min_bytes).select("page_id", "sha1"), "warc-digests")
-    first = light.groupBy("sha1").agg(F.min("page_id").alias("first"))
-    again = light.join(first, "sha1").where("page_id <> first").distinct()
-    twice = body.groupBy("page_id").agg(F.count("*").alias("rows")).where("rows > 1 AND page_id IS NOT NULL").select("page_id", F.lit(True).alias("twice"))
-    rows = body.join(again, ["page_id", "sha1"], "left").join(twice, "page_id", "left").withColumn("repeated", F.col("twice").isNotNull() | F.col("page_id").isNull())
+    light = written(body.select("page_id", "sha1", "payload_bytes"), "warc-digests")
+    first = light.where(F.col("payload_bytes") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"))
+    twice = light.groupBy("page_id").agg(F.count("*").alias("rows")).where("rows > 1").select("page_id", F.lit(True).alias("repeated"))
+    own = light.join(first, "sha1", "left").join(twice, "page_id", "left")
+    later = F.when((F.col("page_id") != F.col("first")) & (F.col("payload_bytes") >= min_bytes), F.col("first"))
+    # Only pages that these say something of; the payloads move once, for the join with them.
+    marks = own.select("page_id", "sha1", later.alias("first"), "repeated").where("first IS NOT NULL OR repeated").distinct()
+    rows = body.join(marks, ["page_id", "sha1"], "left").withColumn("repeated", F.coalesce("repeated", F.col("page_id").isNull()))
     n = F.when(F.col("first").isNotNull(), 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / chunk))).cast("int")
     rows = rows.withColumn("chunks", n).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     data = F.when(F.col("first").isNull(), F.substring("payload", F.col("chunk_no") * chunk + 1, F.lit(chunk)))
