@@ -6,12 +6,13 @@ marker, the pieces with scores, and byte fallback. A unigram model becomes the
 library's Unigram with those scores; a BPE model becomes its BPE, with a merge
 for each way to split a piece into two others, ordered by the piece's score.
 
-Batches of texts go through the library's encode_batch on its threads, split
-before white-space markers where no piece has one after another character. Only
-a unigram model's texts with characters that fall back to bytes are encoded part
-by part, as the library's own fallback is another. `verify` encodes with the
-sentencepiece library as well and compares. A model file with a rule that is
-not rebuilt here is refused.
+Texts are split before white-space markers where no piece has one after another
+character. The words of a batch that are not known yet, each once, go through
+the library's encode_batch on its threads, and are kept; where the split does
+not hold whole texts go through it. Only a unigram model's characters that fall
+back to bytes are put together here, as the library's own fallback is another.
+`verify` encodes with the sentencepiece library as well and compares. A model
+file with a rule that is not rebuilt here is refused.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinflow.llm.common import slices
-from skeinflow.llm.tokens import CachedEncoder, packed_ids
+from skeinflow.llm.tokens import Known, packed_ids
 
 MARK = "▁"
+WORDS = 50_000  # sent to the library at a time
 # Field numbers and enumerations of the model's protobuf.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -157,6 +160,8 @@ class SentencePieces:
     def __init__(self, raw: bytes):
         self.model = m = parse(raw)
         self.normalise = normaliser(m)
+        from tokenizers import Tokenizer
+
         inner = library_model(m, strict=True)
         byte = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(m.pieces) if t == BYTE} if m.byte_fallback else {}
         unknown = next(i for i, x in enumerate(m.pieces) if x[2] == UNKNOWN)
@@ -178,8 +183,12 @@ class SentencePieces:
             text = (MARK + text if text and m.dummy_prefix else text).replace(" ", MARK)
             return ([text] if text else []) if self.whole else runs.findall(text)
 
-        self.parts = CachedEncoder(None, split, packed_ids(lambda w: ids_of(MARK + w if plain and w[0] != MARK else w)))
+        self.split = split
+        self.ids_of = packed_ids(ids_of)
+        self.marked = (lambda w: MARK + w if w[0] != MARK else w) if plain else (lambda w: w)
+        self.known = Known(lambda w: self.ids_of(self.marked(w)))
         self.library = tokenizer(m, self.whole, strict=m.kind == UNIGRAM)
+        self.words = Tokenizer(inner)
         self.unmatched = unknown if byte and m.kind == UNIGRAM else None
         self.bytes = [
             bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else m.unknown.encode() if t == UNKNOWN else p.replace(MARK, " ").encode()
@@ -194,12 +203,22 @@ class SentencePieces:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.encode_normalised([self.normalised(t) for t in texts])
 
+    def batch(self, tokenizer, parts: list[str]) -> list[bytes]:
+        """Ids of texts or words, as bytes, by the library's threads."""
+        out = [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        fallen = (lambda ids: self.unmatched is not None and (ids == self.unmatched).any())
+        return [self.ids_of(p) if fallen(ids) else ids.tobytes() for p, ids in zip(parts, out, strict=True)]
+
     def encode_normalised(self, texts: list[str]) -> list[np.ndarray]:
-        out = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        if self.unmatched is not None:
-            for i in [i for i, ids in enumerate(out) if (ids == self.unmatched).any()]:
-                out[i] = self.parts.encode([texts[i]])[0]
-        return out
+        if self.whole and self.unmatched is None:
+            return [np.frombuffer(x, "<u4") for x in self.batch(self.library, texts)]
+        parts = [self.split(t) for t in texts]
+        new = [w for w in set(chain.from_iterable(parts)) if w and w not in self.known and w not in self.known.old and len(w) <= self.known.longest]
+        for at in range(0, len(new), WORDS):
+            words = new[at : at + WORDS]
+            for w, ids in zip(words, self.batch(self.words, [self.marked(w) for w in words]), strict=True):
+                self.known.keep(w, ids)
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, p)), "<u4") for p in parts]
 
     def decode(self, ids: np.ndarray) -> str:
         out = b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")

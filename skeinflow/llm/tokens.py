@@ -68,11 +68,14 @@ class Known(dict):
             out = self.ids_of(key)
             if len(key) > self.longest:
                 return out
+        self.keep(key, out)
+        return out
+
+    def keep(self, key: str, ids: bytes) -> None:
         if len(self) >= self.half:
             self.old = dict(self)
             self.clear()
-        self[key] = out
-        return out
+        self[key] = ids
 
 
 def packed_ids(ids_of):
