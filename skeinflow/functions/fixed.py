@@ -37,6 +37,7 @@ STEM5_STOP = tuple(
     "about after against amid before between court from over says said that their there these this under what when which while with would your "
     "into than them then they were will have been being more most".split()
 )
+# Words of offers and prompts that are no prose about a subject.
 PROMO = (
     r"subscribe|sign up|newsletter|cookie|click here|read more|topic tool|3000\+ topics|log in|register to|free trial|all rights reserved|"
     "terms of use|privacy policy"
@@ -172,3 +173,13 @@ FUNCTION_WORDS = tuple(
     "shall should this these those such also both either another other any some each every all most several many using including without within "
     "because since until unless whether what how why then yet just".split()
 )
+
+# What names a business in a text; cabinets are none.
+BUSINESS = (
+    r"\b(?:Inc|Ltd|Limited|Plc|LLC|LLP|GmbH|AG|SA|SpA|NV|BV|Pty|Corp|Corporation|Holdings|Group|"
+    r"Co\b|Company|Industries|Energy|Mining|Resources|Petroleum|Oil|Gas|Power|Bank|Telecom|Airlines|"
+    r"Airways|Cement|Steel|Motors|Pharma|Capital|Partners|Ventures)\b(?!\s+of\s+Ministers)"
+)
+
+# What shows a foreign or sovereign side in a docket's text in lower case.
+FOREIGN = "foreign|republic of|kingdom of|federation|international|new york convention|1782"

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.functions import editing, fixed
-from skeinflow.functions.text import outlet_rank, topics
+from skeinflow.functions.text import outlet_rank, places, topics
 from skeinflow.operators import classify, cluster
 from skeinflow.operators import select as sel
 from skeinflow.operators.graph import written
@@ -42,7 +42,7 @@ class Settings:
     on_topic: str = "arbitra|award|tribunal|treaty|expropriat|nationali[sz]|seiz|revok|licen[cs]e|concession|enforce|annul|windfall[- ]tax"
     dispute: str = r"arbitra|award|tribunal|\bclaims?\b|\bdispute|lawsuit|litigation|\bsue[sd]?\b|damages|breach of contract"
     arbitral: str = r"arbitra|\baward\b|exequatur|new york convention|seat of"
-    business: str = r"\b(?:Inc|Ltd|Limited|Plc|LLC|GmbH|AG|SA|Corp|Corporation|Holdings|Group|Company|Energy|Mining|Resources|Bank|Telecom|Steel|Capital)\b"
+    business: str = fixed.BUSINESS
     tiers: dict[int, tuple[str, ...]] = field(default_factory=dict)
     lexicon: cluster.Lexicon = cluster.Lexicon()
     capitals: dict[str, str] = field(default_factory=dict)
@@ -123,6 +123,14 @@ def stories(items: DataFrame, issues: DataFrame, shown: DataFrame, day: Column,
     return kept.drop("_topics").orderBy(F.desc_nulls_last("score"), "id")
 
 
+def foreign_docket(places: Column) -> Column:
+    """Whether a federal docket's row has a foreign or sovereign side: by its list, its caption, its words, or a State in
+    its title (places: those named in it)."""
+    title, source = F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("source", F.lit("")))
+    listed = F.contains(source, F.lit("sovereign")) | F.contains(source, F.lit("execution")) | title.startswith("in re")
+    return listed | F.concat_ws(" ", title, F.lower("summary")).rlike(fixed.FOREIGN) | (F.size(places) > 0)
+
+
 def track(
     items: DataFrame, issues: DataFrame, shown: DataFrame, taken: DataFrame, day: Column, s: Settings, events: tuple[str, ...], most: int, floor: float,
     trade_ok: bool, records_ok: bool, business_gate: bool, arbitral_gate: bool,
@@ -134,6 +142,8 @@ def track(
         rows = rows.where(~reduce(lambda a, b: a | b, [F.col("source").startswith(r) for r in ("ICSID docket", "SEC EDGAR", "PCA case list")]))
     if not trade_ok:
         rows = rows.where(~trade)
+    # Of the federal dockets only those with a foreign side are the readers' matter.
+    rows = rows.where(~F.col("source").startswith("US federal docket") | foreign_docket(places("title", s.lexicon.forms)))
     own = reduce(lambda a, b: a | b, [F.col("source").startswith(r) for r in ("Court:", "US federal docket")])
     measure = F.col("event_type").isin(*fixed.MEASURE_EVENTS)
     named = (F.coalesce(F.size("claimants"), F.lit(0)) > 0) | F.col("amount_usd").isNotNull() | _body().rlike(s.business)

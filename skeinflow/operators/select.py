@@ -140,3 +140,9 @@ def pin(items: DataFrame, ids: Sequence[int], what: str) -> DataFrame:
     return items.withColumns(
         {what: F.when(chosen, now).otherwise(F.col(what)), other: F.when(chosen & now, F.lit(False)).otherwise(F.col(other))}
     )
+
+
+def pending(items: DataFrame, stage: str, most: int = 500) -> DataFrame:
+    """The newest relevant items that wait at a stage of model reading: by date of publication, else of fetching; ties by id."""
+    waiting = items.where((F.col("llm_stage") == stage) & F.coalesce("relevant", F.lit(False)))
+    return waiting.orderBy(F.desc_nulls_last(F.coalesce(F.col("published_at").cast("string"), F.col("fetched_at").cast("string"))), "id").limit(most)

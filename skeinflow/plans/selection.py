@@ -179,17 +179,19 @@ def anchor_join(spark, sf_dir):
 
 @query(
     "fullest_text",
-    f"""WITH d AS (SELECT doc_id, {FIRST_LINE} AS title, left(text, 300 + doc_id::INTEGER % 400) AS summary FROM documents),
-n AS (SELECT doc_id, title, length(summary) AS own FROM d WHERE length(summary) < 400),
-w AS (SELECT title, max((length(summary), -doc_id, summary)) AS b FROM d WHERE summary <> '' AND NOT starts_with(lower(summary), lower(left(title, 40))) GROUP BY title)
-SELECT doc_id, own FROM n JOIN w USING (title) WHERE b[1] > own + 20""",
+    r"""WITH t AS (SELECT conv_id * 1000 + turn AS id, conv_id::VARCHAR AS title, coalesce(text, '') AS summary FROM conversations),
+d AS (SELECT *, regexp_matches(summary, '(…|\.\.\.)\s*$') AS cut FROM t),
+n AS (SELECT id, title, length(summary) AS own FROM d WHERE length(summary) < 200 OR cut),
+w AS (SELECT title, max((length(summary), -id, summary)) AS b FROM d WHERE summary <> '' AND NOT cut AND NOT starts_with(lower(summary), lower(left(title, 40))) GROUP BY title)
+SELECT id, own, b[1] AS found, md5(b[3]) AS md5 FROM n JOIN w USING (title) WHERE b[1] > own + 20""",
 )
 def fullest_text(spark, sf_dir):
-    """Documents with a short excerpt for which a longer one stands under the same first line."""
-    d = titled(spark, sf_dir)
-    d = d.select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("url"), "title", F.expr("left(text, 300 + cast(doc_id % 400 as int))").alias("summary"))
-    found = link.fullest_summary(d, least=400)
-    return d.join(found.select("id"), "id", "left_semi").select(F.col("id").alias("doc_id"), F.length("summary").cast("long").alias("own"))
+    """Short turns of conversations for which a longer one stands in the same conversation."""
+    t = table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("id"), F.lit(None).cast("string").alias("url"), F.col("conv_id").cast("string").alias("title"), F.coalesce("text", F.lit("")).alias("summary")
+    )
+    found = link.fullest_summary(t).withColumnRenamed("summary", "best")
+    return t.join(found, "id").select("id", F.length("summary").cast("long").alias("own"), F.length("best").cast("long").alias("found"), F.md5("best").alias("md5"))
 
 
 @query(

@@ -94,3 +94,18 @@ def test_parts_of_a_day(spark, tmp_path):
     (file,) = (tmp_path / "day=2026-01-10").glob("*.json")
     day = json.loads(file.read_text())
     assert day["date"] == "2026-01-10" and [x["place"] for x in day["stories"]] == [0, 1, 2, 3] and len(day["enforcement"]) == 1
+
+
+def test_foreign_dockets_and_waiting_items(spark):
+    from skeinflow.functions.text import places
+    from skeinflow.operators.select import pending
+
+    df = spark.createDataFrame(
+        [(1, "US federal docket", "Smith v. Broker Inc", "consumer claim"), (2, "US federal docket", "In re Application of Halvar", None), (3, "US federal docket (sovereign)", "A v. B", None),
+         (4, "US federal docket", "Halvar v. Peru", None), (5, "US federal docket", "A v. B", "Petition under the New York Convention")], "id long, source string, title string, summary string"
+    )
+    assert [r["id"] for r in df.where(issue.foreign_docket(places("title", LEXICON.forms))).orderBy("id").collect()] == [2, 3, 4, 5]
+    rows = spark.createDataFrame([(1, "none", True, "2026-01-01", None), (2, "none", True, None, "2026-01-03"), (3, "done", True, "2026-01-05", None), (4, "none", False, "2026-01-05", None), (5, "none", True, None, None)], "id long, llm_stage string, relevant boolean, published_at string, fetched_at string")
+    assert [r["id"] for r in pending(rows, "none", 2).collect()] == [2, 1]
+    text = spark.createDataFrame([("Ruling on Halvar Petroleum",), ("Cabinet Group of Ministers",), ("Acme Co pays",)], "t string")
+    assert [r[0] for r in text.select(F.col("t").rlike(issue.Settings().business)).collect()] == [True, False, True]
