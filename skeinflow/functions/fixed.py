@@ -182,4 +182,4 @@ BUSINESS = (
 )
 
 # What shows a foreign or sovereign side in a docket's text in lower case.
-FOREIGN = "foreign|republic of|kingdom of|federation|international|new york convention|1782"
+FOREIGN_WORDS = "foreign|republic of|kingdom of|federation|international|new york convention|1782"

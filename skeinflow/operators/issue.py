@@ -128,7 +128,7 @@ def foreign_docket(places: Column) -> Column:
     its title (places: those named in it)."""
     title, source = F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("source", F.lit("")))
     listed = F.contains(source, F.lit("sovereign")) | F.contains(source, F.lit("execution")) | title.startswith("in re")
-    return listed | F.concat_ws(" ", title, F.lower("summary")).rlike(fixed.FOREIGN) | (F.size(places) > 0)
+    return listed | F.concat_ws(" ", title, F.lower("summary")).rlike(fixed.FOREIGN_WORDS) | (F.size(places) > 0)
 
 
 def track(
