@@ -183,3 +183,11 @@ BUSINESS = (
 
 # What shows a foreign or sovereign side in a docket's text in lower case.
 FOREIGN_WORDS = "foreign|republic of|kingdom of|federation|international|new york convention|1782"
+
+# How courts are cited, by their place in the address of a judgment.
+COURT_CODES = {
+    "uksc": "UKSC", "ukpc": "UKPC", "ewca/civ": "EWCA Civ", "ewca/crim": "EWCA Crim",
+    "ewhc/comm": "EWHC (Comm)", "ewhc/tcc": "EWHC (TCC)", "ewhc/ch": "EWHC (Ch)", "ewhc/kb": "EWHC (KB)",
+    "ewhc/qb": "EWHC (QB)", "ewhc/admlty": "EWHC (Admlty)", "ewhc/admin": "EWHC (Admin)",
+    "ewhc/fam": "EWHC (Fam)", "ewhc/pat": "EWHC (Pat)", "ewhc/ipec": "EWHC (IPEC)", "ewhc/scco": "EWHC (SCCO)",
+}

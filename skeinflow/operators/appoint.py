@@ -155,3 +155,23 @@ def concentration(table: DataFrame, top: int = 20, who: str = "arbitrator") -> D
 
 def reason_count(rows: DataFrame, reason: str = "disqualification") -> DataFrame:
     return rows.agg(F.count_if(F.col("reason") == reason).alias("n"))
+
+
+def analytics(cases: DataFrame, as_of: Column, top: int = 60, days: int = 365) -> dict[str, DataFrame]:
+    """The tables of the appointment report: totals (one row), arbitrators and counsel (the `top` largest), affinity,
+    reconstitutions and recent (seats of the last days)."""
+    rows = seats(cases)
+    table = appointee_table(rows)
+    totals = concentration(table).join(F.broadcast(cases.agg(F.count("*").alias("cases"))))  # one row each
+    return {
+        "totals": totals.withColumn("generated", as_of.cast("string")),
+        "arbitrators": table.orderBy(F.desc("total"), "arbitrator").limit(top),
+        "counsel": counsel_table(rows).orderBy(F.desc("total"), "firm").limit(top),
+        "affinity": firm_affinity(rows), "reconstitutions": reconstitutions(cases), "recent": recent_appointments(rows, as_of, days),
+    }
+
+
+def write_analytics(cases: DataFrame, as_of: Column, path: str, **limits: int) -> None:
+    """The report as JSON lines, a folder for each table, so that no table passes through one task."""
+    for name, df in analytics(cases, as_of, **limits).items():
+        df.write.mode("overwrite").json(f"{path}/{name}")

@@ -36,6 +36,15 @@ def registry(sources: dict[str, tuple[Callable[[], DataFrame], int]], enabled: d
     return reduce(DataFrame.unionByName, parts)
 
 
+def feeds(spark: SparkSession, settings: dict) -> DataFrame:
+    """(name, url, lang, country, gated) of the feeds that settings (a parsed configuration) turn on: those of `rss` as they
+    are, those of `national_press` under name and country and gated, which means that only relevant items are kept."""
+    on = lambda f: bool(f.get("url")) and f.get("enabled", True)
+    out = [(f.get("name") or f["url"], f["url"], f.get("lang"), f.get("country"), bool(f.get("filter"))) for f in settings.get("rss") or [] if on(f)]
+    out += [(f"{f['name']} ({f['country']})", f["url"], f.get("lang", "en"), f["country"], True) for f in settings.get("national_press") or [] if on(f)]
+    return spark.createDataFrame(out, "name string, url string, lang string, country string, gated boolean")
+
+
 def within(day: Column, as_of: Column, days: int, undated: bool = True) -> Column:
     """Whether a date is in the window; undated rows are kept or not."""
     return F.coalesce((day >= F.date_sub(as_of, days)) & (day <= as_of), F.lit(undated))

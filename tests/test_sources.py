@@ -102,3 +102,24 @@ def test_news_wires_and_hosts(spark):
     assert "Halvar" in p.select(P.passage(F.col("t"), "notice of arbitration", "received", "shall be settled")).first()[0]
     swept = spark.createDataFrame([(1, "Same story - Outlet A"), (2, "Same story - Outlet B"), (3, "Else")], "id long, title string")
     assert sorted(r["id"] for r in P.collapse_sweep(swept, "id").collect()) == [1, 3]
+
+
+def test_feeds_of_a_configuration(spark):
+    settings = {"rss": [{"name": "A", "url": "http://a"}, {"name": "off", "url": "http://o", "enabled": False}, {"name": "none"}], "national_press": [{"name": "B", "country": "Peru", "url": "http://b", "lang": "es"}, {"name": "C", "country": "Chad", "url": ""}]}
+    from skeinflow.sources.payloads import feeds
+
+    assert [tuple(r) for r in feeds(spark, settings).collect()] == [("A", "http://a", None, None, False), ("B (Peru)", "http://b", "es", "Peru", True)]
+    assert feeds(spark, {}).count() == 0
+
+
+def test_analytics_report(spark, tmp_path):
+    from skeinflow.operators import appoint
+
+    kind = "caseproceedings array<struct<arbitrators string, president string, claimant string, respondent string, dateregistered string, dateconstituted string, reconstituted string, clmnt_nationality string, resp_nationality string>>"
+    seat = "Jane DOE (British) - Appointed by the Claimant(s)"
+    rows = [(f"ARB/{i}", "A v. B", "Oil", "T", None, "pending", [(seat, "", "Firm, London", "Other, Paris", "May 1, 2025", "June 1, 2025", "", "X", "Peru")]) for i in range(3)]
+    cases = spark.createDataFrame(rows, f"caseno string, casetitle string, econsector string, instrumentinvk1 string, instrumentinvk2 string, _status string, {kind}")
+    appoint.write_analytics(cases, appoint.F.lit("2026-01-01").cast("date"), str(tmp_path), top=1)
+    read = {n: spark.read.json(f"{tmp_path}/{n}").collect() for n in ("totals", "arbitrators", "counsel", "affinity", "recent")}
+    assert read["totals"][0]["cases"] == read["totals"][0]["seats"] == 3 and read["totals"][0]["top_n_share"] == 1.0
+    assert [r["total"] for r in read["arbitrators"]] == [3] and len(read["counsel"]) == 1 and read["affinity"][0]["appointments"] == 3 and len(read["recent"]) == 3
