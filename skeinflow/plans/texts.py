@@ -120,3 +120,57 @@ def raw_items(spark, sf_dir):
     """Documents as raw rows of a feed, brought to the schema of items."""
     raw = titled(spark, sf_dir).select(F.concat(F.lit("http://x/"), F.col("doc_id").cast("string")).alias("url"), "source", "title", F.col("text").alias("summary"), "lang")
     return identity.items_from_raw(raw, "feed").select("url", "source", "title", F.length("summary").alias("summary_chars"), "source_tier", "lang")
+
+
+@query(
+    "citations",
+    r"""WITH l AS (SELECT page_id, ['uksc', 'ewca/civ', 'ewhc/comm', 'eat'][page_id % 4 + 1] AS court, 1990 + page_id % 30 AS year FROM pages)
+SELECT page_id, CASE court WHEN 'uksc' THEN '[' || year || '] UKSC ' || page_id WHEN 'ewca/civ' THEN '[' || year || '] EWCA Civ ' || page_id
+  WHEN 'ewhc/comm' THEN '[' || year || '] EWHC ' || page_id || ' (Comm)' ELSE '[' || year || '] EAT ' || page_id END AS cited FROM l""",
+)
+def citations(spark, sf_dir):
+    """Pages as addresses of judgments, cited."""
+    court = F.get(F.array(*[F.lit(x) for x in ("uksc", "ewca/civ", "ewhc/comm", "eat")]), (F.col("page_id") % 4).cast("int"))
+    link = F.concat_ws("/", F.lit("https://caselaw.nationalarchives.gov.uk"), court, (1990 + F.col("page_id") % 30).cast("string"), F.col("page_id").cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", signals.citation(link).alias("cited"))
+
+
+@query(
+    "named_words",
+    r"""SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?i)(^|[^\p{L}\p{M}\p{N}_-])einheit($|[^\p{L}\p{M}\p{N}_-])') THEN 'einheit' END,
+  CASE WHEN regexp_matches(text, '(^|[^\p{L}\p{M}\p{N}_-])De($|[^\p{L}\p{M}\p{N}_-])') THEN 'De' END, CASE WHEN regexp_matches(text, '(^|[^\p{L}\p{M}\p{N}_-])the($|[^\p{L}\p{M}\p{N}_-])') THEN 'the' END], lambda x: x IS NOT NULL), ',') AS names FROM documents""",
+)
+def named_words(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(signals.named("text", ("einheit", "De", "the")), ",").alias("names"))
+
+
+@query(
+    "docket_stories",
+    """WITH c AS (SELECT c_custkey, c_name, n_name, r_name, lower(c_mktsegment) AS sector FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)
+SELECT c_custkey, c_name || ' has a claim against ' || n_name || CASE WHEN c_custkey % 2 = 0 THEN ' under the ' || r_name || ' treaty' ELSE '' END || ' in the ' || sector || ' sector.'
+  || CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' Firm A acts for the claimant.' ELSE ' Firm A and Firm B act for the claimant.' END || CASE WHEN c_custkey % 5 = 0 THEN ' Firm C for ' || n_name || '.' ELSE '' END
+  || CASE c_custkey % 4 WHEN 0 THEN ' The tribunal has not yet been constituted.' WHEN 1 THEN ' The tribunal is X.' ELSE ' The tribunal is X, presiding; Y; Z.' END AS story FROM c""",
+)
+def docket_stories(spark, sf_dir):
+    """Customers as claimants against their nations, told in a paragraph."""
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    names = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
+    k = F.col("c_custkey")
+    counsel = F.when(k % 3 == 0, names()).when(k % 3 == 1, names("Firm A")).otherwise(names("Firm A", "Firm B"))
+    seats = F.when(k % 4 == 0, names()).when(k % 4 == 1, names("X")).otherwise(names("X", "Y", "Z"))
+    told = signals.docket_story(
+        F.array("c_name"), F.col("n_name"), F.when(k % 2 == 0, F.concat("r_name", F.lit(" treaty"))), F.col("c_mktsegment"), F.lit(""), counsel, F.when(k % 5 == 0, names("Firm C")).otherwise(names()), seats
+    )
+    return c.select("c_custkey", told.alias("story"))
+
+
+@query(
+    "same_outlets",
+    r"""WITH n AS (SELECT s_suppkey, regexp_replace(lower(coalesce(s_name, '')), '[^a-z]', '', 'g') AS x, regexp_replace(lower(n_name), '[^a-z]', '', 'g') AS y FROM supplier JOIN nation ON n_nationkey = s_nationkey)
+SELECT s_suppkey, x <> '' AND y <> '' AND (x = y OR (length(x) >= 5 AND contains(y, x)) OR (length(y) >= 5 AND contains(x, y))) AS same FROM (SELECT s_suppkey, x || CASE WHEN s_suppkey % 2 = 0 THEN y ELSE '' END AS x, y FROM n)""",
+)
+def same_outlets(spark, sf_dir):
+    """Suppliers' names, every other one with its nation's behind it, against that of the nation."""
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    name = F.concat(F.col("s_name"), F.lit(" - "), F.when(F.col("s_suppkey") % 2 == 0, F.col("n_name")).otherwise(""))
+    return s.select("s_suppkey", identity.same_outlet(name, F.col("n_name")).alias("same"))
