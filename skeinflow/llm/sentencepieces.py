@@ -187,7 +187,6 @@ class SentencePieces:
         self.ids_of = packed_ids(ids_of)
         self.marked = (lambda w: MARK + w if w[0] != MARK else w) if plain else (lambda w: w)
         self.known = Known(lambda w: self.ids_of(self.marked(w)))
-        self.library = tokenizer(m, self.whole, strict=m.kind == UNIGRAM)
         self.words = Tokenizer(inner)
         self.unmatched = unknown if byte and m.kind == UNIGRAM else None
         self.bytes = [
@@ -195,6 +194,11 @@ class SentencePieces:
             for p, _, t in m.pieces
         ]
 
+    @functools.cached_property
+    def library(self):
+        """A tokenizer of whole texts, made when it is asked for: most models need only that of words."""
+        return tokenizer(self.model, self.whole, strict=self.model.kind == UNIGRAM)
+
     def normalised(self, text: str) -> str:
         if self.normalise:
             text = self.normalise.normalize_str(text)
