@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skeinflow.llm.bytepairs import op11_byte_bpe
 from skeinflow.llm.exact import OP10_SQL, op10_exact_dedup
 from skeinflow.llm.mixing import OP7_SQL, op7_mixing
 from skeinflow.llm.pii import op5_pii
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
