@@ -34,10 +34,12 @@ from pyspark.sql import DataFrame
 from skeinflow.llm.common import slices
 
 WINDOW = 1 << 18
+#: Characters of texts that are split and merged at one time.
+HAND = 8 << 20
 #: A match is final if so many characters follow it in the window: no branch of the pattern looks further.
 AHEAD = 4
 #: Pre-tokens that are remembered (about, and more only while one hand of texts has more), and the longest of them.
-MOST_KNOWN, LONGEST_KNOWN = 600_000, 64
+MOST_KNOWN, LONGEST_KNOWN = 1_200_000, 64
 
 # The pattern for texts of ASCII characters alone, where it means the same as the general one.
 ASCII_PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r 0-9A-Za-z]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
@@ -237,7 +239,7 @@ class Encoder:
             del known[p]
         return out
 
-    def encode(self, texts: list[str], hand: int = 4 << 20) -> Iterator[tuple[int, array]]:
+    def encode(self, texts: list[str], hand: int = HAND) -> Iterator[tuple[int, array]]:
         """(index of a text, ids of its next part): all parts of the first text, then those of the second, and so on."""
         rows, parts, size = [], [], 0
         for row, text in enumerate(texts):
@@ -282,7 +284,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", HAND):
                 ids = [array("I") for _ in range(b.num_rows)]
                 for row, part in e.encode(_texts(b)):
                     ids[row].extend(part)
@@ -310,7 +312,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", HAND):
                 counts = [0] * b.num_rows
                 shown, decoded = ([hashlib.sha256() for _ in counts] for _ in range(2))
                 for row, ids in e.encode(_texts(b)):
