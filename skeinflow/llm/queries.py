@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skeinflow.llm.bytepairs import op11_byte_bpe
 from skeinflow.llm.exact import OP10_SQL, op10_exact_dedup
 from skeinflow.llm.mixing import OP7_SQL, op7_mixing
+from skeinflow.llm.negatives import OP13_SQL, op13_hard_negatives
 from skeinflow.llm.pii import op5_pii
 from skeinflow.llm.quality import op9_quality
 from skeinflow.llm.sentencepieces import op1_sentencepiece
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_byte_bpe": op11_byte_bpe,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -37,4 +39,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_mixing": OP7_SQL,
     "op8_url_filter": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
