@@ -12,6 +12,7 @@ from skeinflow.llm.mixing import OP7_SQL, op7_mixing
 from skeinflow.llm.negatives import OP13_SQL, op13_hard_negatives
 from skeinflow.llm.pii import op5_pii
 from skeinflow.llm.quality import op9_quality
+from skeinflow.llm.ranked import OP12_SQL, op12_ranked_search
 from skeinflow.llm.sentencepieces import op1_sentencepiece
 from skeinflow.llm.simhash import op6_simhash
 from skeinflow.llm.tokens import op4_token_store
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_ranked_search": op12_ranked_search,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -39,5 +41,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_mixing": OP7_SQL,
     "op8_url_filter": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op12_ranked_search": OP12_SQL,
     "op13_hard_negatives": OP13_SQL,
 }
