@@ -2,22 +2,22 @@
 
 An index of a table is a folder:
 
-  forward/   Parquet, a row for each block of `block_docs` documents (a range of the
-             input as it is read): doc_ids, sizes (terms of each document with
-             repeats), the block's terms, and for each document its entries
-             (place of the term in the block's terms, count), one after another.
-  lexicon/   Parquet (term, df).
   totals/    Parquet, one row: documents with a term, and all their terms.
-  maxima/    Parquet, a row for each block: its terms and the largest impact of each.
+  blocks/    Parquet, a row for each block of `block_docs` documents (a range of the
+             input as it is read): its terms with the largest impact of each, and how
+             many of its documents hold it; the forward index: doc_ids, sizes (terms
+             of each document with repeats), and for each document its entries (place
+             of the term in the block's terms, count), one after another.
+  lexicon/   Parquet (term, df).
 
 A query's bound for a block is the sum of its weights times the block's maxima,
-and no document of the block scores more. Searching reads the maxima first: the
-`seeds` blocks of the highest bounds of each query are scored, whose k-th best
-score is the query's first threshold. Blocks with a bound below it are never read.
-The others go to tasks, which take them in falling order of their bounds, score
-the documents from the forward index, raise the threshold as their lists fill,
-and leave a query's remaining blocks when a bound drops below it. The lists of
-all tasks are merged by score. The result is that of scoring every document.
+and no document of the block scores more. Searching reads terms and maxima first:
+the `seeds` blocks of the highest bounds of each query are scored, and the k-th
+best score is the query's first threshold. Then tasks take their blocks in falling
+order of their bounds, score the documents from the forward index, raise the
+threshold as their lists fill, and leave a query's remaining blocks when a bound
+drops below it. The lists of all tasks are merged by score. The result is that of
+scoring every document, and no row of the index is shuffled.
 """
 
 from __future__ import annotations
@@ -38,10 +38,18 @@ from skeinflow.llm.common import delete, shared_path, slices
 
 # Fixed value: what a term is.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same as Java writes it.
+JVM_TERM = r"[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+"
 _TERMS, _GAP = re.compile(TERM), re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 WINDOW = 1 << 20
 
-FORWARD = "block long, doc_ids array<long>, sizes array<long>, entries array<int>, terms array<string>, places array<int>, counts array<int>, dfs array<int>"
+BLOCKS = pa.schema(
+    [("block", pa.int64()), ("terms", pa.list_(pa.string())), ("maxima", pa.list_(pa.int64())), ("dfs", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())),
+     ("sizes", pa.list_(pa.int64())), ("entries", pa.list_(pa.int32())), ("places", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]
+)
+BLOCKS_SQL = (
+    "block long, terms array<string>, maxima array<long>, dfs array<int>, doc_ids array<long>, sizes array<long>, entries array<int>, places array<int>, counts array<int>"
+)
 
 
 def term_counts(text: str | None) -> Counter:
@@ -73,14 +81,17 @@ class Measure:
         return (1_000_000_000 * counts) // (1000 * counts + 8 * m)
 
 
-def _forward(block_docs: int, block_terms: int):
+def _blocks(measure: Measure, block_docs: int, block_terms: int):
     def block(number: int, docs: list[tuple[int | None, Counter]]) -> dict:
         terms: dict[str, int] = {}
-        places = [terms.setdefault(t, len(terms)) for _, c in docs for t in c]
-        counts = [n for _, c in docs for n in c.values()]
+        places = np.array([terms.setdefault(t, len(terms)) for _, c in docs for t in c])
+        counts = np.array([n for _, c in docs for n in c.values()])
+        sizes, entries = [c.total() for _, c in docs], [len(c) for _, c in docs]
+        maxima = np.zeros(len(terms), np.int64)
+        np.maximum.at(maxima, places, measure.impact(counts, np.repeat(sizes, entries)))
         return {
-            "block": number, "doc_ids": [d for d, _ in docs], "sizes": [c.total() for _, c in docs], "entries": [len(c) for _, c in docs],
-            "terms": list(terms), "places": places, "counts": counts, "dfs": np.bincount(places, minlength=len(terms)).tolist(),
+            "block": number, "terms": list(terms), "maxima": maxima, "dfs": np.bincount(places, minlength=len(terms)),
+            "doc_ids": [d for d, _ in docs], "sizes": sizes, "entries": entries, "places": places, "counts": counts,
         }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,10 +99,6 @@ def _forward(block_docs: int, block_terms: int):
 
         number = TaskContext.get().partitionId() << 32
         docs, held = [], 0
-        schema = pa.schema(
-            [("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("entries", pa.list_(pa.int32())),
-             ("terms", pa.list_(pa.string())), ("places", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("dfs", pa.list_(pa.int32()))]
-        )
         for whole in batches:
             for b in slices(whole, "text"):
                 done = []
@@ -105,9 +112,9 @@ def _forward(block_docs: int, block_terms: int):
                         done.append(block(number, docs))
                         docs, held, number = [], 0, number + 1
                 if done:
-                    yield pa.RecordBatch.from_pylist(done, schema)
+                    yield pa.RecordBatch.from_pylist(done, BLOCKS)
         if docs:
-            yield pa.RecordBatch.from_pylist([block(number, docs)], schema)
+            yield pa.RecordBatch.from_pylist([block(number, docs)], BLOCKS)
 
     return run
 
@@ -118,42 +125,16 @@ def _spread(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), n)
 
 
-def _impacts(b: pa.RecordBatch, measure: Measure) -> np.ndarray:
-    """The impact of every entry of a batch of blocks (sizes, entries, counts among its columns)."""
-    sizes, entries, counts = (b.column(b.schema.get_field_index(c)).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("sizes", "entries", "counts"))
-    return measure.impact(counts, np.repeat(sizes, entries))
-
-
-def _maxima(measure: Measure):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                b = whole.slice(at, 64)
-                terms = b.column(b.schema.get_field_index("terms"))
-                places, row = _spread(b.column(b.schema.get_field_index("places")))
-                n = terms.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                best = np.zeros(int(n.sum()), np.int64)
-                np.maximum.at(best, (np.cumsum(n) - n)[row] + places, _impacts(b, measure))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
-                maxima = pa.ListArray.from_arrays(offsets, pa.array(best))
-                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("block")), terms, maxima], names=["block", "terms", "maxima"])
-
-    return run
-
-
 def build(docs: DataFrame, path: str, block_docs: int = 64, block_terms: int = 1 << 18) -> None:
     """Writes the index of (doc_id, text). A block ends after block_docs documents or block_terms entries. Null, empty
     and term-less texts are in no block. Rows that repeat a doc_id are documents of their own."""
     spark = docs.sparkSession
-    docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_forward(block_docs, block_terms), FORWARD).write.parquet(f"{path}/forward")
-    forward = spark.read.parquet(f"{path}/forward")
-    each = forward.select(F.explode(F.arrays_zip("terms", "dfs")).alias("t"))
+    size = docs.select(F.regexp_count("text", F.lit(JVM_TERM)).cast("long").alias("n")).where("n > 0")
+    size.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).write.parquet(f"{path}/totals")
+    made = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_blocks(_measure(spark, path), block_docs, block_terms), BLOCKS_SQL)
+    made.write.parquet(f"{path}/blocks")
+    each = spark.read.schema(BLOCKS_SQL).parquet(f"{path}/blocks").select(F.explode(F.arrays_zip("terms", "dfs")).alias("t"))
     each.groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.dfs").alias("df")).write.parquet(f"{path}/lexicon")
-    total = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
-    forward.agg(F.coalesce(F.sum(F.size("doc_ids")), F.lit(0)).alias("documents"), F.coalesce(F.sum(total), F.lit(0)).alias("terms")).write.parquet(f"{path}/totals")
-    forward.select("block", "sizes", "entries", "terms", "places", "counts").mapInArrow(
-        _maxima(_measure(spark, path)), "block long, terms array<string>, maxima array<long>"
-    ).write.parquet(f"{path}/maxima")
 
 
 def _measure(spark: SparkSession, path: str) -> Measure:
@@ -197,58 +178,63 @@ class Queries:
         return pc.fill_null(pc.index_in(terms, self.terms), -1).to_numpy(zero_copy_only=False)
 
 
-def _bounds(sent, least):
-    """Of blocks of maxima: (item, block, bound) where the bound is that item's least or more, and above 0."""
+def _bounds(q: Queries, terms: pa.Array, maxima: pa.Array) -> np.ndarray:
+    """queries x blocks."""
+    out = np.zeros((len(q.items), len(terms)), np.int64)
+    for at in range(0, len(terms), 256):
+        values, row = _spread(maxima.slice(at, 256))
+        place = q.places(terms.slice(at, 256).flatten())
+        have = place >= 0
+        out[:, at : at + 256] = q.scores(values[have], place[have], row[have], len(terms.slice(at, 256)))
+    return out
+
+
+def _seeds(sent, most: int):
+    """Of blocks (block, terms, maxima): (item, block, bound) of each item's `most` highest bounds above 0 in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, floor = sent.value, least.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                maxima, row = _spread(b.column(2))
-                place = q.places(b.column(1).flatten())
-                have = place >= 0
-                bounds = q.scores(maxima[have], place[have], row[have], b.num_rows)
-                item, block = np.nonzero(bounds >= np.maximum(floor, 1)[:, None])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(item), b.column(0).take(pa.array(block)), pa.array(bounds[item, block])], names=["item", "block", "bound"]
-                )
+        q = sent.value
+        for b in batches:
+            bounds = _bounds(q, b.column(1), b.column(2))
+            block = b.column(0).to_numpy()
+            first = np.lexsort((np.broadcast_to(block, bounds.shape), -bounds), axis=1)[:, :most]
+            item, bound = np.repeat(np.arange(len(bounds)), first.shape[1]), np.take_along_axis(bounds, first, 1).ravel()
+            have = bound > 0
+            yield pa.RecordBatch.from_arrays([pa.array(x[have]) for x in (item, block[first].ravel(), bound)], names=["item", "block", "bound"])
 
     return run
 
 
 def _block_scores(q: Queries, item: np.ndarray, b: pa.RecordBatch, measure: Measure) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of one block: its doc_ids, which of them are null, and the named queries x documents."""
-    ids = b.column(b.schema.get_field_index("doc_ids")).flatten()
-    terms = b.column(b.schema.get_field_index("terms")).flatten()
-    entries, _ = _spread(b.column(b.schema.get_field_index("entries")))
-    places, _ = _spread(b.column(b.schema.get_field_index("places")))
-    place = q.places(terms)[places]
+    terms, ids, sizes, entries, places, counts = (b.column(b.schema.get_field_index(c)).flatten() for c in ("terms", "doc_ids", "sizes", "entries", "places", "counts"))
+    entries, place = entries.to_numpy(), q.places(terms)[places.to_numpy()]
     have = place >= 0
-    doc = np.repeat(np.arange(len(ids)), entries)
-    scores = q.scores(_impacts(b, measure)[have], place[have], doc[have], len(ids), item)
-    return ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), scores
+    doc = np.repeat(np.arange(len(ids)), entries)[have]
+    impact = measure.impact(counts.to_numpy()[have].astype(np.int64), sizes.to_numpy()[doc])
+    return ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), q.scores(impact, place[have], doc, len(ids), item)
 
 
 SCORED = "item long, doc_id long, missing boolean, score long"
 
 
-def _scored(sent, least, measure: Measure, k: int):
-    """Of blocks with the items that ask for them: the best k documents of each item in the task. Blocks that wait are
-    taken by falling bound, so an item leaves them when its k-th best score is above the bound."""
+def _scored(sent, least, asked, measure: Measure, k: int):
+    """Of blocks: the best k documents of each item in the task. The blocks of a batch are taken by falling bound, so an
+    item leaves them when its k-th best score is above the bound. asked (block to items) may narrow what is scored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, floor = sent.value, least.value.astype(np.int64)
+        q, floor = sent.value, np.maximum(least.value, 1)
         best: list[list[tuple]] = [[] for _ in q.items]  # (-score, doc_id is null, doc_id)
-        floor = np.maximum(floor, 1)
-        for whole in batches:
-            asked = [(np.array([x["item"] for x in ask]), np.array([x["bound"] for x in ask])) for ask in whole.column(whole.schema.get_field_index("asked")).to_pylist()]
-            for at in np.argsort([-bound.max() for _, bound in asked], kind="stable").tolist():
-                item, bound = asked[at]
-                item = item[bound >= floor[item]]
+        for b in batches:
+            bounds = _bounds(q, *(b.column(b.schema.get_field_index(c)) for c in ("terms", "maxima")))
+            block = b.column(b.schema.get_field_index("block")).to_pylist()
+            for at in np.argsort(-bounds.max(0, initial=0), kind="stable").tolist():
+                item = np.flatnonzero(bounds[:, at] >= floor)
+                if asked is not None:
+                    item = np.intersect1d(item, asked.value.get(block[at], []))
                 if not item.size:
                     continue
-                ids, missing, scores = _block_scores(q, item, whole.slice(at, 1), measure)
+                ids, missing, scores = _block_scores(q, item, b.slice(at, 1), measure)
                 rows, docs = np.nonzero(scores >= floor[item][:, None])
                 for r in np.unique(rows).tolist():
                     i, d = int(item[r]), docs[rows == r]
@@ -281,29 +267,31 @@ def search(items: DataFrame, path: str, k: int = 10, seeds: int = 2, group_terms
     size = terms.agg(F.count("*").alias("terms"), F.count_distinct("item_id").alias("items")).first()
     groups = max(1, -(-size["terms"] // group_terms), -(-size["items"] // group_items))
     out = shared_path(spark, "ranked")
-    maxima, forward = spark.read.parquet(f"{path}/maxima"), spark.read.parquet(f"{path}/forward")
-    columns = ["block", "doc_ids", "sizes", "entries", "terms", "places", "counts"]
+    blocks = spark.read.schema(BLOCKS_SQL).parquet(f"{path}/blocks")
+    scored = ["block", "terms", "maxima", "doc_ids", "sizes", "entries", "places", "counts"]
     by_score = Window.partitionBy("item").orderBy(F.desc("score"), "missing", "doc_id")
+    by_bound = Window.partitionBy("item").orderBy(F.desc("bound"), "block")
     for g in range(groups):
+        # What is sent is bounded by the group: its terms, `seeds` blocks and a threshold for each item.
         q = Queries.of(terms.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g).collect(), measure)
-        sent, none = spark.sparkContext.broadcast(q), spark.sparkContext.broadcast(np.zeros(len(q.items), np.int64))
+        floor, asked = np.zeros(len(q.items), np.int64), {}
+        sent, none = spark.sparkContext.broadcast(q), spark.sparkContext.broadcast(floor)
 
-        def best(asked: DataFrame, least, sent=sent) -> DataFrame:
-            """The first k documents of each item among the blocks it asks for."""
-            by_block = asked.groupBy("block").agg(F.collect_list(F.struct("item", "bound")).alias("asked"))
-            found = forward.select(columns).join(by_block, "block").mapInArrow(_scored(sent, least, measure, k), SCORED)
+        def best(among: DataFrame, least, asked=None, sent=sent) -> DataFrame:
+            found = among.select(scored).mapInArrow(_scored(sent, least, asked, measure, k), SCORED)
             return found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
 
-        bounds = maxima.select("block", "terms", "maxima").mapInArrow(_bounds(sent, none), "item long, block long, bound long")
-        top = bounds.withColumn("n", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("bound"), "block"))).where(F.col("n") <= seeds)
-        floor = np.zeros(len(q.items), np.int64)
-        for r in best(top.drop("n"), none).where(F.col("rank") == k).select("item", "score").collect():  # a row an item of the group
+        bounds = blocks.select("block", "terms", "maxima").mapInArrow(_seeds(sent, seeds), "item long, block long, bound long")
+        for r in bounds.withColumn("n", F.row_number().over(by_bound)).where(F.col("n") <= seeds).collect():
+            asked.setdefault(r["block"], []).append(r["item"])
+        chosen = spark.createDataFrame([(b,) for b in asked], "block long")
+        wanted = spark.sparkContext.broadcast(asked)
+        for r in best(blocks.join(F.broadcast(chosen), "block", "left_semi"), none, wanted).where(F.col("rank") == k).select("item", "score").collect():
             floor[r["item"]] = r["score"]
         least = spark.sparkContext.broadcast(floor)
-        left = maxima.select("block", "terms", "maxima").mapInArrow(_bounds(sent, least), "item long, block long, bound long")
         names = spark.createDataFrame(list(enumerate(q.items)), "item long, item_id long")
-        best(left, least).join(F.broadcast(names), "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score").write.mode("append").parquet(out)
-        for b in (sent, none, least):
+        best(blocks, least).join(F.broadcast(names), "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score").write.mode("append").parquet(out)
+        for b in (sent, none, wanted, least):
             b.destroy()
     delete(spark, at)
     return spark.read.schema("item_id long, rank int, doc_id long, score long").parquet(out)
