@@ -26,6 +26,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,17 +39,17 @@ from skeinflow.llm.common import delete, shared_path, slices
 
 # Fixed value: what a term is.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: The same as Java writes it.
-JVM_TERM = r"[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+"
+#: Bytes of UTF-8 that are part of a term: those of ASCII letters and digits, and all beyond ASCII.
+_IN_TERM = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 _TERMS, _GAP = re.compile(TERM), re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 WINDOW = 1 << 20
 
 BLOCKS = pa.schema(
-    [("block", pa.int64()), ("terms", pa.list_(pa.string())), ("maxima", pa.list_(pa.int64())), ("dfs", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())),
+    [("block", pa.int64()), ("terms", pa.list_(pa.string())), ("maxima", pa.list_(pa.int32())), ("dfs", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())),
      ("sizes", pa.list_(pa.int64())), ("entries", pa.list_(pa.int32())), ("places", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]
 )
 BLOCKS_SQL = (
-    "block long, terms array<string>, maxima array<long>, dfs array<int>, doc_ids array<long>, sizes array<long>, entries array<int>, places array<int>, counts array<int>"
+    "block long, terms array<string>, maxima array<int>, dfs array<int>, doc_ids array<long>, sizes array<long>, entries array<int>, places array<int>, counts array<int>"
 )
 
 
@@ -125,16 +126,46 @@ def _spread(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), n)
 
 
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch of texts: how many have a term, and all their terms."""
+    for whole in batches:
+        for b in slices(whole, "text"):
+            text = b.column(0)
+            offsets = np.frombuffer(text.buffers()[1], np.int32 if pa.types.is_string(text.type) else np.int64)[text.offset : text.offset + len(text) + 1]
+            held = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+            inside = np.concatenate([[False], _IN_TERM[held]])
+            start = inside[1:] & ~inside[:-1]
+            first = (offsets[:-1] - offsets[0])[np.diff(offsets) > 0]
+            start[first] = inside[1:][first]  # a text begins anew
+            counts = np.add.reduceat(start.astype(np.int64), first) if first.size else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (int((counts > 0).sum()), int(counts.sum()))], names=["documents", "terms"])
+
+
+@contextmanager
+def _few_rows(spark: SparkSession, rows: int = 64) -> Iterator[None]:
+    """While blocks are read: they are rows of some hundred KB, of which the usual batches of thousands would not fit."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, str(rows))
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
 def build(docs: DataFrame, path: str, block_docs: int = 64, block_terms: int = 1 << 18) -> None:
     """Writes the index of (doc_id, text). A block ends after block_docs documents or block_terms entries. Null, empty
     and term-less texts are in no block. Rows that repeat a doc_id are documents of their own."""
     spark = docs.sparkSession
-    size = docs.select(F.regexp_count("text", F.lit(JVM_TERM)).cast("long").alias("n")).where("n > 0")
-    size.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).write.parquet(f"{path}/totals")
+    text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    text.mapInArrow(_sizes, "documents long, terms long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("documents", "terms")]).write.parquet(f"{path}/totals")
     made = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_blocks(_measure(spark, path), block_docs, block_terms), BLOCKS_SQL)
     made.write.parquet(f"{path}/blocks")
-    each = spark.read.schema(BLOCKS_SQL).parquet(f"{path}/blocks").select(F.explode(F.arrays_zip("terms", "dfs")).alias("t"))
-    each.groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.dfs").alias("df")).write.parquet(f"{path}/lexicon")
+    with _few_rows(spark):
+        each = spark.read.schema(BLOCKS_SQL).parquet(f"{path}/blocks").select(F.explode(F.arrays_zip("terms", "dfs")).alias("t"))
+        each.groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.dfs").alias("df")).write.parquet(f"{path}/lexicon")
 
 
 def _measure(spark: SparkSession, path: str) -> Measure:
@@ -271,28 +302,29 @@ def search(items: DataFrame, path: str, k: int = 10, seeds: int = 2, group_terms
     scored = ["block", "terms", "maxima", "doc_ids", "sizes", "entries", "places", "counts"]
     by_score = Window.partitionBy("item").orderBy(F.desc("score"), "missing", "doc_id")
     by_bound = Window.partitionBy("item").orderBy(F.desc("bound"), "block")
-    for g in range(groups):
-        # What is sent is bounded by the group: its terms, `seeds` blocks and a threshold for each item.
-        q = Queries.of(terms.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g).collect(), measure)
-        floor, asked = np.zeros(len(q.items), np.int64), {}
-        sent, none = spark.sparkContext.broadcast(q), spark.sparkContext.broadcast(floor)
-
-        def best(among: DataFrame, least, asked=None, sent=sent) -> DataFrame:
-            found = among.select(scored).mapInArrow(_scored(sent, least, asked, measure, k), SCORED)
-            return found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
-
-        bounds = blocks.select("block", "terms", "maxima").mapInArrow(_seeds(sent, seeds), "item long, block long, bound long")
-        for r in bounds.withColumn("n", F.row_number().over(by_bound)).where(F.col("n") <= seeds).collect():
-            asked.setdefault(r["block"], []).append(r["item"])
-        chosen = spark.createDataFrame([(b,) for b in asked], "block long")
-        wanted = spark.sparkContext.broadcast(asked)
-        for r in best(blocks.join(F.broadcast(chosen), "block", "left_semi"), none, wanted).where(F.col("rank") == k).select("item", "score").collect():
-            floor[r["item"]] = r["score"]
-        least = spark.sparkContext.broadcast(floor)
-        names = spark.createDataFrame(list(enumerate(q.items)), "item long, item_id long")
-        best(blocks, least).join(F.broadcast(names), "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score").write.mode("append").parquet(out)
-        for b in (sent, none, wanted, least):
-            b.destroy()
+    with _few_rows(spark):
+        for g in range(groups):
+            # What is sent is bounded by the group: its terms, `seeds` blocks and a threshold for each item.
+            q = Queries.of(terms.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g).collect(), measure)
+            floor, asked = np.zeros(len(q.items), np.int64), {}
+            sent, none = spark.sparkContext.broadcast(q), spark.sparkContext.broadcast(floor)
+
+            def best(among: DataFrame, least, asked=None, sent=sent) -> DataFrame:
+                found = among.select(scored).mapInArrow(_scored(sent, least, asked, measure, k), SCORED)
+                return found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
+
+            bounds = blocks.select("block", "terms", "maxima").mapInArrow(_seeds(sent, seeds), "item long, block long, bound long")
+            for r in bounds.withColumn("n", F.row_number().over(by_bound)).where(F.col("n") <= seeds).collect():
+                asked.setdefault(r["block"], []).append(r["item"])
+            chosen = spark.createDataFrame([(b,) for b in asked], "block long")
+            wanted = spark.sparkContext.broadcast(asked)
+            for r in best(blocks.join(F.broadcast(chosen), "block", "left_semi"), none, wanted).where(F.col("rank") == k).select("item", "score").collect():
+                floor[r["item"]] = r["score"]
+            least = spark.sparkContext.broadcast(floor)
+            names = spark.createDataFrame(list(enumerate(q.items)), "item long, item_id long")
+            best(blocks, least).join(F.broadcast(names), "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score").write.mode("append").parquet(out)
+            for b in (sent, none, wanted, least):
+                b.destroy()
     delete(spark, at)
     return spark.read.schema("item_id long, rank int, doc_id long, score long").parquet(out)
 

@@ -96,3 +96,11 @@ def test_weights_beyond_double_precision_are_whole(spark, docs):
     texts = [(0, "a b"), (1, "b c"), (2, "c"), (3, "d e f")]
     items = [(1, " ".join(["a"] * 400_000 + ["b"]))]
     assert searched(spark, docs(texts), items) == brute(texts, items)
+
+
+def test_sizes_count_terms(spark):
+    rnd = random.Random(13)
+    texts = ["", "a", "b", " ", "é", "-"] + ["".join(rnd.choice("abC 1é中.\n") for _ in range(rnd.randint(0, 30))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(2)
+    got = df.mapInArrow(ranked._sizes, "documents long, terms long").agg(F.sum("documents"), F.sum("terms")).first()
+    assert tuple(got) == (sum(bool(terms(t)) for t in texts), sum(len(terms(t)) for t in texts))
