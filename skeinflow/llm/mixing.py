@@ -65,29 +65,38 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float =
 
     Rows whose count is 0 go, which is what the weights ask for. Repeated rows
     of one doc_id get the same count, as do rows without one. Columns of docs
-    named copy, place or rate are replaced.
+    named copy or place are replaced; all others stay as they are, whatever they are called.
     """
-    docs = docs.drop("copy", "place", "rate")
+    docs = docs.drop("copy", "place")
+    taken = {c.lower() for c in docs.columns}
+
+    def free(name: str) -> str:
+        while name.lower() in taken:
+            name += "_"
+        return name
+
+    # The names of the working columns are none of docs.
+    source, cdf, variables, n, block = (free(x) for x in ("source_", "cdf", "variables", "n", "block_"))
     table = rates(docs, weights, size)
-    table = table.withColumn("cdf", poisson_cdf(F.col("rate") / F.col("variables"))).withColumnRenamed("source", "source_")
+    table = table.select(F.col("source").alias(source), poisson_cdf(F.col("rate") / F.col("variables")).alias(cdf), F.col("variables").alias(variables))
     table = written(table, "source-rates")
     # A source may hold a third of all rows. Up to MOST_SENT sources the documents stay where they are; beyond
     # that they are joined by source, and Spark splits the skewed ones.
     if table.limit(MOST_SENT + 1).count() <= MOST_SENT:
         table = F.broadcast(table)
-    joined = docs.join(table, F.col("source").eqNullSafe(F.col("source_")))
+    joined = docs.join(table, F.col("source").eqNullSafe(F.col(source)))
     own = F.col("doc_id").cast("string")
 
     def count(j: Column | None = None) -> Column:
         u = uniform(F.lit(f"count-{seed}"), own, *([] if j is None else [j.cast("string")]))
-        return bound(u, lambda x: F.size(F.filter("cdf", lambda c: c <= x)))
+        return bound(u, lambda x: F.size(F.filter(cdf, lambda c: c <= x)))
 
-    more = F.aggregate(F.sequence(F.lit(1), F.col("variables") - 1), F.lit(0), lambda n, j: n + count(j))
-    n = count() + F.when(F.col("variables") > 1, more).otherwise(0)
+    more = F.aggregate(F.sequence(F.lit(1), F.col(variables) - 1), F.lit(0), lambda sum_, j: sum_ + count(j))
+    copies = count() + F.when(F.col(variables) > 1, more).otherwise(0)
     out = (
-        joined.withColumn("n", n).where("n > 0")
-        .withColumn("block_", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / BLOCK).cast("int"))))
-        .withColumn("copy", F.explode(F.sequence(F.col("block_") * BLOCK, F.least(F.col("block_") * BLOCK + BLOCK, F.col("n")) - 1)))
+        joined.withColumn(n, copies).where(F.col(n) > 0)
+        .withColumn(block, F.explode(F.sequence(F.lit(0), ((F.col(n) - 1) / BLOCK).cast("int"))))
+        .withColumn("copy", F.explode(F.sequence(F.col(block) * BLOCK, F.least(F.col(block) * BLOCK + BLOCK, F.col(n)) - 1)))
         .withColumn("place", uniform(F.lit(f"place-{seed}"), own, F.col("copy").cast("string")))
         .select(*docs.columns, "copy", "place")
     )

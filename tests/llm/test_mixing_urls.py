@@ -37,6 +37,18 @@ def test_mixing_edges(docs):
     assert M.mix(docs(["a"]), {"other": 1.0}).count() == 0
 
 
+def test_mixing_keeps_columns_of_any_name(spark, docs):
+    """Names that the operator uses for itself, in any case."""
+    names = ["n", "N_", "block_", "cdf", "Variables", "source_", "rate", "rows", "weight"]
+    plain = docs([f"t{i}" for i in range(50)], source=["a" if i % 3 else "b" for i in range(50)])
+    more = plain.select("*", *[(F.col("doc_id") + 1000 * (k + 1)).alias(c) for k, c in enumerate(names)])
+    got = M.mix(more, shuffle=False)
+    assert got.columns == [*more.columns, "copy", "place"]
+    for r in got.collect():
+        assert [r[c] for c in names] == [r["doc_id"] + 1000 * (k + 1) for k in range(len(names))]
+    assert sorted((r["doc_id"], r["copy"]) for r in got.collect()) == sorted((r["doc_id"], r["copy"]) for r in M.mix(plain, shuffle=False).collect())
+
+
 def test_rare_sources(docs):
     """One document for a third or a half of the mixture: many Poisson variables, many blocks of copies."""
     n = 6000
