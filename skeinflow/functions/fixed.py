@@ -191,3 +191,52 @@ COURT_CODES = {
     "ewhc/qb": "EWHC (QB)", "ewhc/admlty": "EWHC (Admlty)", "ewhc/admin": "EWHC (Admin)",
     "ewhc/fam": "EWHC (Fam)", "ewhc/pat": "EWHC (Pat)", "ewhc/ipec": "EWHC (IPEC)", "ewhc/scco": "EWHC (SCCO)",
 }
+
+# Letters of a State's form that stand for it in a case name, and words that show a sovereign party.
+STATE_STEM = 5
+SOVEREIGN = r"\b(republic|government|kingdom|state of|federation|ministry|emirate|sultanate|commonwealth|nation)\b"
+
+# What a judgment is about, in order: pattern, event type, description.
+COURT_KINDS = (
+    (
+        r"set(?:ting)? aside|vacat|annul|section 6[789]\b|s\.? ?6[789]\b|serious irregularity|recourse against|challenge to (?:the )?award|"
+        r"appeal (?:on a point of law )?(?:from|against) (?:the |an )?award|vernietig|aufhebung|aufgehoben|aufhebungsantrag",
+        "annulment_setaside", "challenge to an award",
+    ),
+    (
+        r"enforc|recogni|exequatur|tenuitvoerlegging|erkenning|vollstreckbar|new york convention|section (?:66|101)\b|homologation|registration of (?:the |an )?award",
+        "enforcement_action", "enforcement of an award",
+    ),
+    (
+        r"removal of (?:an |the )?arbitrator|section 24\b|apparent bias|impartial|challenge to (?:an |the )?arbitrator|befangen|wraking",
+        "tribunal_constituted", "challenge to an arbitrator",
+    ),
+    (
+        r"anti-?suit|stay of (?:court )?proceedings|stay in favour|section 9\b|s\.? ?9\b|sursis|refer(?:ral)? to arbitration|arbitration (?:agreement|clause)|"
+        r"kompetenz|jurisdiction of (?:the )?(?:arbitral )?tribunal|schiedsvereinbarung|schiedsklausel|arbitrabil",
+        "commercial_dispute", "arbitration agreement, stay or anti-suit relief",
+    ),
+    (
+        r"section 44\b|interim (?:relief|measure|injunction)|freezing|in (?:aid|support) of (?:an )?arbitration",
+        "commercial_dispute", "interim relief in support of arbitration",
+    ),
+)
+# Courts by their part of an address, and by their letters.
+COURT_CODES = {
+    "uksc": "UKSC", "ukpc": "UKPC", "ewca/civ": "EWCA Civ", "ewca/crim": "EWCA Crim", "ewhc/comm": "EWHC (Comm)", "ewhc/tcc": "EWHC (TCC)", "ewhc/ch": "EWHC (Ch)",
+    "ewhc/kb": "EWHC (KB)", "ewhc/qb": "EWHC (QB)", "ewhc/admlty": "EWHC (Admlty)", "ewhc/admin": "EWHC (Admin)", "ewhc/fam": "EWHC (Fam)", "ewhc/pat": "EWHC (Pat)",
+    "ewhc/ipec": "EWHC (IPEC)", "ewhc/scco": "EWHC (SCCO)",
+}
+CATCHWORD_COURTS = {
+    "SGHC": "High Court of Singapore", "SGHC(I)": "Singapore International Commercial Court", "SGCA": "Court of Appeal of Singapore",
+    "SGCA(I)": "Court of Appeal of Singapore (SICC appeal)", "SGHCR": "High Court of Singapore (Registrar)", "SGHC(A)": "Appellate Division of the High Court",
+}
+
+# The fields of a record in a day's file.
+DAY_FIELDS = (
+    "record", "id", "title", "title_en", "summary", "summary_en", "url", "source", "source_tier", "event_type", "published_at", "institution", "treaty", "case_ref",
+    "claimants", "respondents", "states", "sectors", "counsel", "arbitrators", "amount_usd", "flag_reason", "why_it_matters", "also", "lang", "country", "corroboration", "story",
+)
+
+# Event types of a story that starts a dispute, which leads before others.
+STARTERS = ("notice_of_intent", "new_case_filed", "counsel_tender", "s1782_application", "state_measure")

@@ -293,17 +293,16 @@ def language(c: Column | str, default: str = "en") -> Column:
 
 def places(c: Column | str, forms: dict[str, str]) -> Column:
     """Canonical names of the places that a text names, in order of appearance, each once. Longest form first;
-    a form next to a letter, digit or hyphen is no match, and case counts."""
+    a form next to a letter, digit or hyphen is no match, and case counts. A hyphen between a letter and a capital
+    parts two names, unless it is in a form of its own. For short tables: each form stands in the plan
+    (operators.gazetteer takes tables of any size)."""
     if not forms:
         return F.array().cast("array<string>")
     alternatives = "|".join(rf"\Q{f}\E" for f in sorted(forms, key=lambda f: (-len(f), f)))
-    own = [f for f in forms if "-" in f]
     text = _text(c)
-    if own:
-        keep = "|".join(rf"\Q{f.split('-')[0]}\E" for f in own)
-        text = F.regexp_replace(text, f"(?<!{keep})-(?=[A-Z])" if len(own) < 50 else "-(?=[A-Z])", " ")
-    else:
-        text = F.regexp_replace(text, "-(?=[A-Z])", " ")
+    for f in (f for f in forms if "-" in f):
+        text = F.replace(text, F.lit(f), F.lit(f.replace("-", "\u2011")))
+    text = F.replace(F.regexp_replace(text, r"(?<=\p{L})-(?=[A-Z\x{C0}-\x{DD}])", " "), F.lit("\u2011"), F.lit("-"))
     found = F.regexp_extract_all(text, F.lit(rf"(?U)(?<![\w-])(?:{alternatives})(?![\w-])"), F.lit(0))
     lookup = F.create_map(*[F.lit(x) for kv in sorted(forms.items()) for x in kv])
     return F.array_distinct(F.transform(found, lambda f: F.element_at(lookup, f)))

@@ -9,7 +9,7 @@ from pathlib import Path
 
 import pytest
 
-from skeinflow.plans import appointments, items, measures, selection, stories, texts  # noqa: F401 - they register their queries
+from skeinflow.plans import appointments, items, linkage, measures, selection, stories, texts  # noqa: F401 - they register their queries
 from skeinflow.plans.registry import FLAGSHIP, ORACLE_SQL, QUERIES
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
