@@ -56,12 +56,13 @@ def _lookup(words: Sequence[str]) -> Column:
     return F.array(*[F.lit(w) for w in sorted(set(words))]).cast("array<string>")
 
 
-def features(items: DataFrame, lexicon: Lexicon, group: str | None = None, title: str = "title") -> DataFrame:
+def features(items: DataFrame, lexicon: Lexicon, group: str | None = None, title: str = "title", common: DataFrame | None = None) -> DataFrame:
     """items with _toks, _names, _ents, _phrases, _rare, _told (jurisdictions in the headline), _jur (with those of the
     record), _claimants, _respondents, _parties, _states, _stage.
 
     A phrase or name is rare if at most max(3, rows / 8) items of the pool have it; phrases with a word for a
-    place, or of two words of the trade, and names of places don't count. The pool is the group's rows.
+    place, or of two words of the trade, and names of places don't count. The pool is the group's rows. Where `common`
+    (k: a phrase as "b:...", a name as "n:...") is given, rare is what is not in it, whatever the pool.
     """
     head = F.coalesce(F.when(F.col("title_en") != "", F.col("title_en")), F.col(title)) if "title_en" in items.columns else F.col(title)
     has = lambda c: F.col(c) if c in items.columns else F.array().cast("array<string>")
@@ -80,12 +81,20 @@ def features(items: DataFrame, lexicon: Lexicon, group: str | None = None, title
     df = df.withColumns({"_told": F.array_distinct(F.concat(_low(T.places("_head", lexicon.forms)), shorts)), "_ents": ents})
     df = df.withColumns({"_jur": F.array_union("_told", "_states"), "_parties": F.array_union("_claimants", "_respondents")})
     keys = [group] if group else []
+    own = F.explode(F.concat(F.transform("_bi", lambda b: F.concat(F.lit("b:"), b)), F.transform("_names", lambda n: F.concat(F.lit("n:"), n)))).alias("k")
+    if common is not None:
+        sets = df.select("id", own).join(common.select("k").distinct(), "k", "left_anti").groupBy("id").agg(F.collect_set("k").alias("_k"))
+        return _with_rare(df, sets, place_stems, generic)
     pool = df.groupBy(*keys).agg(F.count("*").alias("_n")) if group else df.agg(F.count("*").alias("_n"))
-    counted = df.select(*keys, F.explode(F.concat(F.transform("_bi", lambda b: F.concat(F.lit("b:"), b)), F.transform("_names", lambda n: F.concat(F.lit("n:"), n)))).alias("k"))
+    counted = df.select(*keys, own)
     rare = counted.groupBy(*keys, "k").agg(F.count("*").alias("c"))
     rare = (rare.join(pool, keys) if group else rare.join(F.broadcast(pool))).where(F.col("c") <= F.greatest(F.lit(3), F.floor(F.col("_n") / 8)))  # pool has one row
-    mine = df.select("id", *keys, F.explode(F.concat(F.transform("_bi", lambda b: F.concat(F.lit("b:"), b)), F.transform("_names", lambda n: F.concat(F.lit("n:"), n)))).alias("k"))
+    mine = df.select("id", *keys, own)
     sets = mine.join(rare, [*keys, "k"]).groupBy("id").agg(F.collect_set("k").alias("_k"))
+    return _with_rare(df, sets, place_stems, generic)
+
+
+def _with_rare(df: DataFrame, sets: DataFrame, place_stems: Column, generic: Column) -> DataFrame:
     df = df.join(sets, "id", "left")
     of = lambda mark: F.transform(F.filter(F.coalesce("_k", F.array().cast("array<string>")), lambda k: k.startswith(mark)), lambda k: F.substr(k, F.lit(3)))
     two = lambda b: F.split(b, " ")
@@ -235,12 +244,30 @@ def _meetings(rows: DataFrame) -> DataFrame:
     lack; under each key, for each two such kinds and each value that both must share, the rows of one kind link to
     the smallest of the other.
     """
-    lists = {k: F.when(F.col(k).isNull() | (F.size(k) == 0), F.array(F.lit(""))).otherwise(F.col(k)) for k in ("e", "j")} | {"c": F.array(F.coalesce("c", F.lit("")))}
-    lacks = lambda k: F.get(lists[k], F.lit(0)) == ""
-    df = written(rows.withColumn("p", reduce(lambda a, b: a + b, [F.when(lacks(k), 1 << n).otherwise(0) for n, k in enumerate("ejc")])), "meetings")
+    lists = _lists()
+    df = written(rows.withColumn("p", _lacking(lists)), "meetings")
     kinds_there = sorted(r["p"] for r in df.select("p").distinct().collect())  # eight at most
     if not kinds_there:
         return rows.select(F.col("id").alias("u"), F.col("id").alias("v"))
+    dealt = df.select("id", "k", F.inline(dealing(lists, kinds_there)))
+    least = dealt.groupBy("k", "g").agg(F.min(F.when(~F.col("side"), F.col("id"))).alias("a"), F.min(F.when(F.col("side"), F.col("id"))).alias("b"))
+    met = dealt.join(least, ["k", "g"])
+    return met.select("id", F.when(F.col("own") | F.col("side"), F.col("a")).otherwise(F.col("b")).alias("u")).where("u IS NOT NULL AND id <> u").select("u", F.col("id").alias("v")).distinct()
+
+
+def _lists() -> dict[str, Column]:
+    return {k: F.when(F.col(k).isNull() | (F.size(k) == 0), F.array(F.lit(""))).otherwise(F.col(k)) for k in ("e", "j")} | {"c": F.array(F.coalesce("c", F.lit("")))}
+
+
+def _lacking(lists: dict[str, Column]) -> Column:
+    """Which of the three a row lacks, as a number below eight."""
+    lacks = lambda k: F.get(lists[k], F.lit(0)) == ""
+    return reduce(lambda a, b: a + b, [F.when(lacks(k), 1 << n).otherwise(0) for n, k in enumerate("ejc")])
+
+
+def dealing(lists: dict[str, Column], kinds: Sequence[int]) -> Column:
+    """For a row of kind p: (g, side, own) of every group in which it meets rows of the given kinds. In a group of two
+    kinds those of one side link to the other side; in one of a single kind (own) all link."""
 
     def with_kind(q: int) -> Column:
         e, j, c = (F.array(F.lit("")) if q >> n & 1 else lists[k] for n, k in enumerate("ejc"))
@@ -248,10 +275,21 @@ def _meetings(rows: DataFrame) -> DataFrame:
         kinds = F.concat_ws("\x01", F.least("p", F.lit(q)).cast("string"), F.greatest("p", F.lit(q)).cast("string"))
         return F.transform(F.array_distinct(must), lambda m: F.struct(F.concat_ws("\x01", kinds, m).alias("g"), (F.col("p") > q).alias("side"), (F.col("p") == q).alias("own")))
 
-    dealt = df.select("id", "k", F.inline(F.concat(*[with_kind(q) for q in kinds_there])))
-    least = dealt.groupBy("k", "g").agg(F.min(F.when(~F.col("side"), F.col("id"))).alias("a"), F.min(F.when(F.col("side"), F.col("id"))).alias("b"))
-    met = dealt.join(least, ["k", "g"])
-    return met.select("id", F.when(F.col("own") | F.col("side"), F.col("a")).otherwise(F.col("b")).alias("u")).where("u IS NOT NULL AND id <> u").select("u", F.col("id").alias("v")).distinct()
+    return F.concat(*[with_kind(q) for q in kinds])
+
+
+def meeting_keys() -> tuple[Column, Column]:
+    """From features: the keys under which items meet unless their names, jurisdictions or case numbers keep them apart
+    (rare phrases, rare names, States at one stage), and those where only case numbers do (a party and a State)."""
+    mark = lambda m, c: F.transform(c, lambda x: F.concat(F.lit(f"{m}:"), x))
+    both = lambda a, b: F.flatten(F.transform(a, lambda x: F.transform(F.filter(b, lambda y: y != x), lambda y: F.concat_ws(" ", x, y))))
+    states = F.array_except("_jur", _lookup(UNIONS))
+    pair = (F.size("_ents") == 0) & (F.size(states) >= 2) & F.col("_stage").isNotNull()
+    keys = F.concat(
+        mark("phrase", F.col("_phrases")), mark("name", F.col("_rare")),
+        F.when(pair, F.array(F.concat_ws(" ", F.lit("pair:"), F.array_join(F.array_sort(states), ","), F.col("_stage")))).otherwise(F.array().cast("array<string>")),
+    )
+    return F.array_distinct(keys), F.array_distinct(both(F.col("_parties"), F.col("_states")))
 
 
 def graph(items: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -264,19 +302,12 @@ def graph(items: DataFrame, lexicon: Lexicon) -> DataFrame:
     rows = written(rows, "story-features")
     first = written(rows.groupBy(*told).agg(F.min("id").alias("id")), "story-kinds")
     alike = rows.join(first.withColumnRenamed("id", "u"), reduce(lambda a, b: a & b, [rows[c].eqNullSafe(first[c]) for c in told])).where("id <> u").select("u", F.col("id").alias("v"))
-    mark = lambda m, c: F.transform(c, lambda x: F.concat(F.lit(f"{m}:"), x))
-    both = lambda a, b: F.flatten(F.transform(a, lambda x: F.transform(F.filter(b, lambda y: y != x), lambda y: F.concat_ws(" ", x, y))))
-    states = F.array_except("_jur", _lookup(UNIONS))
-    pair = (F.size("_ents") == 0) & (F.size(states) >= 2) & F.col("_stage").isNotNull()
-    keys = F.concat(
-        mark("phrase", F.col("_phrases")), mark("name", F.col("_rare")),
-        F.when(pair, F.array(F.concat_ws(" ", F.lit("pair:"), F.array_join(F.array_sort(states), ","), F.col("_stage")))).otherwise(F.array().cast("array<string>")),
-    )
+    keys, sides = meeting_keys()
     apart = [F.col("_ents").alias("e"), F.col("_jur").alias("j"), F.col("_case").alias("c")]
     none = F.array().cast("array<string>")
-    met = _meetings(first.select("id", F.explode(F.array_distinct(keys)).alias("k"), *apart))
+    met = _meetings(first.select("id", F.explode(keys).alias("k"), *apart))
     # The same party and State: only case numbers keep those apart.
-    parties = _meetings(first.select("id", F.explode(both(F.col("_parties"), F.col("_states"))).alias("k"), none.alias("e"), none.alias("j"), F.col("_case").alias("c")))
+    parties = _meetings(first.select("id", F.explode(sides).alias("k"), none.alias("e"), none.alias("j"), F.col("_case").alias("c")))
     # Similar words: sets of words are compared once, and the items of two similar sets (or of one) meet under them.
     sets = first.select("id", "_toks", "_ents", "_case").where(F.size("_toks") > 0)
     leader = written(sets.groupBy("_toks").agg(F.min("id").alias("set")), "story-words")
@@ -284,10 +315,16 @@ def graph(items: DataFrame, lexicon: Lexicon) -> DataFrame:
     named = near.select(F.concat_ws(" ", "a", "b").alias("k"), F.explode(F.array("a", "b")).alias("set")).union(leader.select(F.col("set").cast("string"), "set"))
     words = sets.join(leader, "_toks").join(named, "set").select("id", "k", F.col("_ents").alias("e"), none.alias("j"), F.col("_case").alias("c"))
     comp = components(alike.union(met).union(parties).union(_meetings(words)))
-    labelled = rows.select("id", "_case").join(comp, F.col("id") == F.col("node"), "left").select("id", "_case", F.coalesce("component", "id").alias("c"))
-    cases = labelled.groupBy("c").agg((F.min("_case") != F.max("_case")).alias("several"), F.min("id").alias("least"))
-    split = labelled.groupBy("c", "_case").agg(F.min("id").alias("own"))
-    out = labelled.join(cases, "c").join(split.withColumnsRenamed({"c": "c_", "_case": "case_"}), (F.col("c") == F.col("c_")) & F.col("_case").eqNullSafe(F.col("case_")))
+    labelled = rows.select("id", F.col("_case").alias("case")).join(comp, F.col("id") == F.col("node"), "left")
+    return by_case(labelled.select("id", "case", F.coalesce("component", "id").alias("c")))
+
+
+def by_case(labelled: DataFrame) -> DataFrame:
+    """(id, story) of items (id, case, c): the least item of each component c, or where a component has several case
+    numbers that of each number."""
+    cases = labelled.groupBy("c").agg((F.min("case") != F.max("case")).alias("several"), F.min("id").alias("least"))
+    split = labelled.groupBy("c", "case").agg(F.min("id").alias("own")).withColumnsRenamed({"c": "c_", "case": "case_"})
+    out = labelled.join(cases, "c").join(split, (F.col("c") == F.col("c_")) & F.col("case").eqNullSafe(F.col("case_")))
     return out.select("id", F.when(F.coalesce("several", F.lit(False)), F.col("own")).otherwise(F.col("least")).alias("story"))
 
 

@@ -92,17 +92,6 @@ def party_match(names: Column, title: Column, states: tuple[str, ...] = (), sove
     return company | (n >= 2) | ((n == 1) & word)
 
 
-def stem_candidates(left: DataFrame, right: DataFrame, text: str, least: int = 2, most_df: int | None = None) -> DataFrame:
-    """(a, b, shared): ids of rows of left and right (id, text) whose texts share `least` stems or more, other than
-    a row with itself. An inverted index: rows meet under a stem. most_df leaves out stems of more rows of right
-    than that as meeting points only where another stem is sure to bring the pair together; none by default."""
-    words = lambda df, name: df.select(F.col("id").alias(name), F.explode(tokens(text)).alias("stem"))
-    a, b = words(left, "a"), words(right, "b")
-    if most_df:
-        a = a.join(b.groupBy("stem").count().where(F.col("count") <= most_df), "stem", "left_semi")
-    return a.join(b, "stem").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-
-
 def jaccard_pairs(df: DataFrame, id: str, text: str, least: float = fixed.JACCARD_ALONE) -> DataFrame:
     """(a, b, jaccard) with a < b of distinct token sets whose Jaccard similarity is `least` or more. Rows with the
     same set are one representative (the smallest id), so copies don't multiply."""
@@ -110,30 +99,50 @@ def jaccard_pairs(df: DataFrame, id: str, text: str, least: float = fixed.JACCAR
     return jaccard_sets(sets, least)
 
 
-def jaccard_sets(sets: DataFrame, least: float = fixed.JACCARD_ALONE) -> DataFrame:
+def jaccard_sets(sets: DataFrame, least: float = fixed.JACCARD_ALONE, hot: int = 1000) -> DataFrame:
     """(a, b, jaccard) with a < b of the similar ones among distinct, non-empty sets (id, t).
 
     A pair above the bound shares a word among the first of each set in order of rarity (prefix filtering), so rows
     meet only there; what travels is numbers: of a word the rank, of a set its size. The words themselves are
-    compared at the end, once for each pair.
+    compared at the end, once for each pair. Under a word that more than `hot` sets have, sets meet only those of a
+    size that is still possible at that place, so that short sets don't all meet under a common word.
     """
     sets = written(sets.select("id", "t"), "word-sets")
+    counts = sets.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    rows = written(prefixes(sets, counts, least, hot), "word-prefixes")
+    return alike(meetings(rows, rows, least).where("a < b"), sets, sets, least)
+
+
+def prefixes(sets: DataFrame, counts: DataFrame, least: float, hot: int) -> DataFrame:
+    """(id, n, at, w, hot) of sets (id, t): a set's size and its first words in order of rarity, as numbers. counts (w, n)
+    orders the words, those of one count by their hash; words that it lacks come first."""
     word = sets.select("id", F.explode("t").alias("w"))
-    # The rank orders words by rarity; words of one count are told apart by their hash.
-    rank = word.groupBy("w").agg(F.count("*").alias("n")).select("w", F.struct("n", F.xxhash64("w").alias("h")).alias("r"))
-    ordered = word.join(rank, "w").groupBy("id").agg(F.array_sort(F.collect_list("r")).alias("o"))
+    rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.xxhash64("w").alias("h"))
+    ordered = word.join(counts, "w", "left").groupBy("id").agg(F.array_sort(F.collect_list(rank)).alias("o"))
     n = F.size("o")
     prefix = F.slice("o", 1, n - F.ceil(least * n).cast("int") + 1)
-    rows = written(ordered.select("id", n.alias("n"), F.posexplode(F.transform(prefix, lambda x: x["h"])).alias("at", "w")), "word-prefixes")
-    a, b = rows.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), "w"), rows.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), "w")
-    # Sizes, and what is left after the place where they meet, must still allow the bound.
-    size = F.col("na") + F.col("nb")
-    left = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    met = a.join(b, "w").where((F.col("a") < F.col("b")) & (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na")))
-    earlier = F.least("ia", "ib")
-    met = met.where((left + earlier) * (1 + least) >= least * size).select("a", "b").distinct()
+    rows = ordered.select("id", n.alias("n"), F.posexplode(prefix).alias("at", "r"))
+    return rows.select("id", "n", "at", F.col("r.h").alias("w"), (F.col("r.n") > hot).alias("hot"))
+
+
+def meetings(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b) of rows of prefixes() that may be similar, a <> b, each pair once. What two sets share from the first
+    common word on is at most what is left of either, so sizes n and m can meet where left * (1 + least) >= least * (n + m)."""
+    most = F.least(F.floor(F.col("n") / least), F.floor((F.col("n") - F.col("at")) * (1 + least) / least + 1e-9) - F.col("n"))
+    sizes = F.filter(F.sequence(F.ceil(least * F.col("n") - 1e-9), F.greatest(most, F.ceil(least * F.col("n") - 1e-9))), lambda m: m <= most)
+    other = F.explode(F.when(F.col("hot"), sizes).otherwise(F.array(F.lit(0).cast("long"))))
+    own = F.when(F.col("hot"), F.col("n").cast("long")).otherwise(F.lit(0).cast("long"))
+    a = left.withColumn("_m", other).select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), "w", "hot", own.alias("x"), F.col("_m").alias("y"))
+    b = right.withColumn("_m", other).select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), "w", "hot", F.col("_m").alias("x"), own.alias("y"))
+    room = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    met = a.join(b, ["w", "hot", "x", "y"]).where((F.col("a") != F.col("b")) & (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na")))
+    return met.where(room * (1 + least) >= least * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b").distinct()
+
+
+def alike(met: DataFrame, left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs whose sets (id, t) are similar."""
     inter = F.size(F.array_intersect("ta", "tb"))
-    pairs = met.join(sets.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+    pairs = met.join(left.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(right.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
     return pairs.withColumn("jaccard", inter / (F.size("ta") + F.size("tb") - inter)).where(F.col("jaccard") >= least).select("a", "b", "jaccard")
 
 
