@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.functions import editing, fixed
-from skeinflow.functions.text import outlet_rank, places, topics
+from skeinflow.functions.text import outlet_rank, places, topics, upper_share
 from skeinflow.operators import classify, cluster
 from skeinflow.operators import select as sel
 from skeinflow.operators.graph import written
@@ -197,6 +197,79 @@ def edited(picks: DataFrame, s: Settings) -> DataFrame:
     return picks.withColumn("title_en", editing.headline(_head(), s.common, F.concat(*lists), record)).withColumn("story", editing.explanation(editing.whole_sentences(text)))
 
 
+def _told() -> Column:
+    """What explains a headline: the summary without a feed's closing words; empty if it is a wall's text or the headline again."""
+    from skeinflow.functions.text import html_text
+
+    text = html_text(F.coalesce(F.when(F.col("summary_en") != "", F.col("summary_en")), F.col("summary"), F.lit("")))
+    text = F.regexp_replace(F.trim(text), r"\s*The post .{0,200}? appeared first on .{0,80}?(?:\.|$)", "")
+    text = F.trim(F.regexp_replace(F.trim(text), r"\s*(?:Read more|Continue reading|The article .{0,120} first appeared on .{0,60})\.?$", ""))
+    return cluster.real_summary(text, F.col("title"))
+
+
+def has_text() -> Column:
+    """Whether a row's own summary is prose about its headline."""
+    return F.coalesce(editing.relevant_summary(_head(), _told()), F.lit(False)) & (_told() != "")
+
+
+def with_text(rows: DataFrame, s: Settings) -> DataFrame:
+    """rows without those that are only a headline; primary sources (tier 1) and the trade press stay without text too."""
+    return rows.where((F.coalesce("source_tier", F.lit(2)) == 1) | _like(F.concat_ws(" ", "source", "url"), s.trade) | has_text())
+
+
+def today(items: DataFrame, issues: DataFrame, shown: DataFrame, day: Column, s: Settings) -> DataFrame:
+    """The day's stories that can be explained, with brief_only. A thin day of fewer than three reaches a day further back
+    for stories that were never printed, which say so in flag_reason and come after the others, up to max_items in all.
+    Stories without text, or whose text is a docket entry in capitals, are brief and stand last."""
+    own = written(with_text(stories(items, issues, shown, day, s), s), "day-stories")
+    if "flag_reason" not in own.columns:
+        own = own.withColumn("flag_reason", F.lit(None).cast("string"))
+    out = own.withColumn("_held", F.lit(False))
+    n = own.limit(3).count()
+    if 0 < n < 3:  # a day without any story stays without
+        more = with_text(stories(items, issues, shown, day, s, extra_days=1), s).join(own.select("id"), "id", "left_anti")
+        if "flag_reason" not in more.columns:
+            more = more.withColumn("flag_reason", F.lit(None).cast("string"))
+        reason = F.concat_ws(" | ", F.when(F.col("flag_reason") != "", F.col("flag_reason")), F.lit("held over from the previous day"))
+        more = more.withColumn("flag_reason", reason).withColumn("_held", F.lit(True))
+        out = out.unionByName(more.select(*out.columns)).orderBy("_held", F.desc_nulls_last("score"), "id").limit(s.max_items)
+    brief = ~has_text() | F.coalesce(upper_share(F.left(_told(), F.lit(200))) > 0.35, F.lit(False))
+    return out.withColumn("brief_only", brief).orderBy("brief_only", "_held", F.desc_nulls_last("score"), "id").drop("_held")
+
+
+def backed(leads: DataFrame) -> DataFrame:
+    """Leads that have text of their own or that another source corroborates."""
+    cites = F.coalesce(F.size("corroboration"), F.lit(0)) > 0 if "corroboration" in leads.columns else F.lit(False)
+    return leads.where(has_text() | cites)
+
+
+def lead_story(ordered: DataFrame, place: str = "place") -> DataFrame:
+    """ordered (with brief_only and the place of each row) with lead: of the first five that are told, the first that
+    starts a dispute, else the first told; where none is told all count as told. One row has it, none of no rows."""
+    told = ordered.where("not brief_only")
+    among = told if told.limit(1).count() else ordered
+    first = among.orderBy(place).limit(5)  # a day's first five
+    best = first.orderBy(~F.coalesce(F.col("event_type").isin(*fixed.STARTERS), F.lit(False)), place).limit(1).select(F.col("id").alias("_lead"))
+    return ordered.join(F.broadcast(best), F.col("id") == F.col("_lead"), "left").withColumn("lead", F.col("_lead").isNotNull()).drop("_lead")
+
+
+def build_explained(items: DataFrame, issues: DataFrame, shown: DataFrame, day: Column, s: Settings) -> dict[str, DataFrame]:
+    """All parts of a day as build() gives them, where every printed headline carries an explanation: stories from today(),
+    leads that are backed, the lead marked."""
+    from pyspark.sql import Window
+
+    first = written(today(items, issues, shown, day, s), "issue-stories")
+    leads = written(backed(track(items, issues, shown, first, day, s, fixed.LEAD_EVENTS, *s.leads, False, False, True, False)), "issue-leads")
+    both = first.select(*[c for c in first.columns if c in leads.columns]).unionByName(leads, allowMissingColumns=True)
+    enforcement = written(track(items, issues, shown, both, day, s, fixed.ENFORCEMENT_EVENTS, *s.enforcement, True, True, False, True), "issue-enforcement")
+    featured = both.unionByName(enforcement, allowMissingColumns=True)
+    order = Window.partitionBy(F.lit(0)).orderBy("brief_only", F.coalesce(F.contains("flag_reason", F.lit("held over from the previous day")), F.lit(False)), F.desc_nulls_last("score"), "id")
+    placed = edited(first, s).withColumn("place", F.row_number().over(order) - 1)  # a day's dozen
+    tier = F.when(F.col("brief_only"), "brief").when(F.col("place") == 0, "lead").when(F.col("place") < 7, "development").otherwise("brief")
+    placed = lead_story(placed.withColumn("tier", tier))
+    return {"stories": placed, "leads": edited(leads, s), "enforcement": edited(enforcement, s), "records": record_lists(items, shown, featured, day, s)}
+
+
 def build(items: DataFrame, issues: DataFrame, shown: DataFrame, day: Column, s: Settings) -> dict[str, DataFrame]:
     """All parts of a day, each written once: stories (with tier and place), leads, enforcement, records."""
     first = written(stories(items, issues, shown, day, s), "issue-stories")
@@ -229,6 +302,28 @@ def write_day(parts: dict[str, DataFrame], day: str, path: str) -> None:
     row.coalesce(1).write.mode("overwrite").json(f"{path}/day={day}")
 
 
+def day_rows(parts: dict[str, DataFrame], day: Column) -> DataFrame:
+    """(day, part, place, record) of all that a day carries, for sources.daystore: a record is JSON with the fixed fields
+    of a story, in their order and null where a part has none, and tier and place. What a part does not say of a tier:
+    leads are signals, the enforcement track is enforcement."""
+    told = {"leads": "signal", "enforcement": "enforcement"}
+    out = []
+    for name, p in parts.items():
+        fields = [(F.col(c) if c in p.columns else F.lit(None).cast("string")).alias(c) for c in fixed.DAY_FIELDS]
+        tier = F.col("tier") if "tier" in p.columns else F.lit(told.get(name, name))
+        group = [F.col("list")] if "list" in p.columns else []
+        part = F.concat_ws("/", F.lit(name), *group)
+        at = F.col("place").cast("long") if "place" in p.columns else None
+        if at is None:
+            from pyspark.sql import Window
+
+            # A part of a day is some dozens of rows.
+            at = F.row_number().over(Window.partitionBy(part).orderBy(F.desc_nulls_last("score"), "id")).cast("long") - 1
+        options = {"ignoreNullFields": "false"}
+        out.append(p.select(day.cast("string").alias("day"), part.alias("part"), at.alias("place"), F.to_json(F.struct(*fields, tier.alias("tier")), options).alias("record")))
+    return reduce(DataFrame.union, out)
+
+
 def rebuild(spark: SparkSession, items: DataFrame, shown: DataFrame, days: list[str], s: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Days in order, each seeing only what came before: items with their issue, issues, and what the days carry."""
     issues = spark.createDataFrame([], "issue_id long, number long, day date, sent boolean")

@@ -109,3 +109,53 @@ def test_foreign_dockets_and_waiting_items(spark):
     assert [r["id"] for r in pending(rows, "none", 2).collect()] == [2, 1]
     text = spark.createDataFrame([("Ruling on Halvar Petroleum",), ("Cabinet Group of Ministers",), ("Acme Co pays",)], "t string")
     assert [r[0] for r in text.select(F.col("t").rlike(issue.Settings().business)).collect()] == [True, False, True]
+
+
+def frame(spark, data):
+    keys = [f.name for f in spark.createDataFrame([], SCHEMA).schema]
+    return spark.createDataFrame([tuple(r[k] for k in keys) for r in data], SCHEMA)
+
+
+def test_a_thin_day_reaches_back_and_headlines_alone_go(spark):
+    data = rows()
+    for r in data:
+        # Of the day's stories two keep their text; of the day before, which is out of a window of no days, all do.
+        if r["published_at"] == dt.date(2026, 1, 10) and r["id"] not in (1, 3):
+            r["summary"] = None
+        r["source_tier"] = 1 if r["source"].startswith(("Court:", "ICSID")) else 2
+    none = spark.createDataFrame([], "issue_id long, number long, day date, sent boolean")
+    shown = spark.createDataFrame([], "day date, url string, title string")
+    s = issue.Settings(max_items=5, today_days=0, lexicon=LEXICON)
+    day = F.lit("2026-01-10").cast("date")
+    got = issue.today(frame(spark, data), none, shown, day, s).collect()
+    assert [r["id"] for r in got[:2]] == [1, 3] and len(got) == 5
+    # The court's story of the day has its text from the day before, so it is held over with those of that day.
+    assert {r["id"] for r in got[2:] if r["published_at"] != dt.date(2026, 1, 9)} <= {15}
+    assert [r["flag_reason"] for r in got] == [None, None, *["held over from the previous day"] * 3]
+    assert not any(r["brief_only"] for r in got)
+    parts = issue.build_explained(frame(spark, data), none, shown, day, s)
+    stories = parts["stories"].orderBy("place").collect()
+    assert [r["id"] for r in stories] == [r["id"] for r in got] and [r["lead"] for r in stories] == [True, False, False, False, False]
+    assert parts["leads"].count() == 0  # no text and nobody else reports them
+    assert [r["source"] for r in parts["enforcement"].collect()] == ["Court: Lima"]
+
+
+def test_text_and_lead_choice(spark):
+    rows_ = [
+        (1, "Tribunal grants Halvar an award against Peru", "A tribunal found for Halvar Energy Group after a long case of years.", "award_issued", 2, "Paper", ["x"]),
+        (2, "Tribunal grants Zentil an award against Peru", "<p>Read more</p>", "award_issued", 2, "Paper", None),
+        (3, "Halvar motion entry", "MISCELLANEOUS CASE INITIATING DOCUMENT MOTION FOR COURT ENTRY OF HALVAR CASE NOW", "new_case_filed", 1, "Court: X", []),
+        (4, "Ghana revokes licence of Oristo Mining", "Ghana has revoked the licence of Oristo Mining after a review of all contracts. The post Oristo appeared first on Paper.", "state_measure", 2, "Paper", []),
+        (5, "Panel picked", None, "award_issued", 2, "Trade Review", []),
+    ]
+    df = spark.createDataFrame(rows_, "id long, title string, summary string, event_type string, source_tier int, source string, corroboration array<string>")
+    df = df.withColumns({"title_en": F.lit(None).cast("string"), "summary_en": F.lit(None).cast("string"), "url": F.lit("u")})
+    s = issue.Settings(trade="Trade Review")
+    assert [r["id"] for r in issue.with_text(df, s).orderBy("id").collect()] == [1, 3, 4, 5]
+    assert [r["id"] for r in issue.backed(df).orderBy("id").collect()] == [1, 3, 4]
+    assert issue.backed(df.drop("corroboration")).where("id in (2, 5)").count() == 0
+    placed = df.select("id", "event_type", (F.col("id") - 1).alias("place"), (F.col("id") == 3).alias("brief_only"))
+    lead = lambda d: [r["id"] for r in issue.lead_story(d).where("lead").collect()]
+    assert lead(placed) == [4]  # a measure starts a dispute; the docket entry is told in brief
+    assert lead(placed.where("id in (1, 2)")) == [1] and lead(placed.where("id = 3")) == [3] and lead(placed.limit(0)) == []
+    assert lead(placed.withColumn("place", F.col("id") + F.when(F.col("id") == 4, 10).otherwise(0))) == [4]
