@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinflow.functions import fixed
+
 
 def distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Per key: n, mean, median, p10, p90, min, max. The percentiles are the sorted value at the floor of
@@ -50,6 +52,21 @@ def word_case(df: DataFrame, text: str, least: int = 2, ratio: float = 1.5) -> D
     return counted.where((F.col("low") >= least) & (F.col("low") >= ratio * F.col("cap")) & F.col("word").rlike("^[a-z][a-z'-]+$"))
 
 
+def opening_shape(c: Column | str) -> Column:
+    """How a text opens: its article, with '<Adjective>' and the noun where a described party follows; '<Name> …' for
+    another capital; null for anything else."""
+    t = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    described = r"^(An?|The)\s+([A-Z][\p{L}\p{N}_-]+)\s+([\p{L}\p{N}_]+)"
+    article, noun = F.regexp_extract(t, described, 1), F.lower(F.regexp_extract(t, described, 3))
+    return F.when(article != "", F.when(noun.isin(*fixed.DESCRIBED), F.concat(article, F.lit(" <Adjective> "), noun)).otherwise(article)).when(t.rlike("^[A-Z]"), "<Name> …")
+
+
+def containing(df: DataFrame, text: Column, phrases: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, phrase, n): how many texts contain each of some phrases, of those that any does; one pass, whatever their number."""
+    held = F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(F.coalesce(text, F.lit("")), p))
+    return df.select(*keys, F.explode(held).alias("phrase")).groupBy(*keys, "phrase").agg(F.count("*").alias("n"))
+
+
 def coverage(df: DataFrame, key: str, ok: Column, least: int = 5) -> DataFrame:
     """Per key: entries, good ones, and whether there are `least` good ones."""
     return df.groupBy(key).agg(F.count("*").alias("n"), F.count_if(ok).alias("good")).withColumn("enough", F.col("good") >= least)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skeinflow.operators import cluster, issue, records
+from skeinflow.operators import cluster, corpus, issue, phrases, records
 from skeinflow.operators.gazetteer import Gazetteer
 from skeinflow.plans.items import table
 from skeinflow.plans.registry import query
@@ -109,3 +109,38 @@ def cited_copies(spark, sf_dir):
     )
     cited = cluster.cite_best(stories, lambda s, u: text.outlet_rank(s, u, ranks))
     return cited.select("story", "url", F.size("also").cast("long").alias("copies"))
+
+
+@query(
+    "top_phrases",
+    r"""WITH w AS (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS value FROM w WHERE len(w) >= 3)
+SELECT value, count(*) AS n FROM g GROUP BY value ORDER BY n DESC, value LIMIT 50""",
+)
+def top_phrases(spark, sf_dir):
+    """The 50 commonest runs of three words in whole documents."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(words.alias("w"))
+    return phrases.commonest(docs, phrases.ngrams(F.col("w"), 3), 50)
+
+
+SHAPE_SQL = r"""CASE WHEN regexp_matches(text, '^(An?|The)\s+([A-Z][\p{L}\p{N}_-]+)\s+([\p{L}\p{N}_]+)') THEN
+  regexp_extract(text, '^(An?|The)\s', 1) || CASE WHEN lower(regexp_extract(text, '^(An?|The)\s+([A-Z][\p{L}\p{N}_-]+)\s+([\p{L}\p{N}_]+)', 3)) IN
+    ('company','investor','contractor','group','court','tribunal','judge','businessman','developer','producer','miner','bank','insurer','consortium','arbitrator','panel')
+    THEN ' <Adjective> ' || lower(regexp_extract(text, '^(An?|The)\s+([A-Z][\p{L}\p{N}_-]+)\s+([\p{L}\p{N}_]+)', 3)) ELSE '' END
+  WHEN regexp_matches(text, '^[A-Z]') THEN '<Name> …' END"""
+
+
+@query("opening_shapes", f"SELECT lang, shape, count(*) AS n FROM (SELECT lang, {SHAPE_SQL} AS shape FROM documents) WHERE shape IS NOT NULL GROUP BY lang, shape")
+def opening_shapes(spark, sf_dir):
+    """How documents open, by language."""
+    return table(spark, sf_dir, "documents").select("lang", corpus.opening_shape("text").alias("shape")).where("shape IS NOT NULL").groupBy("lang", "shape").agg(F.count("*").alias("n"))
+
+
+WORDS = ("has", "reportedly", "the ", "and ", "und ", "que ", "les ", "http", "@")
+
+
+@query("phrase_counts", "SELECT phrase, count(*) AS n FROM documents, (SELECT unnest(['has','reportedly','the ','and ','und ','que ','les ','http','@']) AS phrase) WHERE contains(text, phrase) GROUP BY phrase")
+def phrase_counts(spark, sf_dir):
+    """How many documents contain each of some phrases."""
+    return corpus.containing(table(spark, sf_dir, "documents"), F.col("text"), WORDS)
