@@ -101,6 +101,16 @@ def test_beta_cdf(spark):
     assert abs(row["p"] - area) < 1e-7 and row["far"] < 1e-5 and abs(row["g"] - math.lgamma(0.01)) < 1e-9
 
 
+def test_beta_cdf_of_large_groups_has_the_same_formula(spark):
+    """Near the mean, where the normal distribution is close, on both sides of a million labels."""
+    pairs = [(499_000.0, 500_000.0), (501_000.0, 500_500.0), (600_000.0, 600_000.0), (50_003_000.0, 50_000_000.0), (49_998_000.0, 50_000_000.0)]
+    df = spark.createDataFrame(pairs, "a double, b double").select("a", "b", U.beta_cdf(0.5, F.col("a"), F.col("b")).alias("p"))
+    for r in df.collect():
+        a, b = r["a"], r["b"]
+        z = (0.5 - a / (a + b)) / math.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))
+        assert abs(r["p"] - 0.5 * math.erfc(-z / math.sqrt(2))) < 1e-5
+
+
 def test_reputation_matches_brute_force(spark):
     import random
 
