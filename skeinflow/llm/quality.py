@@ -49,17 +49,39 @@ _BYTE = _rng.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 _PLACE = _rng.integers(1, 1 << 63, 64, np.uint64) | np.uint64(1)
 
 
-def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features by line, bytes of each line, lines of each text). Blank lines don't count."""
-    raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+#: Bytes of texts whose lines are measured at one time; a longer line is measured alone.
+WINDOW = 1 << 20
+
+
+def _pieces(raws: list[bytes]) -> Iterator[tuple[list[bytes], list[int]]]:
+    """The texts in groups of about WINDOW bytes, long ones cut at ends of lines, and which text each piece is of."""
+    group, owners, held = [], [], 0
+    for i, raw in enumerate(raws):
+        at = 0
+        while True:
+            end = len(raw) if len(raw) - at <= WINDOW else raw.find(b"\n", at + WINDOW)
+            end = len(raw) if end < 0 else end
+            group.append(raw[at:end] if at or end < len(raw) else raw)
+            owners.append(i)
+            held += end - at + 1
+            if held >= WINDOW:
+                yield group, owners
+                group, owners, held = [], [], 0
+            if end == len(raw):
+                break
+            at = end + 1
+    if group:
+        yield group, owners
+
+
+def _measured(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rates, bytes, text) of the lines of some texts that are not blank."""
     data = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
     ends = np.flatnonzero(data == 10)
     starts = np.concatenate([[0], ends[:-1] + 1])
     size = ends - starts + 1  # with the line's end
     text_end = np.cumsum([len(r) + 1 for r in raws]) - 1
     text_of = np.searchsorted(text_end, ends)
-    if not len(texts):
-        return np.zeros((0, WIDTH), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def per_line(table: np.ndarray) -> np.ndarray:
         return np.add.reduceat(table[data], starts, dtype=np.float64)
@@ -93,17 +115,35 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         ],
         1,
     )[some]
-    size, text_of = (size - 1)[some], text_of[some]
+    return rates, (size - 1)[some], text_of[some]
+
+
+def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features by line, bytes of each line, lines of each text). Blank lines don't count. What is held at one time is
+    the texts, some arrays of a window's size, and the features of all lines."""
+    if not len(texts):
+        return np.zeros((0, WIDTH), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    parts = []
+    for group, owners in _pieces([t.encode("utf-8", "surrogatepass") for t in texts]):
+        rates, size, piece = _measured(group)
+        parts.append((rates, size, np.array(owners)[piece]))
+    rates, size, text_of = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     lines = np.bincount(text_of, minlength=len(texts))
-    near = np.concatenate([rates[:, NEAR], np.ones((len(rates), 1))], 1)
-    edge = np.zeros((1, near.shape[1]))
-    before, after = np.concatenate([edge, near[:-1]]), np.concatenate([near[1:], edge])
-    change = text_of[1:] != text_of[:-1]
-    before[1:][change] = 0
-    after[:-1][change] = 0
-    x = np.concatenate(
-        [np.ones((len(rates), 1)), np.log1p(size)[:, None] / 5, rates, np.sqrt(rates[:, ROOTS]), before, after], 1
-    ).astype(np.float32) if len(rates) else np.zeros((0, WIDTH), np.float32)
+    x = np.zeros((len(rates), WIDTH), np.float32)
+    for at in range(0, len(rates), 1 << 15):
+        here = slice(at, at + (1 << 15))
+        own = np.arange(at, min(at + (1 << 15), len(rates)))
+
+        def near(step: int, own=own) -> np.ndarray:
+            """The neighbouring lines' rates, and whether there is such a line in the text."""
+            k = own + step
+            there = (k >= 0) & (k < len(rates))
+            k = np.clip(k, 0, len(rates) - 1)
+            there &= text_of[k] == text_of[own]
+            return np.concatenate([rates[k][:, NEAR], np.ones((len(k), 1))], 1) * there[:, None]
+
+        x[here] = np.concatenate([np.ones((len(own), 1)), np.log1p(size[here])[:, None] / 5, rates[here], np.sqrt(rates[here][:, ROOTS]), near(-1), near(1)], 1)
     return x, size, lines
 
 
@@ -229,7 +269,9 @@ def fit_rows(rows: Iterable[tuple[str, int]], sample_lines: int = 200_000, round
 
 def scores(texts: list[str], field: Field) -> np.ndarray:
     x, size, lines = line_features(texts)
-    share = _share(_marginals(x.astype(float) @ field.weights, lines, field.pair)[0], size, lines, field.prior)
+    e = np.concatenate([x[at : at + (1 << 16)].astype(float) @ field.weights for at in range(0, max(len(x), 1), 1 << 16)])
+    del x
+    share = _share(_marginals(e, lines, field.pair)[0], size, lines, field.prior)
     return np.where(lines > 0, 1 / (1 + np.exp(-(field.slope * (share - 0.5) + field.offset))), field.prior)
 
 

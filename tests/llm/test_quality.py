@@ -1,4 +1,8 @@
+import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 
@@ -57,3 +61,31 @@ def test_edges(spark, docs):
     df = docs([("## $$ !!\n## !!", "Good words here.\nMore of them.")[i % 2] for i in range(40)])
     kept = Q.keep_good(df, labels)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(range(1, 40, 2))
+
+
+def test_windows_do_not_change_features(monkeypatch):
+    rnd = random.Random(9)
+    texts = ["\n".join(" ".join(rnd.choice(("the", "A1", "x|y", "été.", "")) for _ in range(rnd.randint(0, 9))) for _ in range(rnd.randint(0, 40))) for _ in range(40)]
+    texts += ["", "\n\n", "a" * 500, "a\n" * 300]
+    want = Q.line_features(texts)
+    for window in (1, 30, 400):
+        monkeypatch.setattr(Q, "WINDOW", window)
+        assert all(np.array_equal(a, b) for a, b in zip(want, Q.line_features(texts), strict=True))
+
+
+def test_one_text_of_a_hundred_megabytes():
+    """In a process of its own: less than 1 GB above what it takes before."""
+    code = """
+import resource, numpy as np
+from skeinflow.llm import quality as Q
+text = ("The quick line of a text that goes on for a while, as lines of texts do. " * 2 + "\\n") * (100_000_000 // 147)
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+rng = np.random.default_rng(1)
+field = Q.Field(rng.normal(size=Q.WIDTH), np.zeros((2, 2)), 4.0, 0.0, 0.5)
+before = peak()
+s = Q.scores([text, "short"], field)
+assert s.shape == (2,) and len(text) > 99_000_000
+print(peak() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert float(out.stdout) < 1000
