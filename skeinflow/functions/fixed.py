@@ -257,3 +257,5 @@ FEED_PATHS = (
     "/feed/", "/feed", "/rss", "/rss.xml", "/feed.xml", "/rss/", "/index.xml", "/atom.xml", "/?feed=rss2", "/en/feed/", "/en/rss", "/en/rss.xml", "/arc/outboundfeeds/rss/",
     "/rss/news", "/feeds/posts/default",
 )
+# Capitalised words that are part of a court's or an office's name, not a party's.
+NAME_NOISE = ("us", "uk", "new", "high", "supreme", "state", "federal", "district", "national")

@@ -92,6 +92,26 @@ def propers(c: Column | str) -> Column:
     return F.array_distinct(F.transform(kept, lambda w: stem(_alias(F.lower(fold(w))))))
 
 
+def shared_propers(a: Column | str, b: Column | str, state_stems: Column) -> Column:
+    """Stems of names that two headlines share, without words of the trade, of places and of courts' ranks. Where the
+    first headline names nothing else but States, the States that they share. state_stems: stems of the words of States."""
+    def names(c: Column | str) -> Column:
+        words = _found(F.replace(_text(c), F.lit("-"), F.lit(" ")), CAPITALISED)
+        later = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
+        kept = F.filter(later, lambda w: w.rlike("^[A-Z\\x{00c0}-\\x{00de}]") & (F.length(w) >= 3) & ~words_in(fixed.STOP, F.lower(w)))
+        return F.array_distinct(F.transform(kept, lambda w: stem(F.lower(fold(w)))))
+
+    common = F.transform(F.array(*[F.lit(w) for w in fixed.GENERIC]), stem)
+    noise = F.array_union(F.array_union(common, state_stems), F.array(*[F.lit(w) for w in fixed.NAME_NOISE]))
+
+    def shared(pa: Column, both: Column) -> Column:
+        named = F.array_except(both, noise)
+        only_states = F.size(F.array_except(pa, noise)) == 0
+        return F.when(F.size(named) > 0, named).when(only_states, F.array_intersect(both, state_stems)).otherwise(F.array().cast("array<string>"))
+
+    return bound(names(a), lambda pa: bound(F.array_intersect(pa, names(b)), lambda both: shared(pa, both)))
+
+
 def stems5(c: Column | str, stop=fixed.STEM5_STOP) -> Column:
     """First five letters of words of four and more, each once."""
     words = _found(F.lower(_text(c)), "[a-z0-9]{4,}")

@@ -144,6 +144,36 @@ def passage(text: Column, phrase: str, signal: str, clause: str, before: int = 2
     return F.substring(F.coalesce(F.get(good, F.lit(0)), F.lit("")), 1, 700)
 
 
+def disclosures(
+    payloads: DataFrame, documents: DataFrame, as_of: Column, days: int, queries: Sequence[str], signal: str, clause: str, base: str = "https://www.sec.gov/Archives/edgar/data/"
+) -> DataFrame:
+    """Filings whose own text discloses what was searched for. payloads: query and payload (search hits); documents: url
+    and text, what was fetched of them. A hit whose document is missing, or has no passage with the query's first phrase
+    that `signal` stands in and no contract clause, is none. A document that several queries find counts for the first."""
+    h = payloads.where(F.col("query").isin(*queries)).select("query", F.explode(_json("payload", FILINGS)["hits"]["hits"]).alias("h")).select("query", "h._id", "h._source.*")
+    h = h.where(~F.upper(F.coalesce("file_type", F.lit(""))).rlike("^EX-(?:10|2|3|4)") & within(F.try_to_date("file_date"), as_of, days, undated=False))
+    bare = F.regexp_replace(F.substring_index("_id", ":", 1), "-", "")
+    h = h.withColumn("url", F.concat(F.lit(base), F.ltrim(F.coalesce(F.get("ciks", F.lit(0)), F.lit("0")), F.lit("0")), F.lit("/"), bare, F.lit("/"), F.substring_index("_id", ":", -1)))
+    texts = documents.where("text IS NOT NULL").groupBy("url").agg(F.min("text").alias("text"))
+    h = h.join(texts, "url")
+    found, place = F.lit(""), F.lit(len(queries))
+    for i, q in reversed(list(enumerate(queries))):
+        found = F.when(F.col("query") == q, passage(F.col("text"), q.split('" "')[0].strip('"'), signal, clause)).otherwise(found)
+        place = F.when(F.col("query") == q, i).otherwise(place)
+    h = h.withColumns({"quoted": found, "place": place}).where("quoted <> ''")
+    h = h.groupBy("url").agg(F.min_by(F.struct(*[c for c in h.columns if c not in ("url", "text")]), F.struct("place", "_id")).alias("x")).select("url", "x.*")
+    told = F.substring_index(F.coalesce(F.get("display_names", F.lit(0)), F.lit("Unknown filer")), "  (", 1)
+    filer = F.when((F.upper(told) == told) & (F.lower(told) != told), F.replace(F.initcap(F.lower(told)), F.lit(" Llc"), F.lit(" LLC"))).otherwise(told)
+    asked = F.replace(F.btrim("query", F.lit('"')), F.lit('" "'), F.lit(" and "))
+    first = F.substring_index(F.btrim("query", F.lit('"')), '" "', 1)
+    day = F.coalesce(F.date_format(F.try_to_date("file_date"), "d MMMM yyyy"), "file_date")
+    return h.select(
+        F.concat(filer, F.lit(" discloses "), asked, F.lit(" in "), F.coalesce("form", F.lit("SEC")), F.lit(" filing")).alias("title"), "url", F.lit("SEC EDGAR").alias("source"),
+        F.concat(F.lit("In a "), "form", F.lit(" filed on "), day, F.lit(", "), filer, F.lit(" disclosed: “"), "quoted", F.lit("”")).alias("summary"), F.col("file_date").alias("published_at"),
+        F.substring_index("_id", ":", 1).alias("case_ref"), F.concat(F.lit("SEC "), "form", F.lit(" filing text contains ‘"), first, F.lit("’")).alias("flag_reason"), F.array(filer).alias("respondents"),
+    )
+
+
 DOCKETS = "results array<struct<caseName: string, docket_absolute_url: string, court: string, docketNumber: string, dateFiled: string, party: array<string>, firm: array<string>, recap_documents: array<struct<description: string>>>>"
 GOVERNMENT = r"(?i)\bunited states\b|department of|\bu\.?s\.?a?\b|attorney general|commissioner|\bunion\b|\blocal \d+"
 

@@ -47,6 +47,21 @@ def test_filings_and_dockets(spark):
     assert len(rows) == 1 and rows[0]["claimants"] == ["Halvar Ltd"] and rows[0]["respondents"] == ["Peru"] and rows[0]["counsel"] == ["F"]
 
 
+def test_disclosures_need_a_passage(spark):
+    hit = lambda i, kind="10-K", names=("ACME MINING LLC  (ACM)",): {"_id": f"000-1-{i}:d.htm", "_source": {"ciks": ["00042"], "file_type": kind, "display_names": list(names), "form": "10-K", "file_date": "2026-01-08"}}
+    text = "Risk factors. In May the company received a notice of arbitration from Halvar Energy under the treaty with Peru and will defend itself. Other matters."
+    clause = "Any dispute shall be settled after a notice of arbitration that a party has received under the rules of the chamber, which are final and binding on it."
+    docs = spark.createDataFrame([("b/42/00011/d.htm", text), ("b/42/00012/d.htm", clause), ("b/42/00014/d.htm", text), ("b/42/00015/d.htm", None)], "url string, text string")
+    found = json.dumps({"hits": {"hits": [hit(1), hit(2), hit(3), hit(4, "EX-10.2"), hit(5), hit(1, "10-K", [])]}})
+    queries = ['"treaty claim" "x"', '"notice of arbitration" "treaty"', '"arbitration"']
+    payloads = spark.createDataFrame([(q, found) for q in reversed(queries)] + [("other", found)], "query string, payload string")
+    rows = P.disclosures(payloads, docs, day(), 5, queries, "received", "shall be settled", "b/").collect()
+    assert len(rows) == 1 and rows[0]["url"] == "b/42/00011/d.htm"
+    r = rows[0]
+    assert r["title"].endswith("discloses notice of arbitration and treaty in 10-K filing") and r["summary"].startswith("In a 10-K filed on 8 January 2026, ") and "Halvar Energy" in r["summary"]
+    assert r["case_ref"] == "000-1-1" and r["flag_reason"] == "SEC 10-K filing text contains ‘notice of arbitration’"
+
+
 def test_judgments_take_objects_and_lists(spark):
     one = {"list": {"doc": {"t": "A gegen B, Schiedsspruch", "d": "09.01.2026", "u": "u1"}}}
     many = {"list": {"doc": [{"t": "C v D award", "d": "2026-01-08", "u": "u2"}, {"t": "Rent", "d": "2026-01-08", "u": "u3"}]}}
