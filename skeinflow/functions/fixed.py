@@ -259,3 +259,6 @@ FEED_PATHS = (
 )
 # Capitalised words that are part of a court's or an office's name, not a party's.
 NAME_NOISE = ("us", "uk", "new", "high", "supreme", "state", "federal", "district", "national")
+# An entry of a letter, and the label at its head.
+LETTER_ITEM = r"^(.*?)\s+\((https?://[^\s)]+)\)\s*$"
+LETTER_LABEL = r"^(\[[^\]]+\]|[A-Z][A-Za-z\- ]{2,24}:)\s*"

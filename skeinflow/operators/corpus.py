@@ -86,3 +86,33 @@ def newsletter_blocks(texts: DataFrame, id: str = "id", text: str = "text", rule
     lines = lines.withColumn("section", F.last(named, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     entry = r"^(.+?)\s+\((https?://[^)\s]+)\)\s*$"
     return lines.where(F.col("line").rlike(entry)).select(id, "line_no", "section", F.regexp_extract("line", entry, 1).alias("title"), F.regexp_extract("line", entry, 2).alias("url"))
+
+
+def headline_letters(texts: DataFrame, id: str = "id", text: str = "text", section: str = "Latest Headlines") -> DataFrame:
+    """(id, line_no, kind, section, headline, label, url) of letters that are lists of headlines: kind is item (an article),
+    document (a download) or topic (a chain of legal topics, as headline).
+
+    A line 'Latest headlines', 'Previous headlines' or 'Documents for download', or one that begins with 'Notable legal
+    topics', names the section of what follows; before the first it is `section`. Articles outside the two sections of
+    headlines count as latest; downloads are documents wherever they stand. A label is what stands in brackets or before
+    a colon. What a line gives depends on itself and on the last section line before it, so a letter is a running last
+    value over its lines. Null texts have no lines.
+    """
+    lines = texts.select(id, F.posexplode(F.split(text, "\n")).alias("line_no", "raw")).withColumn("s", F.regexp_replace("raw", r"(?U)^\s+|\s+$", "")).where("s <> ''")
+    low = F.lower("s")
+    named = F.when(low.isin("latest headlines", "previous headlines", "documents for download"), F.initcap(low)).when(low.startswith("notable legal topics"), "Notable legal topics")
+    w = Window.partitionBy(id).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumn("named", named).withColumn("section", F.coalesce(F.last("named", ignorenulls=True).over(w), F.lit(section))).where("named IS NULL")
+    chain = F.regexp_replace(F.regexp_replace("s", r"\s*\(As discussed here.*$", ""), r"\s*\(https?://[^)]*\)", "")
+    chain = F.btrim(F.regexp_replace(F.regexp_replace(chain, r"(?U)\s+", " "), r"\s*>\s*", " > "), F.lit(" )"))
+    topic = (F.col("section") == "Notable legal topics") & F.contains("s", F.lit(" > "))
+    title, url = F.trim(F.regexp_extract("s", fixed.LETTER_ITEM, 1)), F.regexp_extract("s", fixed.LETTER_ITEM, 2)
+    kind = F.when(topic, "topic").when(F.contains(url, F.lit("/articles/")), "item").when(F.contains(url, F.lit("download.php")), "document")
+    mark = F.regexp_extract(title, fixed.LETTER_LABEL, 1)
+    labelled = (F.col("kind") == "item") & (mark != "") & (F.length(mark) < 26)
+    return rows.withColumn("kind", kind).where("kind IS NOT NULL").select(
+        id, "line_no", "kind",
+        F.when(topic, F.col("section")).when(F.col("kind") == "document", "Documents").when(F.col("section").isin("Latest Headlines", "Previous Headlines"), F.col("section")).otherwise("Latest Headlines").alias("section"),
+        F.when(topic, chain).when(labelled, F.trim(F.regexp_replace(title, fixed.LETTER_LABEL, ""))).otherwise(title).alias("headline"),
+        F.when(labelled, F.btrim(mark, F.lit("[]: "))).otherwise("").alias("label"), F.when(topic, "").otherwise(url).alias("url"),
+    )

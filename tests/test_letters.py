@@ -1,0 +1,45 @@
+import random
+import re
+
+from skeinflow.functions import fixed
+from skeinflow.operators.corpus import headline_letters
+
+
+def one_by_one(text):
+    """The grammar, a line after the other."""
+    section, out = "Latest Headlines", []
+    for n, raw in enumerate((text or "").split("\n")):
+        s = raw.strip()
+        if not s:
+            continue
+        if s.lower() in ("latest headlines", "previous headlines", "documents for download") or s.lower().startswith("notable legal topics"):
+            section = "Notable legal topics" if s.lower().startswith("notable") else s.title()
+            continue
+        m = re.match(fixed.LETTER_ITEM, s)
+        if section == "Notable legal topics" and " > " in s:
+            s = re.sub(r"\s*\(https?://[^)]*\)", "", re.sub(r"\s*\(As discussed here.*$", "", s))
+            out.append((n, "topic", section, re.sub(r"\s*>\s*", " > ", re.sub(r"\s+", " ", s)).strip(" )"), "", ""))
+        elif m and "/articles/" in m.group(2):
+            title, label = m.group(1).strip(), ""
+            mark = re.match(fixed.LETTER_LABEL, title)
+            if mark and len(mark.group(1)) < 26:
+                label, title = mark.group(1).strip("[]: "), title[mark.end() :].strip()
+            out.append((n, "item", section if section in ("Latest Headlines", "Previous Headlines") else "Latest Headlines", title, label, m.group(2)))
+        elif m and "download.php" in m.group(2):
+            out.append((n, "document", "Documents", m.group(1).strip(), "", m.group(2)))
+    return out
+
+
+def test_letters_as_read_one_line_after_the_other(spark):
+    rnd = random.Random(3)
+    lines = [
+        "Latest headlines", "PREVIOUS HEADLINES", "Documents for download ", "Notable legal topics this week", "", "  ", "Prose without a link", "Ruling: Halvar wins (https://x.example/articles/1)",
+        "[Update] Zentil loses  (http://x.example/articles/2) ", "A very long label that is none indeed: Korbank (https://x/articles/3)", "Award (https://x/download.php?id=4)", "Elsewhere (https://x/other)",
+        "Merits >  Expropriation>Indirect (As discussed here: (https://x/articles/5))", "Costs > Security (https://x/articles/6)", "No chain here (https://x/articles/7)", "(https://x/articles/8)", "Peru: (https://x/articles/9)",
+    ]
+    letters = ["\n".join(rnd.choice(lines) for _ in range(rnd.randint(0, 25))) for _ in range(120)] + ["\n".join(lines), "", None]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(letters)], "id long, text string, section int").repartition(5)
+    got = {}
+    for r in headline_letters(df).collect():
+        got.setdefault(r["id"], []).append(tuple(r)[1:])
+    assert {i: sorted(v) for i, v in got.items()} == {i: out for i, t in enumerate(letters) if (out := one_by_one(t))}
