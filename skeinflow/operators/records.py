@@ -13,7 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinflow.functions import fixed
 from skeinflow.operators.gazetteer import Gazetteer, parties_named
 from skeinflow.operators.graph import delete, shared_path, written_at
 
