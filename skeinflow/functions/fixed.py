@@ -262,3 +262,8 @@ NAME_NOISE = ("us", "uk", "new", "high", "supreme", "state", "federal", "distric
 # An entry of a letter, and the label at its head.
 LETTER_ITEM = r"^(.*?)\s+\((https?://[^\s)]+)\)\s*$"
 LETTER_LABEL = r"^(\[[^\]]+\]|[A-Z][A-Za-z\- ]{2,24}:)\s*"
+# The rule between a letter's stories, and how its footers begin.
+LETTER_RULE = "------------------------------"
+LETTER_FOOTER = (
+    "Subscribe", "Follow on LinkedIn", "Law Business Research", "Manage your email", "To receive our emails", "Registered in England", "View in browser", "GAR logo",
+)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,3 +117,50 @@ def headline_letters(texts: DataFrame, id: str = "id", text: str = "text", secti
         F.when(topic, chain).when(labelled, F.trim(F.regexp_replace(title, fixed.LETTER_LABEL, ""))).otherwise(title).alias("headline"),
         F.when(labelled, F.btrim(mark, F.lit("[]: "))).otherwise("").alias("label"), F.when(topic, "").otherwise(url).alias("url"),
     )
+
+
+def briefing_letters(texts: DataFrame, id: str = "id", text: str = "text", section: str = "Today's Headlines") -> DataFrame:
+    """(id, block, section, headline, url, blurb, date) of letters whose stories stand between rules of dashes.
+
+    A line in capitals among the first four of a block, of six words at most and perhaps with a date, names the section
+    from there on; what stands above it is no story. The first line left is the headline, the first link in brackets its
+    url, the other lines its blurb. A block with neither, or of a footer, is none; one that begins with an invitation to
+    subscribe ends the letter. date is the last one that a section line of the letter has. Null texts have no blocks.
+    """
+    trim = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    some = lambda ls: F.transform(ls, lambda x: trim(x) != "")
+
+    def without_blank_ends(ls: Column) -> Column:
+        first = F.array_position(some(ls), True)
+        last = F.size(ls) - F.array_position(F.reverse(some(ls)), True) + 1
+        return F.when(first > 0, F.slice(ls, first.cast("int"), (last - first + 1).cast("int"))).otherwise(F.array().cast("array<string>"))
+
+    def without_blank_start(ls: Column) -> Column:
+        first = F.array_position(some(ls), True)
+        return F.when(first > 0, F.slice(ls, first.cast("int"), F.size(ls))).otherwise(F.array().cast("array<string>"))
+
+    dated = r"(\d{1,2})\s+([A-Z][a-z]+)\s+(\d{4})$"
+    bare = lambda x: F.regexp_replace(trim(x), r"\s+\d{1,2}\s+[A-Z][a-z]+\s+\d{4}$", "")
+    names = lambda x: (x != "") & ~x.startswith("[") & (x == F.upper(x)) & x.rlike("[A-Z]{3}") & (F.size(F.split(x, r"\s+")) <= 6)
+    b = texts.select(id, F.posexplode(F.split(text, fixed.LETTER_RULE)).alias("block", "t"))
+    b = b.select(id, "block", without_blank_ends(F.split("t", "\n")).alias("ls")).where(F.size("ls") > 0)
+    at = F.array_max(F.transform(F.slice("ls", 1, 4), lambda x, i: F.when(names(bare(x)), i)))
+    b = b.withColumn("at", at).withColumn("head", F.when(F.col("at").isNotNull(), trim(F.get("ls", "at"))))
+    name = trim(F.regexp_replace("head", dated, ""))
+    # Each run of letters with a capital, as in headings, but not the s after an apostrophe.
+    told = F.array_join(F.transform(F.regexp_extract_all(name, F.lit(r"\p{L}+|\P{L}+"), F.lit(0)), lambda x: F.initcap(F.lower(x))), "")
+    told = F.replace(F.replace(told, F.lit("'S"), F.lit("'s")), F.lit("’S"), F.lit("’s"))
+    day = F.try_to_date(F.concat_ws(" ", *[F.regexp_extract("head", dated, n) for n in (1, 2, 3)]), "d MMMM yyyy")
+    b = b.withColumns({"own": told, "day": day, "ls": without_blank_start(F.when(F.col("at").isNotNull(), F.slice("ls", F.col("at") + 2, F.size("ls"))).otherwise(F.col("ls")))})
+    b = b.withColumn("headline", trim(F.get("ls", F.lit(0))))
+    whole = Window.partitionBy(id)
+    b = b.withColumn("stop", F.min(F.when(F.col("headline").startswith("Subscribe"), F.col("block"))).over(whole)).where("stop is null or block <= stop")
+    order = Window.partitionBy(id).orderBy("block")
+    so_far, all_ = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    b = b.withColumns({"section": F.coalesce(F.last("own", ignorenulls=True).over(so_far), F.lit(section)), "date": F.last("day", ignorenulls=True).over(all_)})
+    rest = F.transform(F.slice("ls", 2, F.greatest(F.size("ls"), F.lit(1))), trim)
+    link = F.get(F.filter(rest, lambda x: x.startswith("[http") & x.endswith("]")), F.lit(0))
+    blurb = F.btrim(F.regexp_replace(F.array_join(F.filter(rest, lambda x: (x != "") & ~x.startswith("[")), " "), r"(?U)\s+", " "))
+    footer = F.col("headline").startswith("[") | reduce(lambda x, y: x | y, [F.col("headline").startswith(f) for f in fixed.LETTER_FOOTER])
+    out = b.where(F.size("ls") > 0).where(~footer).withColumns({"url": F.coalesce(F.substr(link, F.lit(2), F.length(link) - 2), F.lit("")), "blurb": blurb})
+    return out.where("url <> '' or blurb <> ''").select(id, "block", "section", "headline", "url", "blurb", "date")
