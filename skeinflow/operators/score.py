@@ -1,16 +1,35 @@
-"""The score of an item, with the record that explains it; a pure column expression for a given day."""
+"""The score of an item, with the record that explains it; a pure column expression for a given day.
+
+Power and logarithm are the C library's: Spark's own differ from it in the last bit for some arguments, which
+orders rows anew that score the same by other engines.
+"""
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from skeinflow.functions import fixed
 from skeinflow.operators.classify import muted
 
 
+@F.arrow_udf(DoubleType())
+def halved(times: pa.Array) -> pa.Array:
+    """0.5 to a power that is not negative."""
+    return pa.array([None if t is None else math.pow(0.5, t) for t in times.to_pylist()], pa.float64())
+
+
+@F.arrow_udf(DoubleType())
+def log10(values: pa.Array) -> pa.Array:
+    """Null for what has no logarithm."""
+    return pa.array([math.log10(v) if v is not None and v > 0 else None for v in values.to_pylist()], pa.float64())
+
+
 def age_days(published: Column, fetched: Column, as_of: Column) -> Column:
     """Whole days up to as_of, never negative; without a date three days."""
     day = F.coalesce(published.cast("date"), fetched.cast("date"))
@@ -47,7 +66,7 @@ def score(
     base = lookup(event, weights, float(weights["commentary"]))
     base = F.when(trade & (event == "commentary"), F.greatest(base, F.lit(fixed.TRADE_BASE))).otherwise(base)
     age = age_days(F.col("published_at"), F.col("fetched_at"), as_of)
-    recency = F.pow(F.lit(0.5), age / fixed.HALF_LIFE)
+    recency = halved(age / fixed.HALF_LIFE)
     level = F.coalesce(F.when(F.col("source_tier") != 0, F.col("source_tier")), F.lit(2))
     tier = lookup(level, fixed.TIER_FACTOR, 1.0)
     tier = F.when(trade, F.greatest(tier, F.lit(fixed.TIER_FACTOR[1]))).otherwise(tier)
@@ -58,7 +77,7 @@ def score(
     boost = boost + F.when(named, fixed.CLAIMANT_BOOST).otherwise(0.0)
     hits = F.when(named, F.concat(hits, F.array(F.concat(F.lit("investor: "), F.get("claimants", F.lit(0)))))).otherwise(hits)
     amount = F.coalesce("amount_usd", F.lit(0.0))
-    amount = F.when(amount > 1e6, F.least(F.lit(fixed.AMOUNT_CAP), 4.0 * F.log10(amount / 1e6))).otherwise(0.0)
+    amount = F.when(amount > 1e6, F.least(F.lit(fixed.AMOUNT_CAP), 4.0 * log10(amount / 1e6))).otherwise(0.0)
     vacant = (F.coalesce(F.size("counsel"), F.lit(0)) <= 0) & (level == 1) & ~text("source").startswith("Court:") & event.isin(*fixed.VACANCY_EVENTS)
     vacancy = F.when(vacant, fixed.VACANCY).otherwise(0.0)
     foreign = (F.when(text("lang") == "", "en").otherwise(F.col("lang")) != "en") & F.coalesce("llm_stage", F.lit("none")).isin("none", "skipped")
