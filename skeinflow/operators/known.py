@@ -30,7 +30,7 @@ PARTS = {
     "waiting": "k string, g string, side boolean, id long",
     "members": "s string, id long, e array<string>, c string",
     "sets": "id string, t array<string>",
-    "prefixes": "id string, n int, at int, w long, hot boolean",
+    "prefixes": "id string, n int, at int, w long, hot boolean, " + ", ".join(f"s{i} long" for i in range(link.SKETCH)),
     "pairs": "a string, b string",
     "links": "u long, v long",
     "done": "n long",

@@ -110,33 +110,51 @@ def jaccard_sets(sets: DataFrame, least: float = fixed.JACCARD_ALONE, hot: int =
     sets = written(sets.select("id", "t"), "word-sets")
     counts = sets.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     rows = written(prefixes(sets, counts, least, hot), "word-prefixes")
-    return alike(meetings(rows, rows, least).where("a < b"), sets, sets, least)
+    return alike(meetings(rows, rows, least, "a < b"), sets, sets, least)
+
+
+#: Numbers of 64 bits in a set's sketch.
+SKETCH = 4
 
 
 def prefixes(sets: DataFrame, counts: DataFrame, least: float, hot: int) -> DataFrame:
-    """(id, n, at, w, hot) of sets (id, t): a set's size and its first words in order of rarity, as numbers. counts (w, n)
-    orders the words, those of one count by their hash; words that it lacks come first."""
+    """(id, n, at, w, hot, s0 ...) of sets (id, t): a set's size and its first words in order of rarity, as numbers, and
+    its sketch. counts (w, n) orders the words, those of one count by their hash; words that it lacks come first."""
     word = sets.select("id", F.explode("t").alias("w"))
     rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.xxhash64("w").alias("h"))
     ordered = word.join(counts, "w", "left").groupBy("id").agg(F.array_sort(F.collect_list(rank)).alias("o"))
     n = F.size("o")
     prefix = F.slice("o", 1, n - F.ceil(least * n).cast("int") + 1)
-    rows = ordered.select("id", n.alias("n"), F.posexplode(prefix).alias("at", "r"))
-    return rows.select("id", "n", "at", F.col("r.h").alias("w"), (F.col("r.n") > hot).alias("hot"))
+    rows = ordered.select("id", n.alias("n"), *_sketch(F.col("o")), F.posexplode(prefix).alias("at", "r"))
+    return rows.select("id", "n", "at", F.col("r.h").alias("w"), (F.col("r.n") > hot).alias("hot"), *[f"s{i}" for i in range(SKETCH)])
+
+
+def _sketch(ranks: Column) -> list[Column]:
+    """The set's words, each flipping one of the sketch's bits: what differs between two sketches is at most what differs
+    between the sets, so sketches rule pairs out and never wrongly."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    place = lambda h: F.pmod(F.shiftright(h, 6), F.lit(SKETCH))
+    flip = lambda i: F.aggregate(ranks, F.lit(0).cast("long"), lambda acc, r: F.when(place(r["h"]) == i, acc.bitwiseXOR(bit(r["h"]))).otherwise(acc))
+    return [flip(i).alias(f"s{i}") for i in range(SKETCH)]
 
 
-def meetings(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(a, b) of rows of prefixes() that may be similar, a <> b, each pair once. What two sets share from the first
-    common word on is at most what is left of either, so sizes n and m can meet where left * (1 + least) >= least * (n + m)."""
+def meetings(left: DataFrame, right: DataFrame, least: float, which: str = "a <> b") -> DataFrame:
+    """(a, b) of rows of prefixes() that may be similar, for which `which` holds, each pair once. What two sets share
+    from the first common word on is at most what is left of either, so sizes n and m can meet where
+    left * (1 + least) >= least * (n + m). Sketches tell that more words differ than may, before a pair is made."""
     most = F.least(F.floor(F.col("n") / least), F.floor((F.col("n") - F.col("at")) * (1 + least) / least + 1e-9) - F.col("n"))
     sizes = F.filter(F.sequence(F.ceil(least * F.col("n") - 1e-9), F.greatest(most, F.ceil(least * F.col("n") - 1e-9))), lambda m: m <= most)
     other = F.explode(F.when(F.col("hot"), sizes).otherwise(F.array(F.lit(0).cast("long"))))
     own = F.when(F.col("hot"), F.col("n").cast("long")).otherwise(F.lit(0).cast("long"))
-    a = left.withColumn("_m", other).select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), "w", "hot", own.alias("x"), F.col("_m").alias("y"))
-    b = right.withColumn("_m", other).select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), "w", "hot", F.col("_m").alias("x"), own.alias("y"))
+    sketch = lambda side: [F.col(f"s{i}").alias(f"{side}{i}") for i in range(SKETCH)]
+    a = left.withColumn("_m", other).select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), "w", "hot", own.alias("x"), F.col("_m").alias("y"), *sketch("u"))
+    b = right.withColumn("_m", other).select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), "w", "hot", F.col("_m").alias("x"), own.alias("y"), *sketch("v"))
     room = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    met = a.join(b, ["w", "hot", "x", "y"]).where((F.col("a") != F.col("b")) & (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na")))
-    return met.where(room * (1 + least) >= least * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b").distinct()
+    both = F.col("na") + F.col("nb")
+    differ = reduce(lambda x, y: x + y, [F.coalesce(F.bit_count(F.col(f"u{i}").bitwiseXOR(F.col(f"v{i}"))), F.lit(0)) for i in range(SKETCH)])
+    met = a.join(b, ["w", "hot", "x", "y"]).where(F.expr(which) & (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na")))
+    # Of n + m words the share (1 - least) / (1 + least) may differ.
+    return met.where((room * (1 + least) >= least * both - 1e-9) & (differ * (1 + least) <= (1 - least) * both + 1e-9)).select("a", "b").distinct()
 
 
 def alike(met: DataFrame, left: DataFrame, right: DataFrame, least: float) -> DataFrame:

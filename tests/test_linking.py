@@ -82,3 +82,19 @@ def test_first_seen_is_bounded_and_survives_a_restart(spark, tmp_path, rocks):
     assert rows <= 8
     assert spark.read.parquet(out).columns == ["url", "id", "t"]
     assert spark.read.parquet(out).where(F.col("url").isNull()).count() == 2
+
+
+def test_sketches_rule_out_only_what_differs(spark):
+    """Sets of eight words that share a word or two: nearly no pairs are made but the similar ones, and none of those is lost."""
+    import random
+
+    draw = random.Random(7)
+    sets = {i: sorted(draw.sample(range(300), 8)) for i in range(1500)}
+    sets |= {2000 + i: sorted({*sets[i][: draw.randint(4, 7)], *draw.sample(range(300), 2)}) for i in range(200)}
+    df = spark.createDataFrame([(i, [f"w{x}" for x in s]) for i, s in sets.items()], "id long, t array<string>")
+    want = {(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) >= 0.5 * len({*sets[a]} | {*sets[b]})}
+    counts = df.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    rows = link.prefixes(df, counts, 0.5, 50)
+    met = {tuple(r) for r in link.meetings(rows, rows, 0.5).where("a < b").collect()}
+    assert want <= met and len(met) < 2 * len(want) + 100
+    assert {(r["a"], r["b"]) for r in link.jaccard_sets(df, 0.5, 50).collect()} == want
