@@ -17,6 +17,7 @@ from functools import cached_property
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,11 +120,24 @@ def _each(kind: str, arrow: pa.DataType, sent, f):
 
     @F.arrow_udf(kind)
     def run(values: pa.Array) -> pa.Array:
-        return pa.array([f(sent.value, v) for v in values.to_pylist()], arrow)
+        return in_runs(values, arrow, lambda v: f(sent.value, v))
 
     return run
 
 
+def in_runs(values: pa.Array, arrow: pa.DataType, f, most: int = 1 << 20) -> pa.Array:
+    """f of every value. Python's objects stand for values of about `most` bytes at a time, not for a whole batch."""
+    text = pa.types.is_string(values.type) or pa.types.is_large_string(values.type)
+    sizes = pc.fill_null(pc.binary_length(values), 0).to_pylist() if text else [64] * len(values)
+    out, start, total = [], 0, 0
+    for i, n in enumerate([*sizes, most]):
+        if (total and total + n > most) or i == len(sizes):
+            out.append(pa.array([f(v) for v in values.slice(start, i - start).to_pylist()], arrow))
+            start, total = i, 0
+        total += n
+    return pa.concat_arrays(out)
+
+
 class Gazetteer:
     """From a DataFrame (form, name). Null and empty forms and null names are left out; of several names of one form the
     least one counts. Texts that are null have no names."""
@@ -134,10 +148,12 @@ class Gazetteer:
         size = table.agg(F.coalesce(F.sum(F.length("form") + F.length("name")), F.lit(0))).first()[0]
         parts = max(1, -(-size // part_chars))
         part = F.pmod(F.xxhash64("form"), F.lit(parts))
-        self.parts = [spark.sparkContext.broadcast(Forms([tuple(r) for r in table.where(part == p).select("form", "name").collect()])) for p in range(parts)]
+        told = [[tuple(r) for r in table.where(part == p).select("form", "name").collect()] for p in range(parts)]
+        self.parts = [spark.sparkContext.broadcast(Forms(pairs)) for pairs in told]
+        self.hyphened = [sent for sent, pairs in zip(self.parts, told, strict=True) if any("-" in form for form, _ in pairs)]
 
     def _guarded(self, c: Column) -> Column:
-        for sent in self.parts:
+        for sent in self.hyphened:  # no other part changes a text
             c = _each("string", pa.string(), sent, lambda forms, t: None if t is None else forms.guarded(t))(c)
         return c
 

@@ -119,3 +119,22 @@ def test_parties(spark, part_chars):
     for need in (False, True):
         got = {r["id"]: r["v"] for r in df.select("id", parties_named(F.col("names"), F.col("k"), F.col("m"), F.col("title"), need_party=need, tight=F.col("near")).alias("v")).collect()}
         assert got == {i: overlap(n or [], t, need, near, states) for i, n, t, near in rows}
+
+
+def test_values_are_told_in_runs_of_bounded_size():
+    """A batch of many finds takes no Python objects for all of them at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from skeinflow.operators.gazetteer import in_runs
+
+    kind = pa.list_(pa.struct([("form", pa.string())]))
+    texts = pa.array(["word " * 200, None, ""] * 4000)
+    tracemalloc.start()
+    out = in_runs(texts, kind, lambda t: [{"form": w} for w in (t or "").split()])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 12000 and len(out[0]) == 200 and len(out[1]) == 0 and len(out[-3]) == 200
+    assert peak < 100e6  # 240 MB and more for all at once
+    assert len(in_runs(pa.array([], pa.string()), kind, lambda t: [])) == 0
