@@ -59,8 +59,12 @@ def match(reports: DataFrame, records: DataFrame, gazetteer: Gazetteer, band: Ba
     least record. Reports that repeat an id are one report for the purpose of the result; rows of records with a null
     record or title match nothing.
     """
+    return match_each(reports, records, gazetteer, {"": band}, today)[""]
+
+
+def match_each(reports: DataFrame, records: DataFrame, gazetteer: Gazetteer, bands: dict[str, Band], today: Column | None = None) -> dict[str, DataFrame]:
+    """match() in each of several bands; the words of the records are taken apart once for all of them."""
     spark = reports.sparkSession
-    width = band.before + band.after + 1
     report_at, entry_at = shared_path(spark, "reports"), shared_path(spark, "case-words")
     names = F.slice(F.filter(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.trim(F.regexp_replace(n, r"[^\p{L}\p{N}]+", "")) != ""), 1, CARRYING)
     asked = reports.select("id", names.alias("names"), F.coalesce(_day("day"), F.datediff(today if today is not None else F.current_date(), F.lit("1970-01-01").cast("date"))).cast("long").alias("at"))
@@ -74,18 +78,26 @@ def match(reports: DataFrame, records: DataFrame, gazetteer: Gazetteer, band: Ba
     words = each.select("row", "at", "no", "form", F.explode(_words(F.col("phrase"))).alias("word"))
     wanted = words.select("word").distinct()
     held = records.where("record IS NOT NULL AND title IS NOT NULL").select("record", "title", _day("day").alias("filed"))
-    entries = held.select("record", F.coalesce(F.floor(F.col("filed") / width), F.lit(UNDATED)).alias("bucket"), F.explode(_words(phrase(F.col("title")))).alias("word"))
+    entries = held.select("record", "filed", F.explode(_words(phrase(F.col("title")))).alias("word"))
     entries = written_at(entries.join(wanted, "word", "left_semi"), entry_at)
     df = entries.groupBy("word").agg(F.count("*").alias("n"))
 
     # Of each form the rarest word, of each report the name whose forms have the fewest records; a word that no record has can't be met.
     rarest = words.join(df, "word", "left").groupBy("row", "at", "no", "form").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("key"))
     by_name = rarest.groupBy("row", "at", "no").agg(F.sum("key.n").alias("n"), F.collect_set("key.word").alias("words"))
+    found = {k: written_at(_matched(band, by_name, entries, asked, held, gazetteer), shared_path(spark, "matched")) for k, band in bands.items()}
+    delete(spark, report_at, entry_at)
+    return found
+
+
+def _matched(band: Band, by_name: DataFrame, entries: DataFrame, asked: DataFrame, held: DataFrame, gazetteer: Gazetteer) -> DataFrame:
     if not band.one_by_one:
         by_name = by_name.groupBy("row", "at").agg(F.min(F.struct("n", "no", "words")).alias("best")).select("row", "at", "best.*")
+    width = band.before + band.after + 1
+    bucket = F.coalesce(F.floor(F.col("filed") / width), F.lit(UNDATED))
     buckets = F.concat(F.sequence(F.floor((F.col("at") - band.before) / width), F.floor((F.col("at") + band.after) / width)), F.array(F.lit(UNDATED)))
     keys = by_name.where("n > 0").withColumn("word", F.explode("words")).withColumn("bucket", F.explode(buckets)).select("row", "no", "word", "bucket")
-    met = keys.join(entries, ["word", "bucket"]).select("row", "no", "record").distinct()
+    met = keys.join(entries.select("record", "word", bucket.alias("bucket")), ["word", "bucket"]).select("row", "no", "record").distinct()
 
     pairs = met.join(asked, "row").join(held, "record")
     in_band = lambda days: F.col("filed").between(F.col("at") - days, F.col("at") + band.after)
@@ -96,7 +108,4 @@ def match(reports: DataFrame, records: DataFrame, gazetteer: Gazetteer, band: Ba
     pairs = pairs.withColumn("_mentioned", gazetteer.mentions("title"))
     pairs = pairs.where(parties_named(F.col("names"), F.col("known"), F.col("_mentioned"), F.col("title"), tight=tight))
     place = F.struct((F.col("no") if band.one_by_one else F.lit(0)).alias("no"), F.coalesce(-F.col("filed"), F.lit(1 << 40)).alias("age"), "record")
-    out = shared_path(spark, "matched")
-    found = written_at(pairs.groupBy("id").agg(F.min(place).alias("best")).select("id", "best.record"), out)
-    delete(spark, report_at, entry_at)
-    return found
+    return pairs.groupBy("id").agg(F.min(place).alias("best")).select("id", "best.record")

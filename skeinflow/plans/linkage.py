@@ -68,7 +68,8 @@ def external_records(spark, sf_dir):
     names = reports.select(F.explode("names").alias("n")).where(F.col("n").rlike("^[AEIOU]"))
     g = Gazetteer(names.select(F.explode(F.array(F.col("n"), F.upper("n"))).alias("form"), F.upper("n").alias("name")))
     bands = {"docket": records.DOCKETS, "opinion": records.OPINIONS, "judgment": records.JUDGMENTS}
-    parts = [records.match(reports, docs, g, b).select(F.lit(k).alias("kind"), F.col("id").alias("item_id"), F.col("record").alias("doc_id")) for k, b in bands.items()]
+    found = records.match_each(reports, docs, g, bands)
+    parts = [df.select(F.lit(k).alias("kind"), F.col("id").alias("item_id"), F.col("record").alias("doc_id")) for k, df in found.items()]
     return parts[0].union(parts[1]).union(parts[2])
 
 

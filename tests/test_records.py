@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinflow.functions import fixed
 from skeinflow.operators.gazetteer import Gazetteer
+from skeinflow.operators import records
 from skeinflow.operators.records import DOCKETS, JUDGMENTS, OPINIONS, match
 
 FORMS = {"Laos": "Laos", "Lao People's Republic": "Laos", "Türkiye": "Turkey", "Turkey": "Turkey", "Spain": "Spain", "Peru": "Peru"}
@@ -70,3 +71,15 @@ def test_no_nested_loop_and_a_hot_name(spark):
     b = spark.createDataFrame(records, "record int, title string, day date")
     g = Gazetteer(spark.createDataFrame(list(FORMS.items()), "form string, name string"))
     assert {r["record"] for r in match(a, b, g, DOCKETS).collect()} == {0}
+
+
+def test_words_of_records_are_taken_apart_once_for_all_bands(spark, monkeypatch):
+    made = []
+    real = records.shared_path
+    monkeypatch.setattr(records, "shared_path", lambda s, name: made.append(name) or real(s, name))
+    reports = spark.createDataFrame([(1, ["Acme"], "2026-01-10")], "id long, names array<string>, d string").select("id", "names", F.to_date("d").alias("day"))
+    entries = spark.createDataFrame([(5, "Acme v Iraq", "2026-01-05"), (6, "Acme v Iran", "2024-01-05")], "record long, title string, d string").select("record", "title", F.to_date("d").alias("day"))
+    g = Gazetteer(spark.createDataFrame([("Iraq", "Iraq")], "form string, name string"))
+    found = records.match_each(reports, entries, g, {"docket": records.DOCKETS, "opinion": records.OPINIONS, "judgment": records.JUDGMENTS})
+    assert {k: [tuple(r) for r in df.collect()] for k, df in found.items()} == {k: [(1, 5)] for k in ("docket", "opinion", "judgment")}
+    assert made.count("case-words") == 1 and made.count("matched") == 3
