@@ -41,12 +41,10 @@ def fold(c: Column | str) -> Column:
 
 def stem(w: Column) -> Column:
     """Numbers stay, 350m and 1bn lose their letters, other words one suffix if three letters or more are left."""
-    cut = F.regexp_replace(w, fixed.SUFFIX, "")
     return (
         F.when(w.rlike("^[0-9]+$"), w)
         .when(w.rlike("^[0-9]+[mkb]n?$"), F.regexp_replace(w, "[a-z]+$", ""))
-        .when(F.length(cut) >= 3, cut)
-        .otherwise(w)
+        .otherwise(bound(F.regexp_replace(w, fixed.SUFFIX, ""), lambda cut: F.when(F.length(cut) >= 3, cut).otherwise(w)))
     )
 
 
@@ -67,7 +65,7 @@ def stems(c: Column | str, stop=fixed.STOP) -> Column:
     """Stems of a headline's words in order, repeats kept: three letters or more or a short name, not a stop word."""
     words = _found(F.lower(fold(c)), "[a-z0-9]+")
     kept = F.filter(words, lambda w: ((F.length(w) >= 3) | words_in(fixed.SHORT_WORDS, w)) & ~words_in(stop, w))
-    return F.transform(kept, lambda w: stem(_alias(w)))
+    return F.transform(F.transform(kept, _alias), stem)
 
 
 def tokens(c: Column | str) -> Column:
@@ -76,9 +74,11 @@ def tokens(c: Column | str) -> Column:
 
 def bigrams(c: Column | str, stems_: Column | None = None) -> Column:
     """Pairs of stems that follow each other, joined by a space, each once."""
-    s = stems(c) if stems_ is None else stems_
-    n = F.greatest(F.size(s) - 1, F.lit(0))
-    return F.array_distinct(F.zip_with(F.slice(s, 1, n), F.slice(s, 2, n), lambda a, b: F.concat_ws(" ", a, b)))
+    def pairs(s: Column) -> Column:
+        n = F.greatest(F.size(s) - 1, F.lit(0))
+        return F.array_distinct(F.zip_with(F.slice(s, 1, n), F.slice(s, 2, n), lambda a, b: F.concat_ws(" ", a, b)))
+
+    return bound(stems(c), pairs) if stems_ is None else pairs(stems_)
 
 
 CAPITALISED = "[A-Za-z][A-Za-z'\\x{00c0}-\\x{024f}]+"
@@ -86,10 +86,9 @@ CAPITALISED = "[A-Za-z][A-Za-z'\\x{00c0}-\\x{024f}]+"
 
 def propers(c: Column | str) -> Column:
     """Stems of capitalised words after the first, of four letters or more, not stop words."""
-    words = _found(_text(c), CAPITALISED)
-    later = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
+    later = bound(_found(_text(c), CAPITALISED), lambda words: F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))))
     kept = F.filter(later, lambda w: w.rlike("^[A-Z\\x{00c0}-\\x{00de}]") & (F.length(w) >= 4) & ~words_in(fixed.STOP, F.lower(w)))
-    return F.array_distinct(F.transform(kept, lambda w: stem(_alias(F.lower(fold(w))))))
+    return F.array_distinct(F.transform(F.transform(F.transform(kept, lambda w: F.lower(fold(w))), _alias), stem))
 
 
 def shared_propers(a: Column | str, b: Column | str, state_stems: Column) -> Column:

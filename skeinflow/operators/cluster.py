@@ -56,22 +56,23 @@ def _lookup(words: Sequence[str]) -> Column:
     return F.array(*[F.lit(w) for w in sorted(set(words))]).cast("array<string>")
 
 
-def features(items: DataFrame, lexicon: Lexicon, group: str | None = None, title: str = "title", common: DataFrame | None = None) -> DataFrame:
+def features(items: DataFrame, lexicon: Lexicon, group: str | None = None, title: str = "title", common: DataFrame | None = None, once: bool = False) -> DataFrame:
     """items with _toks, _names, _ents, _phrases, _rare, _told (jurisdictions in the headline), _jur (with those of the
     record), _claimants, _respondents, _parties, _states, _stage.
 
     A phrase or name is rare if at most max(3, rows / 8) items of the pool have it; phrases with a word for a
     place, or of two words of the trade, and names of places don't count. The pool is the group's rows. Where `common`
-    (k: a phrase as "b:...", a name as "n:...") is given, rare is what is not in it, whatever the pool.
+    (k: a phrase as "b:...", a name as "n:...") is given, rare is what is not in it, whatever the pool. once: what headlines
+    say is written to the shared folder, where it is read both for the pool's counts and for the rows.
     """
     head = F.coalesce(F.when(F.col("title_en") != "", F.col("title_en")), F.col(title)) if "title_en" in items.columns else F.col(title)
     has = lambda c: F.col(c) if c in items.columns else F.array().cast("array<string>")
     state_words = [*lexicon.forms, *fixed.ALIASES.values()]
-    place_stems = _stems_of(items, state_words)
-    generic = _stems_of(items, fixed.GENERIC)
-    df = items.withColumn("_head", head).withColumns(
+    placing, trade = _stems_of(items, state_words), _stems_of(items, fixed.GENERIC)
+    place_stems, generic = _lookup(placing), _lookup(trade)
+    df = items.withColumn("_head", head).withColumn("_stems", T.stems("_head")).withColumns(
         {
-            "_toks": T.tokens("_head"), "_names": T.propers("_head"), "_bi": T.bigrams("_head"), "_states": _low(has("states")),
+            "_toks": F.array_distinct("_stems"), "_names": T.propers("_head"), "_bi": T.bigrams("_head", F.col("_stems")), "_states": _low(has("states")),
             "_claimants": _low(has("claimants")), "_respondents": _low(has("respondents")),
             "_stage": stage(F.col("event_type")) if "event_type" in items.columns else F.lit(None).cast("string"),
         }
@@ -80,34 +81,36 @@ def features(items: DataFrame, lexicon: Lexicon, group: str | None = None, title
     ents = F.array_except(F.col("_names"), F.array_union(F.array_union(place_stems, generic), _lookup([*lexicon.cities, *lexicon.common])))
     df = df.withColumns({"_told": F.array_distinct(F.concat(_low(T.places("_head", lexicon.forms)), shorts)), "_ents": ents})
     df = df.withColumns({"_jur": F.array_union("_told", "_states"), "_parties": F.array_union("_claimants", "_respondents")})
+    df = df.withColumn("_k", F.concat(F.transform("_bi", lambda b: F.concat(F.lit("b:"), b)), F.transform("_names", lambda n: F.concat(F.lit("n:"), n)))).drop("_stems", "_bi", "_head")
+    if once:
+        df = written(df, "story-words")
     keys = [group] if group else []
-    own = F.explode(F.concat(F.transform("_bi", lambda b: F.concat(F.lit("b:"), b)), F.transform("_names", lambda n: F.concat(F.lit("n:"), n)))).alias("k")
+    own = F.explode("_k").alias("k")
     if common is not None:
         sets = df.select("id", own).join(common.select("k").distinct(), "k", "left_anti").groupBy("id").agg(F.collect_set("k").alias("_k"))
-        return _with_rare(df, sets, place_stems, generic)
+        return _with_rare(df.drop("_k").join(sets, "id", "left"), placing, trade)
     pool = df.groupBy(*keys).agg(F.count("*").alias("_n")) if group else df.agg(F.count("*").alias("_n"))
-    counted = df.select(*keys, own)
-    rare = counted.groupBy(*keys, "k").agg(F.count("*").alias("c"))
-    rare = (rare.join(pool, keys) if group else rare.join(F.broadcast(pool))).where(F.col("c") <= F.greatest(F.lit(3), F.floor(F.col("_n") / 8)))  # pool has one row
-    mine = df.select("id", *keys, own)
-    sets = mine.join(rare, [*keys, "k"]).groupBy("id").agg(F.collect_set("k").alias("_k"))
-    return _with_rare(df, sets, place_stems, generic)
+    counted = df.select(*keys, own).groupBy(*keys, "k").agg(F.count("*").alias("c"))
+    often = (counted.join(pool, keys) if group else counted.join(F.broadcast(pool))).where(F.col("c") > F.greatest(F.lit(3), F.floor(F.col("_n") / 8)))  # pool has one row
+    # More than an eighth of the pool has each of these, so they are at most eight times as many as a row has on average.
+    often = often.groupBy(*keys).agg(F.collect_list("k").alias("_often"))
+    df = df.join(often, keys, "left") if group else df.join(F.broadcast(often))  # one row
+    rare = F.array_except("_k", F.coalesce("_often", F.array().cast("array<string>")))
+    return _with_rare(df.withColumn("_k", rare).drop("_often"), placing, trade)
 
 
-def _with_rare(df: DataFrame, sets: DataFrame, place_stems: Column, generic: Column) -> DataFrame:
-    df = df.join(sets, "id", "left")
+def _with_rare(df: DataFrame, placing: Sequence[str], trade: Sequence[str]) -> DataFrame:
+    place_stems = _lookup(placing)
     of = lambda mark: F.transform(F.filter(F.coalesce("_k", F.array().cast("array<string>")), lambda k: k.startswith(mark)), lambda k: F.substr(k, F.lit(3)))
-    two = lambda b: F.split(b, " ")
-    good = lambda b: (F.size(F.array_intersect(two(b), place_stems)) == 0) & (F.size(F.array_except(two(b), generic)) > 0)
-    return df.withColumns({"_phrases": F.filter(of("b:"), good), "_rare": F.array_except(of("n:"), place_stems), "_placed": F.array_intersect("_toks", place_stems)}).drop("_k", "_bi", "_head")
+    good = lambda b: T.bound(F.split(b, " "), lambda two: ~F.exists(two, lambda w: T.words_in(placing, w)) & F.exists(two, lambda w: ~T.words_in(trade, w)))
+    return df.withColumns({"_phrases": F.filter(of("b:"), good), "_rare": F.array_except(of("n:"), place_stems), "_placed": F.array_intersect("_toks", place_stems)}).drop("_k")
 
 
-def _stems_of(df: DataFrame, words: Sequence[str]) -> Column:
-    """Stems of fixed words as an array of literals, computed by the same columns as everything else."""
+def _stems_of(df: DataFrame, words: Sequence[str]) -> list[str]:
+    """Stems of fixed words, computed by the same columns as everything else."""
     if not words:
-        return F.array().cast("array<string>")
-    rows = df.sparkSession.createDataFrame([(" ".join(words),)], "w string").select(T.stems("w", stop=()).alias("s")).first()["s"]
-    return _lookup(rows)
+        return []
+    return df.sparkSession.createDataFrame([(" ".join(words),)], "w string").select(T.stems("w", stop=()).alias("s")).first()["s"]
 
 
 # --- the fold ------------------------------------------------------------------------------------------------
@@ -242,16 +245,20 @@ def _meetings(rows: DataFrame) -> DataFrame:
 
     No pairs are made. A row that lacks one of the three goes with every row there, so rows are told by which they
     lack; under each key, for each two such kinds and each value that both must share, the rows of one kind link to
-    the smallest of the other.
+    the smallest of the other. Where rows have `by`, those are the names under which two that have names meet: the
+    names that both may share and that don't link them elsewhere.
     """
     lists = _lists()
     df = written(rows.withColumn("p", _lacking(lists)), "meetings")
+    if "by" in rows.columns:
+        lists["e"] = F.when(F.size("e") > 0, F.col("by")).otherwise(lists["e"])
     kinds_there = sorted(r["p"] for r in df.select("p").distinct().collect())  # eight at most
     if not kinds_there:
         return rows.select(F.col("id").alias("u"), F.col("id").alias("v"))
-    dealt = df.select("id", "k", F.inline(dealing(lists, kinds_there)))
-    least = dealt.groupBy("k", "g").agg(F.min(F.when(~F.col("side"), F.col("id"))).alias("a"), F.min(F.when(F.col("side"), F.col("id"))).alias("b"))
-    met = dealt.join(least, ["k", "g"])
+    dealt = written(df.select("id", "k", F.inline(dealing(lists, kinds_there))), "dealt")
+    least = dealt.groupBy("k", "g").agg(F.min(F.when(~F.col("side"), F.col("id"))).alias("a"), F.min(F.when(F.col("side"), F.col("id"))).alias("b"), F.count("*").alias("n"))
+    # A row alone links to nothing.
+    met = dealt.join(least.where("n > 1").drop("n"), ["k", "g"])
     return met.select("id", F.when(F.col("own") | F.col("side"), F.col("a")).otherwise(F.col("b")).alias("u")).where("u IS NOT NULL AND id <> u").select("u", F.col("id").alias("v")).distinct()
 
 
@@ -295,7 +302,8 @@ def meeting_keys() -> tuple[Column, Column]:
 def graph(items: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(id, story) on tables of any size: connected components of linked items. Items without a case number go with
     one; a component of several case numbers is split by them."""
-    df = features(items, lexicon).withColumn("_case", F.when(F.col("case_ref") != "", F.col("case_ref")) if "case_ref" in items.columns else F.lit(None).cast("string"))
+    used = [c for c in ("id", "title", "title_en", "states", "claimants", "respondents", "event_type", "case_ref") if c in items.columns]
+    df = features(items.select(*used), lexicon, once=True).withColumn("_case", F.when(F.col("case_ref") != "", F.col("case_ref")) if "case_ref" in items.columns else F.lit(None).cast("string"))
     told = ("_toks", "_names", "_ents", "_rare", "_phrases", "_jur", "_parties", "_states", "_stage", "_case")
     # Items that are alike in all this are one, with the smallest id.
     rows = df.select("id", *[F.array_sort(c).alias(c) if c not in ("_stage", "_case") else F.col(c) for c in told])
@@ -303,18 +311,24 @@ def graph(items: DataFrame, lexicon: Lexicon) -> DataFrame:
     first = written(rows.groupBy(*told).agg(F.min("id").alias("id")), "story-kinds")
     alike = rows.join(first.withColumnRenamed("id", "u"), reduce(lambda a, b: a & b, [rows[c].eqNullSafe(first[c]) for c in told])).where("id <> u").select("u", F.col("id").alias("v"))
     keys, sides = meeting_keys()
-    apart = [F.col("_ents").alias("e"), F.col("_jur").alias("j"), F.col("_case").alias("c")]
     none = F.array().cast("array<string>")
-    met = _meetings(first.select("id", F.explode(keys).alias("k"), *apart))
+    # Items that share a rare name which counts as one are not kept apart by names, and all of them meet under it. So
+    # under other keys two that have names need to meet under names that are not rare only.
+    own = F.startswith("k", F.lit("name:")) & F.array_contains("_ents", F.substr("k", F.lit(6)))
+    keyed = first.select("id", F.explode(keys).alias("k"), "_ents", F.array_except("_ents", "_rare").alias("by"), F.col("_jur").alias("j"), F.col("_case").alias("c"))
+    met = _meetings(keyed.select("id", "k", F.when(own, none).otherwise(F.col("_ents")).alias("e"), "by", "j", "c"))
     # The same party and State: only case numbers keep those apart.
     parties = _meetings(first.select("id", F.explode(sides).alias("k"), none.alias("e"), none.alias("j"), F.col("_case").alias("c")))
-    # Similar words: sets of words are compared once, and the items of two similar sets (or of one) meet under them.
-    sets = first.select("id", "_toks", "_ents", "_case").where(F.size("_toks") > 0)
-    leader = written(sets.groupBy("_toks").agg(F.min("id").alias("set")), "story-words")
-    near = jaccard_sets(leader.select(F.col("set").alias("id"), F.col("_toks").alias("t")))
-    named = near.select(F.concat_ws(" ", "a", "b").alias("k"), F.explode(F.array("a", "b")).alias("set")).union(leader.select(F.col("set").cast("string"), "set"))
-    words = sets.join(leader, "_toks").join(named, "set").select("id", "k", F.col("_ents").alias("e"), none.alias("j"), F.col("_case").alias("c"))
-    comp = components(alike.union(met).union(parties).union(_meetings(words)))
+    linked = written(components(alike.union(met).union(parties)), "story-links")
+    # Similar words: sets of words are compared once, and the items of two similar sets (or of one) meet under them. Sets
+    # all of whose items are linked already need not be compared.
+    sets = first.select("id", "_toks", "_ents", "_case").where(F.size("_toks") > 0).join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
+    one = F.when(F.min("part") == F.max("part"), F.min("part"))
+    leader = written(sets.groupBy("_toks").agg(F.min("id").alias("set"), one.alias("part")), "story-sets")
+    near = jaccard_sets(leader.select(F.col("set").alias("id"), F.col("_toks").alias("t"), "part"))
+    named = near.select(F.concat_ws(" ", "a", "b").alias("k"), F.explode(F.array("a", "b")).alias("set")).union(leader.where("part IS NULL").select(F.col("set").cast("string"), "set"))
+    words = sets.drop("part").join(leader, "_toks").join(named, "set").select("id", "k", F.col("_ents").alias("e"), none.alias("j"), F.col("_case").alias("c"))
+    comp = components(linked.select(F.col("node").alias("u"), F.col("component").alias("v")).union(_meetings(words)))
     labelled = rows.select("id", F.col("_case").alias("case")).join(comp, F.col("id") == F.col("node"), "left")
     return by_case(labelled.select("id", "case", F.coalesce("component", "id").alias("c")))
 

@@ -106,11 +106,21 @@ def jaccard_sets(sets: DataFrame, least: float = fixed.JACCARD_ALONE, hot: int =
     meet only there; what travels is numbers: of a word the rank, of a set its size. The words themselves are
     compared at the end, once for each pair. Under a word that more than `hot` sets have, sets meet only those of a
     size that is still possible at that place, so that short sets don't all meet under a common word.
+
+    Where sets have a part, pairs of the same part (not null) are not asked for. The largest part's sets then meet
+    those of others only, so what is made grows with the sets outside of it.
     """
-    sets = written(sets.select("id", "t"), "word-sets")
+    parted = "part" in sets.columns
+    sets = written(sets.select("id", "t", *(["part"] if parted else [])), "word-sets")
     counts = sets.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     rows = written(prefixes(sets, counts, least, hot), "word-prefixes")
-    return alike(meetings(rows, rows, least, "a < b"), sets, sets, least)
+    if not parted:
+        return alike(meetings(rows, rows, least, "a < b"), sets, sets, least)
+    largest = sets.where("part IS NOT NULL").groupBy("part").count().orderBy(F.desc("count"), "part").first()
+    within = F.col("part").eqNullSafe(F.lit(largest["part"])) if largest else F.lit(False)
+    told = written(rows.join(sets.select("id", "part", within.alias("within")), "id"), "word-prefixes")
+    met = meetings(told.where("NOT within"), told, least, "(a < b OR within) AND coalesce(pa <> pb, true)")
+    return alike(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), sets, sets, least)
 
 
 #: Numbers of 64 bits in a set's sketch.
@@ -122,20 +132,20 @@ def prefixes(sets: DataFrame, counts: DataFrame, least: float, hot: int) -> Data
     its sketch. counts (w, n) orders the words, those of one count by their hash; words that it lacks come first."""
     word = sets.select("id", F.explode("t").alias("w"))
     rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.xxhash64("w").alias("h"))
-    ordered = word.join(counts, "w", "left").groupBy("id").agg(F.array_sort(F.collect_list(rank)).alias("o"))
+    ordered = word.join(counts, "w", "left").groupBy("id").agg(F.array_sort(F.collect_list(rank)).alias("o"), *_sketch(F.xxhash64("w")))
     n = F.size("o")
     prefix = F.slice("o", 1, n - F.ceil(least * n).cast("int") + 1)
-    rows = ordered.select("id", n.alias("n"), *_sketch(F.col("o")), F.posexplode(prefix).alias("at", "r"))
-    return rows.select("id", "n", "at", F.col("r.h").alias("w"), (F.col("r.n") > hot).alias("hot"), *[f"s{i}" for i in range(SKETCH)])
+    sketch = [f"s{i}" for i in range(SKETCH)]
+    rows = ordered.select("id", n.alias("n"), *sketch, F.posexplode(prefix).alias("at", "r"))
+    return rows.select("id", "n", "at", F.col("r.h").alias("w"), (F.col("r.n") > hot).alias("hot"), *sketch)
 
 
-def _sketch(ranks: Column) -> list[Column]:
-    """The set's words, each flipping one of the sketch's bits: what differs between two sketches is at most what differs
+def _sketch(h: Column) -> list[Column]:
+    """The set's words by their hashes, each flipping one of the sketch's bits: what differs between two sketches is at most what differs
     between the sets, so sketches rule pairs out and never wrongly."""
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
-    place = lambda h: F.pmod(F.shiftright(h, 6), F.lit(SKETCH))
-    flip = lambda i: F.aggregate(ranks, F.lit(0).cast("long"), lambda acc, r: F.when(place(r["h"]) == i, acc.bitwiseXOR(bit(r["h"]))).otherwise(acc))
-    return [flip(i).alias(f"s{i}") for i in range(SKETCH)]
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    place = F.pmod(F.shiftright(h, 6), F.lit(SKETCH))
+    return [F.coalesce(F.bit_xor(F.when(place == i, bit)), F.lit(0).cast("long")).alias(f"s{i}") for i in range(SKETCH)]
 
 
 def meetings(left: DataFrame, right: DataFrame, least: float, which: str = "a <> b") -> DataFrame:
@@ -147,8 +157,10 @@ def meetings(left: DataFrame, right: DataFrame, least: float, which: str = "a <>
     other = F.explode(F.when(F.col("hot"), sizes).otherwise(F.array(F.lit(0).cast("long"))))
     own = F.when(F.col("hot"), F.col("n").cast("long")).otherwise(F.lit(0).cast("long"))
     sketch = lambda side: [F.col(f"s{i}").alias(f"{side}{i}") for i in range(SKETCH)]
-    a = left.withColumn("_m", other).select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), "w", "hot", own.alias("x"), F.col("_m").alias("y"), *sketch("u"))
-    b = right.withColumn("_m", other).select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), "w", "hot", F.col("_m").alias("x"), own.alias("y"), *sketch("v"))
+    part = lambda name: [F.col("part").alias(name)] if "part" in right.columns else []
+    within = ["within"] if "part" in right.columns else []
+    a = left.withColumn("_m", other).select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), "w", "hot", own.alias("x"), F.col("_m").alias("y"), *sketch("u"), *part("pa"))
+    b = right.withColumn("_m", other).select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), "w", "hot", F.col("_m").alias("x"), own.alias("y"), *sketch("v"), *part("pb"), *within)
     room = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
     both = F.col("na") + F.col("nb")
     differ = reduce(lambda x, y: x + y, [F.coalesce(F.bit_count(F.col(f"u{i}").bitwiseXOR(F.col(f"v{i}"))), F.lit(0)) for i in range(SKETCH)])

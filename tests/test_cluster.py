@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinflow.functions.text import outlet_rank, topics
-from skeinflow.operators import cluster
+from skeinflow.operators import cluster, link
 
 LEX = cluster.Lexicon(
     forms={"Turkey": "Turkey", "Iraq": "Iraq", "Mexico": "Mexico", "Czechia": "Czechia", "Peru": "Peru"},
@@ -168,3 +168,36 @@ def test_copies_stay_and_the_best_is_cited(spark):
     row = cluster.cite_best(merged, lambda s, u: outlet_rank(s, u, {1: ("reuters",)})).first()
     assert (row["source"], row["url"], row["title"]) == ("Reuters", "http://r", "y")
     assert {x["url"] for x in row["also"]} == {"http://a", "http://old"}
+
+
+def test_sets_within_a_part_are_not_compared_and_no_link_between_parts_is_lost(spark):
+    """One large part of near-equal sets makes no pairs; those with other parts, and of sets without a part, are all found."""
+    import random
+
+    draw = random.Random(5)
+    base = [f"w{x}" for x in range(12)]
+    sets = [(i, sorted({*draw.sample(base, 10), f"v{i}"}), 1) for i in range(300)]
+    sets += [(300 + i, sorted({*draw.sample(base, 10), f"v{i}"}), draw.choice([2, 3, None])) for i in range(30)]
+    df = spark.createDataFrame(sets, "id long, t array<string>, part long")
+    alike = lambda a, b: len({*a} & {*b}) >= 0.5 * len({*a} | {*b})
+    want = {(i, j) for i, s, p in sets for j, t, q in sets if i < j and (p is None or p != q) and alike(s, t)}
+    got = [(r["a"], r["b"]) for r in link.jaccard_sets(df, 0.5, 50).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 5000
+
+
+def test_phrases_deal_no_group_for_each_rare_name(spark, monkeypatch):
+    """Items with many rare names and phrases meet once under each name, not under each phrase and name."""
+    names = ["Quibra", "Zeltor", "Mavrin", "Doskal", "Perund", "Tolvey", "Wexmar", "Garsto"]
+    title = lambda i: f"Claim by {' and '.join(names[(i + k) % 8] for k in range(4))} over pipeline tariff dispute number {i}"
+    rows = [(i, title(i)) for i in range(4)] + [(100 + i, f"Unrelated harvest festival opens in village {i}") for i in range(60)]
+    sizes, real = {}, cluster.written
+
+    def counted(df, name):
+        out = real(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(cluster, "written", counted)
+    got = {r["id"]: r["story"] for r in cluster.graph(spark.createDataFrame(rows, "id long, title string"), cluster.Lexicon()).collect()}
+    assert {got[i] for i in range(4)} == {0}
+    assert sizes["dealt"] <= 2 * sizes["meetings"]
