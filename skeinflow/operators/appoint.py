@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from skeinflow.functions import fixed
 from skeinflow.functions.text import html_list, html_text
+from skeinflow.operators.graph import spread, written
 
 SEAT = r"^(.+?)\s*\(([^)]*)\)\s*-\s*Appointed by (.+)$"
 RECONSTITUTED = (
@@ -87,13 +88,13 @@ def reconstitutions(cases: DataFrame) -> DataFrame:
     )
 
 
-def top_value(df: DataFrame, key: str | list[str], value: str, name: str) -> DataFrame:
-    """(key, name): the most frequent value of each key that is not null or empty, ties to the smallest."""
+def top_value(df: DataFrame, key: str | list[str], value: str, name: str, rows: int = 0) -> DataFrame:
+    """(key, name): the most frequent value of each key that is not null or empty, ties to the smallest. rows: how many
+    df has, if known."""
     keys = [key] if isinstance(key, str) else key
-    counted = df.where((F.col(value).isNotNull()) & (F.col(value) != "")).groupBy(*keys, value).agg(F.count("*").alias("n_"))
-    # Of each key the largest (count, value); values are compared the other way round by the second sort of structs.
-    best = counted.groupBy(*keys).agg(F.max("n_").alias("m_"))
-    return counted.join(best, keys).where("n_ = m_").groupBy(*keys).agg(F.min(value).alias(name))
+    counted = spread(df.where((F.col(value).isNotNull()) & (F.col(value) != "")), rows, *keys, value).groupBy(*keys, value).agg(F.count("*").alias("n_"))
+    # Of each key the least (count below zero, value).
+    return counted.groupBy(*keys).agg(F.min(F.struct((-F.col("n_")).alias("n_"), F.col(value).alias("v_"))).alias("best_")).select(*keys, F.col("best_.v_").alias(name))
 
 
 def appointee_table(rows: DataFrame, who: str = "arbitrator", tops: bool = True) -> DataFrame:
@@ -127,15 +128,17 @@ def firm_affinity(rows: DataFrame, least: int = 2, who: str = "arbitrator") -> D
 def counsel_table(rows: DataFrame, tops: bool = True) -> DataFrame:
     """Per firm: distinct cases for claimants, for respondents, and in all; commonest sector among claimants'
     seats and commonest state among respondents'."""
-    sides = rows.select("case", "sector", "respondent_state", F.explode(F.array_distinct("claimant_firms")).alias("firm"), F.lit(True).alias("claims")).union(
-        rows.select("case", "sector", "respondent_state", F.explode(F.array_distinct("respondent_firms")).alias("firm"), F.lit(False))
-    )
+    firms = lambda c, claims: F.transform(F.filter(F.array(F.lit(claims)), lambda x: F.size(c) > 0), lambda x: F.struct(F.array_distinct(c).alias("firms"), x.alias("claims")))
+    # Seats are made once, and written, so that their number is known before they are dealt out.
+    each = rows.select("case", "sector", "respondent_state", F.inline(F.concat(firms(F.col("claimant_firms"), True), firms(F.col("respondent_firms"), False))))
+    sides = written(each.select("case", "sector", "respondent_state", F.explode("firms").alias("firm"), "claims"), "sides")
+    n = sides.count()
     # One row for each firm, case and side first: counting distinct cases is then counting rows.
-    by_case = sides.groupBy("firm", "case").agg(F.max(F.col("claims").cast("int")).alias("c"), F.max((~F.col("claims")).cast("int")).alias("r"))
+    by_case = spread(sides, n, "firm", "case").groupBy("firm", "case").agg(F.max(F.col("claims").cast("int")).alias("c"), F.max((~F.col("claims")).cast("int")).alias("r"))
     out = by_case.groupBy("firm").agg(F.sum("c").alias("claimant_cases"), F.sum("r").alias("respondent_cases"), F.count("*").alias("total"))
     if tops:
         for which, value, name in ((F.col("claims"), "sector", "top_sector"), (~F.col("claims"), "respondent_state", "top_state_defended")):
-            out = out.join(top_value(sides.where(which), "firm", value, name), "firm", "left").withColumn(name, F.coalesce(name, F.lit("")))
+            out = out.join(top_value(sides.where(which), "firm", value, name, n), "firm", "left").withColumn(name, F.coalesce(name, F.lit("")))
     return out
 
 

@@ -44,6 +44,16 @@ def written_at(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ROWS_OF_TASK = 250_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt out by keys over as many partitions as `rows` need, so that what a task holds doesn't grow with the table;
+    where the session's number of shuffle partitions is enough, df as it is."""
+    parts = -(-rows // ROWS_OF_TASK)
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def delete(spark: SparkSession, *paths: str) -> None:
     """Removes tables that no DataFrame reads any more."""
     for path in paths:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.operators import appoint
+from skeinflow.operators.graph import spread
 from skeinflow.plans.registry import query
 
 SEATS_SQL = """
@@ -23,8 +24,10 @@ seats AS (
 
 def seats(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = t("lineitem").count()
+    with_orders = spread(t("lineitem"), rows, "l_orderkey").join(spread(t("orders"), rows, "o_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
     df = (
-        t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("part"), F.col("p_partkey") == F.col("l_partkey"))
+        spread(with_orders, rows, "l_partkey").join(spread(t("part"), rows, "p_partkey"), F.col("p_partkey") == F.col("l_partkey"))
         .join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey"))
     )
     flag = F.col("l_returnflag")
