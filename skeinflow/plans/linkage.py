@@ -122,7 +122,7 @@ def top_phrases(spark, sf_dir):
     """The 50 commonest runs of three words in whole documents."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(words.alias("w"))
-    return phrases.commonest(docs, phrases.ngrams(F.col("w"), 3), 50)
+    return phrases.commonest(docs, F.col("w"), 50, run=3)
 
 
 SHAPE_SQL = r"""CASE WHEN regexp_matches(text, '^(An?|The)\s+([A-Z][\p{L}\p{N}_-]+)\s+([\p{L}\p{N}_]+)') THEN

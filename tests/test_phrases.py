@@ -118,3 +118,23 @@ def test_freshness(spark):
     rows = [("new", feed("2026-02-01", "2020-01-01", None)), ("old", feed("2025-12-01")), ("edge", feed("2026-01-15")), ("bare", feed(None, None, None)), ("two", feed(None, None)), ("none", feed()), ("bad", "<html>")]
     got = {r["name"]: r["fresh"] for r in chase.freshness(spark.createDataFrame(rows, "name string, payload string"), F.lit("2026-03-01").cast("date")).collect()}
     assert got == {"new": True, "old": False, "edge": True, "bare": True, "two": False}
+
+
+@pytest.mark.parametrize("run", [1, 2, 3])
+@pytest.mark.parametrize("named", [0, 10_000])
+def test_runs_are_made_in_blocks_where_they_are_counted(spark, run, named, monkeypatch):
+    """As the runs of ngrams(), also across the blocks' borders, on every way to count them."""
+    pa = pytest.importorskip("pyarrow")
+    monkeypatch.setattr(phrases, "MOST_NAMED", named)
+    rnd = random.Random(3)
+    rows = [(i, [f"w{int(rnd.paretovariate(1))}" for _ in range(rnd.randint(0, 9))] if rnd.random() > 0.1 else None) for i in range(300)]
+    want = Counter(" ".join(r[k : k + run]) for _, r in rows if r for k in range(len(r) - run + 1))
+    df = spark.createDataFrame(rows, "id long, v array<string>").repartition(3)
+    top = sorted(want.items(), key=lambda kv: (-kv[1], kv[0]))[:15]
+    for counters in (100_000, 20, 3):
+        got = commonest(df, F.col("v"), 15, counters, most_counters=100_000 if counters > 3 else 4, run=run)
+        assert [tuple(r) for r in got.orderBy(F.desc("n"), "value").collect()] == top
+    monkeypatch.setattr(phrases, "CHUNK", 2)
+    lists = pa.array([["a", "b", "c"], None, [], ["d"], ["e", "f"], ["g", None, "h"]][: 5 if run == 1 else 6])
+    made = [x for a in phrases.runs_of(lists, run) for x in a.to_pylist()]
+    assert made == {1: [*"abcdef"], 2: ["a b", "b c", "e f", "g", "h"], 3: ["a b c", "g h"]}[run]
