@@ -32,7 +32,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    # The executors' memory holds what earlier stages have left as well, so few words are kept.
+    return sentencepieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), known=200_000)
 
 
 STAGES = [

@@ -9,9 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from skeinflow.operators.graph import components, delete, shared_path, written
+from skeinflow.operators.graph import components, delete, gathered, shared_path, written
 
-__all__ = ["components", "delete", "joined_sorted", "shared_path", "slices", "written"]
+__all__ = ["components", "delete", "gathered", "joined_sorted", "shared_path", "slices", "written"]
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,8 @@ key is that text's SHA-256. Rows go to a log, and from it in waves to the index:
 
   flush    The wave's rows are grouped by digest. A task of that shuffle is a memtable of about
            `memtable_rows` rows: it leaves one file sorted by digest, with Parquet's bloom filter. A wave
-           has as many memtables as the shuffle has partitions; its files are a run of level 0.
+           has as many memtables as the shuffle has partitions, fewer if its rows don't fill them; its
+           files are a run of level 0.
   filter   Each run has a blocked bloom filter: a digest sets PLACES bits in one block of BLOCK bits.
   lookup   A wave's digests are looked up in older runs only where a run's filter has their bits. What is
            found, and what a wave holds twice, is a hit.
@@ -29,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinflow.llm.common import shared_path, written
+from skeinflow.llm.common import gathered, shared_path, written
 
 MEMTABLE_ROWS, FANOUT, WAVES = 1 << 20, 4, 2
 BLOCK, PLACES, BITS_A_KEY = 1 << 15, 4, 12  # BLOCK is what bitmap_construct_agg builds
@@ -79,18 +80,18 @@ def _places() -> Column:
     return F.array(*[F.shiftrightunsigned(h, 15 * i).bitwiseAND(F.lit(BLOCK - 1).cast("long")) for i in range(PLACES)])
 
 
-def add_run(spark: SparkSession, path: str, entries: DataFrame, level: int) -> tuple:
-    """Writes a run and its filter; gives its line for the manifest."""
+def add_run(spark: SparkSession, path: str, entries: DataFrame, level: int, most: int) -> tuple:
+    """Writes a run, of `most` rows or so at most, and its filter; gives its line for the manifest."""
     name = shared_path(spark, "run").rsplit("/", 1)[1]
     (
-        entries.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true")
+        gathered(entries, most).sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true")
         .option("parquet.bloom.filter.adaptive.enabled", "true").parquet(f"{path}/{name}")
     )
     run = spark.read.parquet(f"{path}/{name}")
     rows = run.count()
     blocks = max(1, math.ceil(rows * BITS_A_KEY / BLOCK))
     bits = run.select(_block(F.lit(blocks)).alias("block"), F.explode(_places()).alias("place")).groupBy("block").agg(F.bitmap_construct_agg("place").alias("bits"))
-    bits.withColumn("run", F.lit(name)).write.parquet(f"{path}/{name}-filter")
+    gathered(bits, blocks * BLOCK // 512).withColumn("run", F.lit(name)).write.parquet(f"{path}/{name}-filter")
     return name, level, rows, blocks
 
 
@@ -109,6 +110,10 @@ def commit(spark: SparkSession, path: str, live: list[tuple], version: int) -> N
     spark.createDataFrame([(version, *r) for r in live], f"version long, {RUN}").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 
 
+def _rows(live: list[tuple]) -> int:
+    return sum(rows for _, _, rows, _ in live)
+
+
 def read_runs(spark: SparkSession, path: str, live: list[tuple]) -> DataFrame:
     return spark.read.parquet(*[f"{path}/{r[0]}" for r in live])
 
@@ -129,7 +134,7 @@ def compact(spark: SparkSession, path: str, live: list[tuple], fanout: int) -> l
         level = next((k for k in sorted(by_level) if len(by_level[k]) >= fanout), None)
         if level is None:
             return live
-        merged = add_run(spark, path, _merged(read_runs(spark, path, by_level[level])), level + 1)
+        merged = add_run(spark, path, _merged(read_runs(spark, path, by_level[level])), level + 1, _rows(by_level[level]))
         live = [*(r for r in live if r[1] != level), merged]
 
 
@@ -138,23 +143,24 @@ def ingest(rows: DataFrame, path: str, memtable_rows: int = MEMTABLE_ROWS, fanou
     and the batch's number."""
     spark = rows.sparkSession
     width = memtable_rows * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    waves = max(WAVES, math.ceil(rows.count() / width))
+    total = rows.count()
+    waves = max(WAVES, math.ceil(total / width))
     live = runs(spark, path)
     version = 1 + (spark.read.parquet(f"{path}/manifest").agg(F.max("version")).first()[0] if live else 0)
     hits = []
     for wave in range(waves):
         mine = rows.where(F.pmod(F.xxhash64("row"), F.lit(waves)) == wave)
         entries = mine.groupBy("digest").agg(F.min(_best(version)).alias("best"), F.count("*").alias("n"))
-        added = add_run(spark, path, entries, 0)
+        added = add_run(spark, path, entries, 0, math.ceil(total / waves))
         run = read_runs(spark, path, [added])
         found = [run.where("n > 1").select("digest")]
         if live:
             found.append(read_runs(spark, path, live).join(maybe_known(spark, path, run, live), "digest", "left_semi").select("digest"))
-        hits.append(written(reduce(DataFrame.union, found).distinct(), "digest-hits"))
+        hits.append(written(gathered(reduce(DataFrame.union, found).distinct(), _rows([added])), "digest-hits"))
         live = compact(spark, path, [*live, added], fanout)
         commit(spark, path, live, version + wave)
     known = reduce(DataFrame.union, hits).distinct()
-    return written(_merged(read_runs(spark, path, live).join(known, "digest", "left_semi")), "digest-level"), version
+    return written(gathered(_merged(read_runs(spark, path, live).join(known, "digest", "left_semi")), _rows(live)), "digest-level"), version
 
 
 # --- duplicates ----------------------------------------------------------------------------------------------

@@ -157,7 +157,9 @@ def tokenizer(m: Model, whole: bool = False, strict: bool = False):
 
 
 class SentencePieces:
-    def __init__(self, raw: bytes):
+    """known: about how many words' ids are kept; others are encoded again."""
+
+    def __init__(self, raw: bytes, known: int = 600_000):
         self.model = m = parse(raw)
         self.normalise = normaliser(m)
         from tokenizers import Tokenizer
@@ -186,7 +188,7 @@ class SentencePieces:
         self.split = split
         self.ids_of = packed_ids(ids_of)
         self.marked = (lambda w: MARK + w if w[0] != MARK else w) if plain else (lambda w: w)
-        self.known = Known(lambda w: self.ids_of(self.marked(w)))
+        self.known = Known(lambda w: self.ids_of(self.marked(w)), known)
         self.words = Tokenizer(inner)
         self.unmatched = unknown if byte and m.kind == UNIGRAM else None
         self.bytes = [
@@ -232,8 +234,8 @@ class SentencePieces:
 
 
 @functools.lru_cache(maxsize=2)
-def _loaded(raw: bytes) -> SentencePieces:
-    return SentencePieces(raw)
+def _loaded(raw: bytes, known: int = 600_000) -> SentencePieces:
+    return SentencePieces(raw, known)
 
 
 @functools.lru_cache(maxsize=2)
@@ -248,12 +250,13 @@ def _read(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: str, verify: bool = False, keep_ids: bool = True, threads: int = 2) -> DataFrame:
+def encode(docs: DataFrame, model: str, verify: bool = False, keep_ids: bool = True, threads: int = 2, known: int = 600_000) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit
     integers), round_trip (decoding gives the text back), and ids; with verify also parity.
 
     model is a file on the driver; its bytes (a vocabulary, some hundred KB) go
-    to the tasks, each of which encodes on `threads` threads. Null texts count as
+    to the tasks, each of which encodes on `threads` threads; a worker process keeps the
+    ids of `known` words or so, some 200 bytes a word, and the ids of all texts are the same with any number. Null texts count as
     empty and have no ids. Where the model's normaliser changes a text, round_trip
     compares with the normalised text. Rows stay rows, whatever their doc_id;
     other columns are not read, and an empty table gives no rows.
@@ -263,7 +266,7 @@ def encode(docs: DataFrame, model: str, verify: bool = False, keep_ids: bool = T
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        sp = _loaded(raw)
+        sp = _loaded(raw, known)
         for batch in batches:
             for b in slices(batch, "text", 1 << 20):
                 texts = [t or "" for t in b.column(1).to_pylist()]

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinflow.llm.common import components, joined_sorted, written
+from skeinflow.llm.common import components, gathered, joined_sorted, written
 
 SEED = 42
 BLOCK = 1 << 16
@@ -185,9 +185,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 3, cell_ro
     """
     prints = written(fingerprints(docs, words, row), "fingerprints")
     # A fingerprint is a node, as a doc_id may stand for several texts.
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    comp = components(links(nodes.select(F.col("fp").alias("node"), "fp"), threshold, cell_rows))
-    label = written(nodes.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "labels")
+    n = prints.count()
+    nodes = written(gathered(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), n), "nodes")
+    # Cells emit forests; of those that meet in several cells few links are others.
+    comp = components(links(nodes.select(F.col("fp").alias("node"), "fp"), threshold, cell_rows), rows=8 * n)
+    label = nodes.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    label = written(gathered(label, n), "labels")
     first = label.groupBy("component").agg(F.min("least").alias("component_id"))
     told = label.join(first, "component").select("fp", "component_id", F.col("component").alias("group"))
     return prints.join(told, "fp").select("doc_id", "fp", "component_id", *(["row", "group"] if row else []))
@@ -200,7 +203,7 @@ def keep_one(docs: DataFrame, words: int = 5, threshold: int = 3) -> DataFrame:
     while number in docs.columns:
         number += "_"
     numbered = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
-    found = written(near_duplicates(numbered, words, threshold, row=number), "near-duplicates")
+    found = written(gathered(near_duplicates(numbered, words, threshold, row=number), numbered.count()), "near-duplicates")
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group").agg(F.min("row").alias(number))
     return numbered.join(first.select(number), number, "left_semi").select(*docs.columns)
 

@@ -45,6 +45,14 @@ def written_at(df: DataFrame, path: str) -> DataFrame:
 
 
 ROWS_OF_TASK = 250_000
+ROWS_OF_FILE = 25_000
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """df, of `rows` short rows or so, in as many partitions as these fill. A small table is then not written as a file for each
+    shuffle partition, and its files grow in number, not in size, with the table; nothing is shuffled for it, and where there are
+    no more partitions than that df is as it is."""
+    return df.coalesce(max(1, -(-rows // ROWS_OF_FILE)))
 
 
 def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
@@ -61,15 +69,17 @@ def delete(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, rows: int | None = None) -> DataFrame:
     """(node, component) of the undirected edges (u, v): component is the smallest node reachable.
 
     Alternates large-star and small-star steps; each round is written to the
-    shared folder. Nodes without an edge are not in the result.
+    shared folder, in files by its number of rows. Nodes without an edge are not
+    in the result. rows: about how many different edges there are at most, if known.
     """
     spark = edges.sparkSession
     at = shared_path(spark, "links")
-    e = written_at(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), at)
+    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    e = written_at(e if rows is None else gathered(e, rows), at)
     seen = None
     for _ in range(rounds):
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -83,10 +93,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # A node with one smaller neighbour keeps its edge; its other smaller neighbours move to the smallest.
         large_at, small_at = shared_path(spark, "large"), shared_path(spark, "small")
-        large = written_at(large.distinct(), large_at)
+        # Neither step makes more edges than there were.
+        large = written_at(gathered(large.distinct(), seen[0]), large_at)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written_at(small.union(least.select("u", F.col("m").alias("v"))).distinct(), small_at)
+        e = written_at(gathered(small.union(least.select("u", F.col("m").alias("v"))).distinct(), seen[0]), small_at)
         delete(spark, at, large_at)
         at = small_at
     else:

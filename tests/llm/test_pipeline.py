@@ -1,9 +1,15 @@
+import re
+from collections import Counter
+from pathlib import Path
+
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skeinflow.llm import exact, mixing, quality, simhash
 from skeinflow.llm.common import written
+from skeinflow.operators import graph
 
 
 def test_stages_on_the_small_tables(spark):
@@ -51,3 +57,25 @@ def test_stages_on_the_small_tables(spark):
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None and exact
+
+
+def test_small_tables_are_few_files(spark, docs):
+    texts = [f"w{k % 90} " + " ".join(f"v{k % 90}x{j}" for j in range(12)) for k in range(200)]
+    want = [sorted(r["doc_id"] for r in f(docs(texts)).collect()) for f in (exact.keep_first, simhash.keep_one)]
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    base = Path(re.sub("^file:/+", "/", graph._base(spark)))
+    before = set(base.iterdir())
+    try:
+        for k, v in zip(held, ("40", "false"), strict=True):
+            spark.conf.set(k, v)
+        got = [sorted(r["doc_id"] for r in f(docs(texts)).collect()) for f in (exact.keep_first, simhash.keep_one)]
+        pairs = spark.range(60).select(F.col("id").alias("u"), (F.col("id") + 60).alias("v"))
+        assert {tuple(r) for r in graph.components(pairs).collect()} == {(k, k % 60) for k in range(120)}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got == want and [len(x) for x in got] == [90, 90]
+    files = Counter(p.parent for d in set(base.iterdir()) - before for p in d.rglob("part-*.parquet"))
+    # 200 rows fill one file of any table; four tasks number the rows.
+    assert {"run", "digest-hits", "digest-level", "nodes", "labels", "near-duplicates", "small"} <= {re.sub("-[0-9a-f]{32}", "", p.name) for p in files}
+    assert max(files.values()) <= 4, files
