@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 3, cell_ro
     # A fingerprint is a node, as a doc_id may stand for several texts.
     n = prints.count()
     nodes = written(gathered(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), n), "nodes")
-    # Cells emit forests; of those that meet in several cells few links are others.
+    # Eight links a node or so: more of them only make larger files.
     comp = components(links(nodes.select(F.col("fp").alias("node"), "fp"), threshold, cell_rows), rows=8 * n)
     label = nodes.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     label = written(gathered(label, n), "labels")
